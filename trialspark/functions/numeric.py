@@ -1,5 +1,6 @@
 """Numeric functions Spark lacks, written as column expressions so that they stay in generated code."""
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,23 +43,32 @@ def polynomial(x: Column, ascending) -> Column:
     return reduce(lambda total, c: total * x + F.lit(c), reversed(ascending[:-1]), F.lit(ascending[-1]))
 
 
-def _ratio(x: Column, pair) -> Column:
-    return polynomial(x, pair[0]) / polynomial(x, pair[1])
-
-
 def qnorm(p) -> Column:
-    """Normal quantile: -inf at 0, inf at 1, NULL outside [0, 1]."""
+    """Normal quantile: -inf at 0, inf at 1, NULL outside [0, 1].
+
+    The region picks the coefficients and one fold evaluates them. Written out, the three ratios make a method too
+    large for the JIT compiler, which costs five times the evaluation.
+    """
     p = column(p)
     q = p - 0.5
     root = F.sqrt(-F.ln(F.least(p, 1.0 - p)))
-    tail = F.when(root <= 5.0, _ratio(root - 1.6, QNORM_MIDDLE)).otherwise(_ratio(root - 5.0, QNORM_FAR))
+
+    def region(centre, middle, far):
+        return F.when(F.abs(q) <= 0.425, centre).when(root <= 5.0, middle).otherwise(far)
+
+    def fold(x, part):
+        choices = [F.array(*[F.lit(c) for c in reversed(r[part])]) for r in (QNORM_CENTRE, QNORM_MIDDLE, QNORM_FAR)]
+        return F.aggregate(region(*choices), F.lit(0.0), lambda total, c: total * x + c)
+
+    argument = region(0.180625 - q * q, root - 1.6, root - 5.0)
+    ratio = F.get(F.transform(F.array(argument), lambda x: fold(x, 0) / fold(x, 1)), F.lit(0))
     return (
         F.when((p < 0.0) | (p > 1.0), F.lit(None).cast("double"))
         .when(p == 0.0, F.lit(float("-inf")))
         .when(p == 1.0, F.lit(float("inf")))
-        .when(F.abs(q) <= 0.425, q * _ratio(0.180625 - q * q, QNORM_CENTRE))
-        .when(q < 0.0, -tail)
-        .otherwise(tail)
+        .when(F.abs(q) <= 0.425, q * ratio)
+        .when(q < 0.0, -ratio)
+        .otherwise(ratio)
     )
 
 
@@ -98,11 +108,21 @@ def round_even(x, digits=0) -> Column:
     return F.bround(column(x), digits)
 
 
-def uniform(*keys, seed=0, stream="") -> Column:
-    """A uniform number in (0, 1) that depends only on the key columns, the seed and the stream.
+def digest(*keys, seed=0, stream="") -> Column:
+    """Hash text of the key columns; hold it in a column and take up to three random numbers from it.
 
-    Unlike `rand`, a retried task yields the same number for the same row, whatever its partition or order.
+    Unlike `rand`, a retried task yields the same numbers for the same row, whatever its partition or order.
     """
     text = F.concat_ws("|", F.lit(str(seed)), F.lit(stream), *[column(k).cast("string") for k in keys])
-    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double")
-    return (bits + 0.5) / F.lit(float(2**52))
+    return F.md5(text.cast("binary"))
+
+
+def uniform(held, part=0) -> Column:
+    """A uniform number in (0, 1) from one of the parts 0, 1, 2 of a digest."""
+    bits = F.conv(F.substring(column(held), 1 + 10 * part, 10), 16, 10).cast("double")
+    return (bits + 0.5) / F.lit(float(2**40))
+
+
+def normal(held, parts=(1, 2)) -> Column:
+    """A standard normal number from two parts of a digest (Box and Muller 1958)."""
+    return F.sqrt(-2.0 * F.ln(uniform(held, parts[0]))) * F.cos(2.0 * math.pi * uniform(held, parts[1]))

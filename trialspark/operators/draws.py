@@ -7,7 +7,7 @@ Scored rows are aggregated or filtered right away, never stored.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import column, inv_logit, normal_cdf, normal_lpdf, normal_pdf, qnorm, uniform
+from ..functions.numeric import column, digest, inv_logit, normal, normal_cdf, normal_lpdf, normal_pdf, uniform
 from ..schema import DESIGN, FIT, PARTICIPANT
 from .joins import salted_join
 
@@ -82,13 +82,9 @@ def predicted_cells(scored: DataFrame, keys=MODEL_CELL) -> DataFrame:
 
 def predict_draws(scored: DataFrame, seed=0) -> DataFrame:
     """One sampled response per scored row, repeatable for a seed."""
-    row = [*MODEL_CELL, "draw_id"]
-    sampled = F.col("mu") + F.col("sigma") * qnorm("_u")
-    return (
-        scored.withColumn("_u", uniform(*row, seed=seed, stream="response"))
-        .withColumn("prediction", F.when(uniform(*row, seed=seed, stream="hurdle") < F.col("hu"), 0.0).otherwise(sampled))
-        .drop("_u")
-    )
+    held = scored.withColumn("_held", digest(*MODEL_CELL, "draw_id", seed=seed, stream="response"))
+    sampled = F.col("mu") + F.col("sigma") * normal("_held")
+    return held.withColumn("prediction", F.when(uniform("_held") < F.col("hu"), 0.0).otherwise(sampled)).drop("_held")
 
 
 def sampled_cells(predicted: DataFrame, keys=MODEL_CELL) -> DataFrame:
@@ -114,7 +110,8 @@ def first_n(df: DataFrame, keys, order, n, name="pick") -> DataFrame:
 
 def sample_per_group(df: DataFrame, keys, n, identity, seed=0) -> DataFrame:
     """`n` random rows per key without replacement, repeatable: the order is a hash of the row's identity."""
-    return first_n(df.withColumn("_u", uniform(*identity, seed=seed, stream="sample")), keys, ["_u", *identity], n).drop("_u")
+    order = df.withColumn("_held", digest(*identity, seed=seed, stream="sample"))
+    return first_n(order, keys, ["_held", *identity], n).drop("_held")
 
 
 def conditional_draws(design: DataFrame, fixed: DataFrame, random: DataFrame, n=100, seed=0) -> DataFrame:
@@ -124,12 +121,12 @@ def conditional_draws(design: DataFrame, fixed: DataFrame, random: DataFrame, n=
     arrival time) and no rejection loop is needed. A participant with fewer than `n` draws offers each draw repeatedly.
     """
     available = random.groupBy(*PARTICIPANT, "model_name").agg(F.count(F.lit(1)).alias("_draws"))
-    offers = F.ceil(F.lit(float(n)) / F.col("_draws")).cast("int")
-    offered = design.join(available, PARTICIPANT).withColumn("_offers", offers).drop("_draws")
+    times = F.ceil(F.lit(float(n)) / F.col("_draws")).cast("int")
+    offered = design.join(available, PARTICIPANT).withColumn("_offers", times).drop("_draws")
     scored = score_draws(offered, fixed, random).withColumn("offer", F.explode(F.sequence(F.lit(1), F.col("_offers"))))
     row = [*MODEL_CELL, "draw_id", "offer"]
     log_pass = -(F.greatest(F.col("eta_hu"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("eta_hu"))))
-    arrival = F.ln(-F.ln(uniform(*row, seed=seed, stream="arrival"))) - log_pass
-    picked = first_n(scored.withColumn("_arrival", arrival), MODEL_CELL, ["_arrival", "draw_id", "offer"], n)
-    noise = picked.withColumn("_u", uniform(*row, seed=seed, stream="conditional"))
-    return noise.withColumn("pred", F.col("mu") + F.col("sigma") * qnorm("_u")).select(*row, "pick", "pred")
+    offers = scored.withColumn("_held", digest(*row, seed=seed, stream="conditional"))
+    arrivals = offers.withColumn("_arrival", F.ln(-F.ln(uniform("_held"))) - log_pass)
+    picked = first_n(arrivals, MODEL_CELL, ["_arrival", "draw_id", "offer"], n)
+    return picked.withColumn("pred", F.col("mu") + F.col("sigma") * normal("_held")).select(*row, "pick", "pred")

@@ -47,9 +47,17 @@ def ncdf(x):
     return f"CASE WHEN {x} > 0 THEN 1 - ({upper}) ELSE {upper} END"
 
 
-def _uniform(stream, seed, *keys):
+def _md5(stream, seed, *keys):
     text = " || '|' || ".join([f"'{seed}|{stream}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
-    return f"((CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+    return f"md5({text})"
+
+
+def _uniform(held, part=0):
+    return f"((CAST('0x' || substr({held}, {1 + 10 * part}, 10) AS BIGINT) + 0.5::DOUBLE) / 1099511627776::DOUBLE)"
+
+
+def _normal(held):
+    return f"sqrt(-2 * ln({_uniform(held, 1)})) * cos(2 * pi() * {_uniform(held, 2)})"
 
 
 CELL_KEY = ("experiment", "participant", "bias_source", "cond", "contrast_level", "stim", "model_name")
@@ -136,9 +144,9 @@ PARTS = {
         JOIN (SELECT experiment, participant, bias_source, model_name, count(*) AS n FROM draws_random GROUP BY ALL)
         USING (experiment, participant, bias_source, model_name)""",
     "arrived": f"""SELECT *, row_number() OVER (PARTITION BY {', '.join(CELL_KEY)}
-        ORDER BY -ln({_uniform('arrival', 5, *ROW_KEY, 'offer')}) / (1 - hu), draw_id, offer) AS pick,
-        {_uniform('conditional', 5, *ROW_KEY, 'offer')} AS u FROM offered""",
-    "conditional": f"SELECT *, mu + sigma * ({qnorm('u')}) AS pred FROM arrived WHERE pick <= 100",
+        ORDER BY -ln({_uniform('held')}) / (1 - hu), draw_id, offer) AS pick
+        FROM (SELECT *, {_md5('conditional', 5, *ROW_KEY, 'offer')} AS held FROM offered)""",
+    "conditional": f"SELECT *, mu + sigma * {_normal('held')} AS pred FROM arrived WHERE pick <= 100",
     # diagnostics
     "halves": """SELECT d.*, chain * 2 + CAST(iteration > h AS INT) AS half FROM draws_long d JOIN (
         SELECT experiment, condition, model_name, parameter, min(len) // 2 AS h FROM (
@@ -341,7 +349,7 @@ def _build():
     )
     keys = "experiment, bias_source, bias_direction, contrast_level"
     o["summary_mean_se"] = statement(
-        f"""SELECT {keys}, n, round(y, 6) AS y, round(y - s / sqrt(n), 6) AS ymin, round(y + s / sqrt(n), 6) AS ymax FROM (
+        f"""SELECT {keys}, n, round(y, 12) AS y, round(y - s / sqrt(n), 12) AS ymin, round(y + s / sqrt(n), 12) AS ymax FROM (
         SELECT {keys}, count(*) AS n, avg(value) AS y, stddev_samp(value) AS s FROM nz GROUP BY ALL)"""
     )
     extra, body = _mean_ci("mean_answer", keys, "value")
@@ -432,12 +440,12 @@ def _build():
     o["predict_sampled"] = statement(
         f"""SELECT {cell}, round(avg(p), 6) AS response_pred, round(1 - avg(CAST(p > 0 AS INT)), 6) AS hurdle_prob,
         round(avg(p) FILTER (p > 0), 6) AS response_pred_non_zero FROM (
-          SELECT * RENAME (s2 AS stim), CASE WHEN v < hu THEN 0 ELSE mu + sigma * ({qnorm('u')}) END AS p FROM (
-            SELECT * RENAME (stim AS s2), {_uniform('response', 11, *ROW_KEY)} AS u, {_uniform('hurdle', 11, *ROW_KEY)} AS v FROM scored)) AS scored
+          SELECT *, CASE WHEN {_uniform('held')} < hu THEN 0 ELSE mu + sigma * {_normal('held')} END AS p FROM (
+            SELECT *, {_md5('response', 11, *ROW_KEY)} AS held FROM scored)) AS scored
         {by_cell}"""
     )
     o["predictive_check"] = statement(
-        f"""SELECT {cell}, {_rounded('response_pred hurdle_prob response_pred_non_zero response_non_zero prop_zero response')}
+        f"""SELECT {cell}, {_rounded('response_pred hurdle_prob response_pred_non_zero response_non_zero prop_zero response', 9)}
         FROM predicted FULL JOIN obs USING ({DESIGN6})"""
     )
     extra, body = _effect_ci(
@@ -456,7 +464,7 @@ def _build():
     o["short_cells"] = statement(f"SELECT {DESIGN6}, model_name, count(*) AS n FROM scored GROUP BY ALL HAVING count(*) < 100")
     o["sample_per_cell"] = statement(
         f"""SELECT {CELL5}, trial_index FROM trials QUALIFY row_number() OVER
-        (PARTITION BY {CELL5} ORDER BY {_uniform('sample', 3, 'trial_index')}, trial_index) <= 2"""
+        (PARTITION BY {CELL5} ORDER BY {_md5('sample', 3, 'trial_index')}, trial_index) <= 2"""
     )
     o["rhat_split"] = statement(f"SELECT {FITP}, round(rhat, 6) AS rhat FROM split_rhat")
     o["rhat_rank"] = statement(f"SELECT {FITP}, round(rhat, 6) AS rhat FROM rank_rhat")
@@ -511,7 +519,7 @@ def _build():
     o["regression_line"] = statement(
         """SELECT experiment, bias_source, round(x, 6) AS x, round(l, 6) AS y, round(l - q * e, 6) AS ymin, round(l + q * e, 6) AS ymax
         FROM (SELECT *, intercept + slope * x AS l, sigma * sqrt(1.0e0 / n + (x - x_mean) ** 2 / sxx) AS e FROM fit
-          JOIN (SELECT DISTINCT experiment, bias_source, answer AS x FROM points WHERE answer IS NOT NULL) USING (experiment, bias_source)) f
+          JOIN (SELECT DISTINCT experiment, bias_source, round(answer, 9) AS x FROM points WHERE answer IS NOT NULL) USING (experiment, bias_source)) f
         JOIN tq ON tq.df = f.df""",
         f"sizes AS (SELECT df + 1 AS n FROM fit), {_t_quantiles('sizes')}",
     )

@@ -152,7 +152,7 @@ BY_CONDITION = ["experiment", "bias_source", "bias_direction", "contrast_level"]
 
 @query
 def summary_mean_se(spark, sf):
-    return rounded(summarise.mean_se(summarise.median_nonzero(fx.trials(spark, sf)), BY_CONDITION, "value"))
+    return rounded(summarise.mean_se(summarise.median_nonzero(fx.trials(spark, sf)), BY_CONDITION, "value"), 12)
 
 
 @query
@@ -338,7 +338,7 @@ def predict_sampled(spark, sf):
 @query
 def predictive_check(spark, sf):
     predicted = draws.predicted_cells(_scored(spark, sf)).drop("response_pred_gaussian")
-    return rounded(effects.predictive_check(frame.model_frame(fx.trials(spark, sf)), predicted))
+    return _means(effects.predictive_check(frame.model_frame(fx.trials(spark, sf)), predicted))
 
 
 @query
@@ -481,7 +481,8 @@ def effect_regression_within(spark, sf):
 
 @query
 def regression_line(spark, sf):
-    return rounded(regression.regression_line(*_fit(spark, sf)))
+    points, fit = _fit(spark, sf)
+    return rounded(regression.regression_line(points.withColumn("answer", F.round("answer", 9)), fit))
 
 
 @query
