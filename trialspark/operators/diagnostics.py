@@ -36,28 +36,17 @@ def _split_rhat(split: DataFrame, unit) -> DataFrame:
     return _potential_scale(chains, unit)
 
 
-def _ranked(tallies: DataFrame, unit, value) -> DataFrame:
-    """Ranks of the distinct values of a parameter, with how often each half-chain holds the value.
-
-    The list has at most one entry per half-chain, so tied draws are a few rows however many they are.
-    """
-    return ordered_counts(tallies, [*unit], value, weight="count", held=F.collect_list(F.struct("half", "count")))
-
-
 def _normalised_rhat(ranked: DataFrame, unit) -> DataFrame:
+    """From ranked values per half-chain: the statistic of their normal scores. Ties are one row per half-chain."""
     z = qnorm((avg_rank() - 0.375) / (F.col("total") + 0.25))
-    rows = ranked.withColumn("_z", z).select(*unit, "_z", F.inline("held"))
     n = F.col("count").cast("double")
-    chains = rows.groupBy(*unit, "half").agg(
+    chains = ranked.withColumn("_z", z).groupBy(*unit, "half").agg(
         F.sum(n).alias("_n"), F.sum(n * F.col("_z")).alias("_sum"), F.sum(n * F.col("_z") * F.col("_z")).alias("_squares")
     )
-    constant = ranked.groupBy(*unit).agg((F.count(F.lit(1)) == 1).alias("_constant"))
     mean = F.col("_sum") / F.col("_n")
+    # Scores of one constant value differ by rounding only; anything real is far above this.
     spread = (F.col("_squares") - F.col("_sum") * mean) / F.nullif(F.col("_n") - 1, F.lit(0.0))
-    result = _potential_scale(chains.withColumns({"_mean": mean, "_var": spread}), unit)
-    return result.join(constant, unit, "left").withColumn(
-        "rhat", F.when(~F.col("_constant"), F.col("rhat"))
-    ).drop("_constant")
+    return _potential_scale(chains.withColumns({"_mean": mean, "_var": F.when(spread > 1e-12, spread).otherwise(0.0)}), unit)
 
 
 def rhat(draws: DataFrame, keys=FIT_KEYS, rank=True) -> DataFrame:
@@ -66,11 +55,11 @@ def rhat(draws: DataFrame, keys=FIT_KEYS, rank=True) -> DataFrame:
     split = split_chains(draws, keys)
     if not rank:
         return _split_rhat(split, unit)
-    tallies = split.groupBy(*unit, "half", "value").count()
-    ranked = _ranked(tallies, unit, "value")
+    ranked = ordered_counts(split, unit, "value", by=["half"])
     centre = median_of(ranked, unit, "value", "_median")
+    tallies = ranked.select(*unit, "half", "value", F.col("count").alias("held"))
     distance = lookup_join(tallies, centre, unit, "inner").withColumn("value", F.abs(F.col("value") - F.col("_median")))
-    folded = _ranked(distance.groupBy(*unit, "half", "value").agg(F.sum("count").alias("count")), unit, "value")
+    folded = ordered_counts(distance, unit, "value", by=["half"], weight="held")
     both = _normalised_rhat(ranked, unit).unionByName(_normalised_rhat(folded, unit))
     return both.groupBy(*unit).agg(F.max("rhat").alias("rhat"))
 

@@ -156,7 +156,7 @@ def exclusion_log(trials: DataFrame, sd_threshold=4.0, na="skip") -> DataFrame:
 def exclude(trials: DataFrame, sd_threshold=4.0, na="skip") -> tuple[DataFrame, DataFrame]:
     """Trials of the participants that pass all stages, and the exclusion log."""
     log = materialize(exclusion_log(trials, sd_threshold, na))
-    return exclude_keys(trials, log, PARTICIPANT), log
+    return exclude_keys(trials, log, PARTICIPANT, stored=True), log
 
 
 def exclusion_summary(*logs: DataFrame) -> DataFrame:

@@ -22,20 +22,21 @@ def null_safe_join(left: DataFrame, right: DataFrame, on, how="inner") -> DataFr
     return joined.drop(*[f"_right_{k}" for k in on])
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on, how="left", max_rows=BROADCAST_ROWS) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on, how="left", max_rows=BROADCAST_ROWS, stored=False) -> DataFrame:
     """Join a large table with a summary of unknown size.
 
-    The summary is stored once and its rows are counted: up to `max_rows` it is broadcast and the large side does not
-    move; beyond that both sides are shuffled on the keys and adaptive execution splits the skewed ones.
+    The summary is stored once (unless it comes from a stored table) and its rows are counted: up to `max_rows` it is
+    broadcast and the large side does not move; beyond that both sides are shuffled on the keys and adaptive execution
+    splits the skewed ones.
     """
-    right = materialize(right)
-    small = right.limit(max_rows + 1).count() <= max_rows
+    right = right if stored else materialize(right)
+    small = right.count() <= max_rows
     return null_safe_join(left, F.broadcast(right) if small else right, on, how)
 
 
-def exclude_keys(df: DataFrame, bad: DataFrame, keys, max_rows=BROADCAST_ROWS) -> DataFrame:
+def exclude_keys(df: DataFrame, bad: DataFrame, keys, max_rows=BROADCAST_ROWS, stored=False) -> DataFrame:
     """Rows of `df` whose key is not listed in `bad`."""
-    return lookup_join(df, bad.select(*keys).distinct(), keys, "left_anti", max_rows)
+    return lookup_join(df, bad.select(*keys).distinct(), keys, "left_anti", max_rows, stored)
 
 
 def merge_cells(a: DataFrame, b: DataFrame, keys) -> DataFrame:

@@ -12,18 +12,18 @@ from ..session import materialize
 from .joins import null_safe_join
 
 
-def ordered_counts(df: DataFrame, keys, value, weight=None, **extra) -> DataFrame:
-    """One row per (keys, distinct value) with `n` rows of that value, `below` rows of smaller ones, `total` in the group.
+def ordered_counts(df: DataFrame, keys, value, by=(), weight=None, **extra) -> DataFrame:
+    """One row per (keys, distinct value): `n` rows of that value, `below` rows of smaller ones, `total` in the group.
 
-    `weight` names a column that says how many rows each input row stands for. `extra` aggregates are computed per
-    distinct value on the way. NULL values are left out.
+    With `by`, one row per (keys, value, by) that also has its own `count`. `weight` names a column that says how many
+    rows each input row stands for. `extra` aggregates are computed on the way. NULL values are left out.
     """
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    aggregates = [rows.alias("n"), *[agg.alias(name) for name, agg in extra.items()]]
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggregates)
+    aggregates = [rows.alias("count"), *[agg.alias(name) for name, agg in extra.items()]]
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value, *by).agg(*aggregates)
     # Stored, because the partition a row falls into must be the same in both branches below.
     placed = materialize(distinct.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
-    parts = placed.groupBy(*keys, "_part").agg(F.sum("n").alias("_size"))
+    parts = placed.groupBy(*keys, "_part").agg(F.sum("count").alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
         *keys,
@@ -31,13 +31,12 @@ def ordered_counts(df: DataFrame, keys, value, weight=None, **extra) -> DataFram
         F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_size").over(Window.partitionBy(*keys)).alias("total"),
     )
-    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return (
-        null_safe_join(ranked, offsets, [*keys, "_part"])
-        .withColumn("below", F.col("_before") + F.col("_inside"))
-        .drop("_part", "_inside", "_before")
-    )
+    up_to = Window.partitionBy(*keys, "_part").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = Window.partitionBy(*keys, "_part", value)
+    ranked = placed.withColumn("_up_to", F.sum("count").over(up_to)).withColumn("n", F.sum("count").over(ties))
+    joined = null_safe_join(ranked, offsets, [*keys, "_part"])
+    located = joined.withColumn("below", F.col("_before") + F.col("_up_to") - F.col("n")).drop("_part", "_up_to", "_before")
+    return located if by else located.drop("count")
 
 
 def avg_rank():
