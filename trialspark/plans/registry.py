@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import compare, diagnostics, draws, effects, exclude, frame, joins, models, regression, sdt, summarise
+from ..operators import compare, diagnostics, draws, effects, exclude, fitting, frame, joins, models, regression, sdt, summarise
 from ..operators.reshape import lengthen, widen
 from ..schema import CELL, CONDITION, DIRECTIONS, EXPERIMENTS, FIT, LEVEL_LABELS, MODELS, PAIR, PARTICIPANT
 from ..session import scratch_path
@@ -430,6 +430,19 @@ def model_evidence(spark, sf):
     return rounded(models.evidence(models.model_bf(fx.log_evidence(spark, sf))), 3)
 
 
+@query
+def hurdle_fit(spark, sf):
+    return rounded(fitting.fit_hurdle(frame.model_frame(fx.trials(spark, sf))), 4)
+
+
+@query
+def hurdle_fit_evidence(spark, sf):
+    """Bayes factors between the fitted models, by the BIC approximation."""
+    fits = fitting.fit_hurdle(frame.model_frame(fx.trials(spark, sf)))
+    logml = fits.select("experiment", F.col("bias_source").alias("condition"), F.col("model_name").alias("model"), "logml")
+    return rounded(models.evidence(models.model_bf(logml)), 4)
+
+
 # Effect regression
 
 
