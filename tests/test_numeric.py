@@ -54,6 +54,11 @@ def test_small_texts(spark):
     assert values(spark, ["low"], text.title, "string") == ["Low"]
 
 
+def test_names(spark):
+    row = spark.createDataFrame([("exp2", "baserate", "full", "present", "low")], "experiment string, bias_source string, model_name string, bias_direction string, contrast_level string")
+    assert row.select(text.fit_name(), text.stim_label(sep="/")).first()[:] == ("exp2_bas_full", "Present/Low contrast")
+
+
 def test_round_even_and_links(spark):
     assert values(spark, [0.5, 1.5, 2.5], numeric.round_even) == [0.0, 2.0, 2.0]
     assert values(spark, [0.0, 800.0, -800.0], numeric.inv_logit) == [0.5, 1.0, 0.0]

@@ -71,7 +71,7 @@ def test_rhat(spark):
     rng = np.random.default_rng(5)
     draws = rng.normal(size=(4, 41)) + np.arange(4)[:, None] * 0.3
     draws[2, 5] = draws[1, 7]
-    rows = [("e", "c", "m", "x", k + 1, i + 1, float(draws[k, i])) for k in range(4) for i in range(41 if k else 43 - 2)]
+    rows = [("e", "c", "m", "x", k + 1, i + 1, float(draws[k, i])) for k in range(4) for i in range(41)]
     rows += [("e", "c", "m", "x", 1, i, 9.0) for i in (42, 43)]  # a longer chain is cut to the shortest even length
     rows += [("e", "c", "m", "constant", k, i, 1.0) for k in (1, 2) for i in range(1, 9)]
     df = spark.createDataFrame(rows, "experiment string, condition string, model_name string, parameter string, chain int, iteration long, value double")

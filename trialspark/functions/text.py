@@ -5,6 +5,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import DIRECTION_LABELS, LEVEL_LABELS
 from .numeric import column, round_even
 
 
@@ -36,6 +37,16 @@ def title(x) -> Column:
     return F.initcap(column(x))
 
 
+def stim_label(direction="bias_direction", level="contrast_level", sep="\n") -> Column:
+    """Display form of a stimulus code."""
+    return F.concat_ws(sep, recode(direction, DIRECTION_LABELS), recode(level, LEVEL_LABELS))
+
+
+def fit_name(experiment="experiment", source="bias_source", model="model_name") -> Column:
+    """Short name of a fit; the source is cut to three letters."""
+    return F.concat_ws("_", column(experiment), F.substring(column(source), 1, 3), column(model))
+
+
 def bf_text(bf) -> Column:
     """Below 1: two decimals. Above 1: scientific from four digits on, else whole, else two decimals."""
     bf = column(bf)

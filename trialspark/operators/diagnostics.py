@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import qnorm
 from .joins import lookup_join
-from .ranking import avg_rank, median_of, ordered_counts
+from .ranking import avg_rank, median_of_placed, ordered_counts, place_values, rank_placed
 
 FIT_KEYS = ["experiment", "condition", "model_name"]
 
@@ -55,10 +55,13 @@ def rhat(draws: DataFrame, keys=FIT_KEYS, rank=True) -> DataFrame:
     split = split_chains(draws, keys)
     if not rank:
         return _split_rhat(split, unit)
-    ranked = ordered_counts(split, unit, "value", by=["half"])
-    centre = median_of(ranked, unit, "value", "_median")
-    tallies = ranked.select(*unit, "half", "value", F.col("count").alias("held"))
-    distance = lookup_join(tallies, centre, unit, "inner").withColumn("value", F.abs(F.col("value") - F.col("_median")))
+    placed = place_values(split, unit, "value", by=["half"])
+    ranked = rank_placed(placed, "value")
+    centre = median_of_placed(placed, "value", "_median")
+    tallies = placed.select("_group.*", "half", "value", F.col("count").alias("held"))
+    distance = lookup_join(tallies, centre, unit, "inner", stored=True).withColumn(
+        "value", F.abs(F.col("value") - F.col("_median"))
+    )
     folded = ordered_counts(distance, unit, "value", by=["half"], weight="held")
     both = _normalised_rhat(ranked, unit).unionByName(_normalised_rhat(folded, unit))
     return both.groupBy(*unit).agg(F.max("rhat").alias("rhat"))

@@ -118,11 +118,11 @@ def exclusion_log(trials: DataFrame, sd_threshold=4.0, na="skip") -> DataFrame:
 
     def judged(df, value, rows):
         bounds = zscore_bounds(df.where(rows), ["experiment"], value, sd_threshold, na)
-        joined = lookup_join(df.drop(*BOUNDS, "_constant"), bounds, ["experiment"], "left")
+        joined = lookup_join(df.drop(*BOUNDS, "_constant"), bounds, ["experiment"], "left", stored=True)
         return joined.withColumn("_flag", rows & outside(value))
 
     bounds = zscore_bounds(staircase_values(statistics), ["experiment"], "value", sd_threshold, na)
-    targets = lookup_join(statistics.withColumn("value", F.col("target_contrast")), bounds, ["experiment"], "left")
+    targets = lookup_join(statistics.withColumn("value", F.col("target_contrast")), bounds, ["experiment"], "left", stored=True)
     targets = targets.withColumn("_flag", F.coalesce(F.col("value") != 0, F.lit(False)) & outside())
     staircase = targets.where("_flag").select(*PARTICIPANT, "value", *BOUNDS).distinct()
 

@@ -2,41 +2,62 @@
 
 A window over a group puts the whole group into one task. Here the distinct values of all groups are range-partitioned
 together, so a large group spans many partitions; ranks inside a partition are shifted by the sizes of the partitions
-before it.
+before it. Groups are held as a struct, which compares missing keys as equal in joins and windows alike.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .joins import null_safe_join
 
 
-def ordered_counts(df: DataFrame, keys, value, by=(), weight=None, **extra) -> DataFrame:
-    """One row per (keys, distinct value): `n` rows of that value, `below` rows of smaller ones, `total` in the group.
+def place_values(df: DataFrame, keys, value, by=(), weight=None, **extra) -> DataFrame:
+    """The distinct values of each group with their `count`, range-partitioned by group and value and stored.
 
-    With `by`, one row per (keys, value, by) that also has its own `count`. `weight` names a column that says how many
-    rows each input row stands for. `extra` aggregates are computed on the way. NULL values are left out.
+    Rows are told apart by `by` as well. `weight` names a column that says how many rows each input row stands for;
+    `extra` aggregates are computed on the way. NULL values are left out. Stored, because the partition a row falls into
+    (`_part`) must be the same wherever the table is used.
     """
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     aggregates = [rows.alias("count"), *[agg.alias(name) for name, agg in extra.items()]]
     distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value, *by).agg(*aggregates)
-    # Stored, because the partition a row falls into must be the same in both branches below.
-    placed = materialize(distinct.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
-    parts = placed.groupBy(*keys, "_part").agg(F.sum("count").alias("_size"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(
-        *keys,
-        "_part",
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_size").over(Window.partitionBy(*keys)).alias("total"),
+    grouped = distinct.withColumn("_group", F.struct(*keys)).drop(*keys)
+    return materialize(grouped.repartitionByRange("_group", value).withColumn("_part", F.spark_partition_id()))
+
+
+def _offsets(placed):
+    """Rows of the group before each partition, in it, and in all. At most one row per group and partition."""
+    parts = placed.groupBy("_group", "_part").agg(F.sum("count").alias("_size"))
+    group = Window.partitionBy("_group")
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+    return parts.select("_group", "_part", before.alias("_before"), F.sum("_size").over(group).alias("total"), "_size")
+
+
+def _located(placed, offsets, value):
+    """Adds `n` and `below`; windows and join share one partitioning by group and partition."""
+    inside = Window.partitionBy("_group", "_part")
+    up_to = inside.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.withColumn("_up_to", F.sum("count").over(up_to)).withColumn(
+        "n", F.sum("count").over(Window.partitionBy("_group", "_part", value))
     )
-    up_to = Window.partitionBy(*keys, "_part").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ties = Window.partitionBy(*keys, "_part", value)
-    ranked = placed.withColumn("_up_to", F.sum("count").over(up_to)).withColumn("n", F.sum("count").over(ties))
-    joined = null_safe_join(ranked, offsets, [*keys, "_part"])
-    located = joined.withColumn("below", F.col("_before") + F.col("_up_to") - F.col("n")).drop("_part", "_up_to", "_before")
-    return located if by else located.drop("count")
+    joined = ranked.join(offsets.drop("_size"), ["_group", "_part"])
+    below = F.col("_before") + F.col("_up_to") - F.col("n")
+    return joined.withColumn("below", below).drop("_up_to", "_before")
+
+
+def _unpacked(df):
+    return df.select("_group.*", *[c for c in df.columns if c not in ("_group", "_part")])
+
+
+def rank_placed(placed: DataFrame, value) -> DataFrame:
+    """Placed values with `n` rows of the value, `below` rows of smaller ones and `total` rows in the group."""
+    return _unpacked(_located(placed, _offsets(placed), value))
+
+
+def ordered_counts(df: DataFrame, keys, value, by=(), weight=None, **extra) -> DataFrame:
+    """Distinct values per group with `n`, `below` and `total`; see `place_values` for the arguments."""
+    return rank_placed(place_values(df, keys, value, by, weight, **extra), value)
 
 
 def avg_rank():
@@ -44,18 +65,20 @@ def avg_rank():
     return F.col("below") + (F.col("n") + 1) / 2.0
 
 
-def exact_median(df: DataFrame, keys, value, name="median") -> DataFrame:
-    """Interpolating median per group, from the value or two values in the middle."""
-    return median_of(ordered_counts(df, keys, value), keys, value, name)
-
-
-def median_of(counts: DataFrame, keys, value, name="median") -> DataFrame:
-    """The median from the output of `ordered_counts`."""
+def median_of_placed(placed: DataFrame, value, name="median") -> DataFrame:
+    """Interpolating median per group; only the partitions that hold a middle position are looked into."""
+    low, high = F.floor((F.col("total") + 1) / 2.0), F.floor(F.col("total") / 2.0) + 1
+    middle = _offsets(placed).where((F.col("_before") < high) & (low <= F.col("_before") + F.col("_size")))
+    nearby = placed.join(middle.select("_group", "_part"), ["_group", "_part"])
+    located = _located(nearby, middle, value)
     reach = F.col("below") + F.col("n")
 
     def at(position):
         return F.max(F.when((F.col("below") < position) & (position <= reach), F.col(value)))
 
-    low, high = F.floor((F.col("total") + 1) / 2.0), F.floor(F.col("total") / 2.0) + 1
-    middle = counts.where((F.col("below") < high) & (low <= reach))
-    return middle.groupBy(*keys).agg(((at(low) + at(high)) / 2.0).alias(name))
+    medians = located.groupBy("_group").agg(((at(low) + at(high)) / 2.0).alias(name))
+    return medians.select("_group.*", name)
+
+
+def exact_median(df: DataFrame, keys, value, name="median") -> DataFrame:
+    return median_of_placed(place_values(df, keys, value), value, name)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import normal_cdf, round_even
 from ..functions.student import t_quantile
 from ..schema import PARTICIPANT
+from ..session import materialize
 from .joins import lookup_join
 from .reshape import diff_by_measure
 
@@ -18,7 +19,9 @@ def logit_adjusted(df: DataFrame, cols, keys=("experiment",), adjust=0.025) -> D
     """Logit of the listed columns taken together per key.
 
     If any value is 0 or 1, all values of the key move towards one half first; above 1 they are read as percentages.
+    The range must be known before any value can be moved, so the input is stored and read twice.
     """
+    df = materialize(df)
     scope = df.groupBy(*keys).agg(
         *[f(c).alias(f"_{name}_{c}") for c in cols for name, f in (("low", F.min), ("high", F.max))]
     )
@@ -32,7 +35,7 @@ def logit_adjusted(df: DataFrame, cols, keys=("experiment",), adjust=0.025) -> D
     unit = F.when(F.col("_high") > 1, 100.0).otherwise(1.0)
     touches = (F.col("_low") == 0) | (F.col("_high") == unit)
     scope = scope.select(*keys, unit.alias("_unit"), F.when(touches, 1 - 2 * adjust).otherwise(1.0).alias("_shrink"))
-    joined = lookup_join(df, scope, list(keys))
+    joined = lookup_join(df, scope, list(keys), stored=True)
     moved = {c: 0.5 + F.col("_shrink") * (F.col(c) / F.col("_unit") - 0.5) for c in cols}
     return joined.withColumns(moved).withColumns({c: F.ln(F.col(c) / (1 - F.col(c))) for c in cols}).drop("_unit", "_shrink")
 

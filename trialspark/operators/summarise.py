@@ -51,6 +51,12 @@ def empty_cells(trials: DataFrame) -> DataFrame:
     return answered.groupBy(*PAIR).agg(*per_direction).where((F.col("n_control") == 0) | (F.col("n_present") == 0))
 
 
+def incomplete_pairs(summary: DataFrame) -> DataFrame:
+    """Participants and levels for which a per-direction summary has only one of the two rows."""
+    present = F.count_if(F.col("bias_direction") == "present"), F.count_if(F.col("bias_direction") == "control")
+    return summary.groupBy(*PAIR).agg(F.least(*present).alias("_n")).where(F.col("_n") == 0).drop("_n")
+
+
 def empty_cell_counts(empty: DataFrame) -> DataFrame:
     return empty.groupBy("experiment", "bias_source", "contrast_level").agg(F.count(F.lit(1)).alias("n"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import compare, diagnostics, draws, effects, exclude, fitting, frame, joins, models, regression, sdt, summarise
 from ..operators.reshape import lengthen, widen
 from ..schema import CELL, CONDITION, DIRECTIONS, EXPERIMENTS, FIT, LEVEL_LABELS, MODELS, PAIR, PARTICIPANT
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.trials import read_trials, write_by_experiment
 from . import fixtures as fx
 
@@ -171,8 +171,8 @@ def empty_cell_counts(spark, sf):
 
 
 def _complete(spark, sf):
-    trials = fx.trials(spark, sf)
-    return joins.exclude_keys(summarise.median_nonzero(trials), summarise.empty_cells(trials), PAIR)
+    medians = materialize(summarise.median_nonzero(fx.trials(spark, sf)))
+    return joins.exclude_keys(medians, summarise.incomplete_pairs(medians), PAIR, stored=True)
 
 
 @query
@@ -474,7 +474,7 @@ def effect_logit(spark, sf):
 
 
 def _fit(spark, sf):
-    points = regression.effect_logit(_full_model(spark, sf))
+    points = materialize(regression.effect_logit(_full_model(spark, sf)))
     return points, regression.effect_regression(points)
 
 
