@@ -199,7 +199,7 @@ PARTS = {
         FROM shrunk GROUP BY ALL""",
     "fit": """SELECT *, sqrt(greatest(syy - slope * slope * sxx, 0) / df) AS sigma,
         sqrt(greatest(syy - slope * slope * sxx, 0) / df) / sqrt(sxx) AS se FROM (
-          SELECT experiment, bias_source, regr_count(hurdle_prob, answer) AS n, regr_count(hurdle_prob, answer) - 2 AS df,
+          SELECT experiment, bias_source, CAST(regr_count(hurdle_prob, answer) AS BIGINT) AS n, CAST(regr_count(hurdle_prob, answer) AS BIGINT) - 2 AS df,
             regr_slope(hurdle_prob, answer) AS slope, regr_intercept(hurdle_prob, answer) AS intercept,
             regr_r2(hurdle_prob, answer) AS r2, regr_sxx(hurdle_prob, answer) AS sxx, regr_syy(hurdle_prob, answer) AS syy,
             regr_avgx(hurdle_prob, answer) AS x_mean FROM points GROUP BY ALL)""",
