@@ -9,6 +9,7 @@ Evidence is the BIC approximation with the effective number of parameters, not a
 """
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -46,7 +47,7 @@ def _moments(rows: DataFrame) -> DataFrame:
     base |= {"z": F.col("target"), "zs": F.col("target") * F.col("stim")}
     sums = [F.sum(F.col("weight") * x).alias(k) for k, x in base.items()]
     sums += [F.sum(F.col("weight") * F.col("c") * x).alias(f"{k}1") for k, x in base.items()]
-    return rows.groupBy(*PERSON).agg(*sums)
+    return rows.groupBy(*PERSON).agg(*sums, F.sum("loglik").alias("loglik"))
 
 
 def _blocks(moments: DataFrame, ridge: float) -> DataFrame:
@@ -74,14 +75,17 @@ def _through_block(left, right):
 
 
 def _solve(blocks: DataFrame) -> DataFrame:
-    """The common coefficients of each fit, participants eliminated; unused condition terms are 0."""
+    """The common coefficients of each fit, participants eliminated; unused condition terms are 0.
+
+    `loglik` is the log likelihood the moments were taken at.
+    """
     wx = [_cols(_WX[0][i], _WX[1][i]) for i in range(4)]
     entries = [
         F.sum(F.col(_XX[i][j]) - _through_block(wx[i], wx[j])).alias(f"g{i}{j}") for i in range(4) for j in range(i, 4)
     ]
     entries += [F.sum(F.col(_XZ[i]) - _through_block(wx[i], _cols(*_WZ))).alias(f"h{i}") for i in range(4)]
-    systems = blocks.groupBy(*PART).agg(*entries)
-    keys, beta = list(PART), list(BETA)
+    systems = blocks.groupBy(*PART).agg(*entries, F.sum("loglik").alias("loglik"))
+    keys, beta = [*PART, "loglik"], list(BETA)
 
     def solve(batches):
         for batch in batches:
@@ -95,7 +99,7 @@ def _solve(blocks: DataFrame) -> DataFrame:
             out[beta] = found
             yield out
 
-    schema = "experiment string, bias_source string, with_cond int, " + ", ".join(f"{b} double" for b in BETA)
+    schema = "experiment string, bias_source string, with_cond int, loglik double, " + ", ".join(f"{b} double" for b in BETA)
     return systems.mapInPandas(solve, schema)
 
 
@@ -120,13 +124,21 @@ def _predictor():
     return b0 + u0 + b1 * F.col("stim") + (b2 + u1 + b3 * F.col("stim")) * F.col("c")
 
 
-def _largest_change(beta: DataFrame, before: DataFrame) -> float:
-    old = before.withColumnsRenamed({b: f"_{b}" for b in BETA})
-    change = F.greatest(*[F.abs(F.col(b) - F.col(f"_{b}")) / (1 + F.abs(f"_{b}")) for b in BETA])
+def _zero_loglik(eta):
+    """Log likelihood of the zero counts of a cell on the logit scale."""
+    chance = -F.log1p(F.exp(-F.abs(eta)))
+    passed = F.col("n") - F.col("zeros")
+    return F.col("zeros") * (chance + F.least(eta, F.lit(0.0))) + passed * (chance - F.greatest(eta, F.lit(0.0)))
+
+
+def _largest_gain(beta: DataFrame, before: DataFrame) -> float:
+    """Largest relative change of a fit's deviance. Unlike a coefficient, it settles when an outcome is separable."""
+    old = before.select(*PART, F.col("loglik").alias("_old"))
+    change = 2 * F.abs(F.col("loglik") - F.col("_old")) / (2 * F.abs("loglik") + 0.1)
     return null_safe_join(beta, old, PART).agg(F.max(change).alias("change")).first()["change"] or 0.0
 
 
-def fit_logistic(cells: DataFrame, ridge=1.0, max_iter=25, tol=1e-7) -> DataFrame:
+def fit_logistic(cells: DataFrame, ridge=1.0, max_iter=30, tol=1e-9) -> DataFrame:
     """Coefficients and participant effects of the zero part, by iteratively reweighted least squares.
 
     An iteration is one pass over the cells; its sums are stored, so the lineage does not grow with the iterations.
@@ -136,22 +148,23 @@ def fit_logistic(cells: DataFrame, ridge=1.0, max_iter=25, tol=1e-7) -> DataFram
         rows = cells.withColumn("eta", F.lit(0.0)) if effects is None else null_safe_join(
             cells, effects, PERSON
         ).withColumn("eta", _predictor())
-        rows = rows.withColumn("p", inv_logit("eta"))
+        rows = rows.withColumns({"p": inv_logit("eta"), "loglik": _zero_loglik(F.col("eta"))})
         rows = rows.withColumn("weight", F.col("n") * F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-10)))
         rows = rows.withColumn("target", F.col("eta") + (F.col("zeros") - F.col("n") * F.col("p")) / F.col("weight"))
         blocks = materialize(_blocks(_moments(rows), ridge))
         beta = materialize(_solve(blocks))
         effects = _effects(blocks, beta, ridge)
-        if before is not None and _largest_change(beta, before) < tol:
+        if before is not None and _largest_gain(beta, before) < tol:
             return effects
         before = beta
-    raise RuntimeError(f"no convergence in {max_iter} iterations")
+    warnings.warn(f"zero part has not settled after {max_iter} iterations", stacklevel=2)
+    return effects
 
 
 def fit_normal(cells: DataFrame, ridge=1.0) -> DataFrame:
     """Coefficients and participant effects of the non-zero part, exactly in one pass."""
     shown = cells.where(F.col("passed") > 0)
-    rows = shown.withColumns({"weight": F.col("passed"), "target": F.col("sy") / F.col("passed")})
+    rows = shown.withColumns({"weight": F.col("passed"), "target": F.col("sy") / F.col("passed"), "loglik": F.lit(0.0)})
     blocks = materialize(_blocks(_moments(rows), ridge))
     return _effects(blocks, materialize(_solve(blocks)), ridge)
 
@@ -162,16 +175,13 @@ def _parameters(effects: DataFrame, fixed=0) -> DataFrame:
     return effects.groupBy(*PART).agg((F.sum("u_df") + F.max(terms)).alias("df"), *[F.max(b).alias(b) for b in BETA])
 
 
-def fit_hurdle(frame: DataFrame, ridge=1.0, max_iter=25, tol=1e-7) -> DataFrame:
+def fit_hurdle(frame: DataFrame, ridge=1.0, max_iter=30, tol=1e-9) -> DataFrame:
     """Per experiment, source and model: coefficients of both parts, sigma, log likelihood, parameters, BIC, log evidence."""
     cells = materialize(hurdle_cells(frame))
     zero, size = fit_logistic(cells, ridge, max_iter, tol), fit_normal(cells, ridge)
 
-    p = F.col("eta")
-    chance = -F.log1p(F.exp(-F.abs(p)))
-    log_p, log_q = chance + F.least(p, F.lit(0.0)), chance - F.greatest(p, F.lit(0.0))
     logistic = null_safe_join(cells, zero, PERSON).withColumn("eta", _predictor()).groupBy(*PART).agg(
-        F.sum(F.col("zeros") * log_p + (F.col("n") - F.col("zeros")) * log_q).alias("loglik"), F.sum("n").alias("n")
+        F.sum(_zero_loglik(F.col("eta"))).alias("loglik"), F.sum("n").alias("n")
     )
     fitted = F.col("fitted")
     normal = null_safe_join(cells, size, PERSON).withColumn("fitted", _predictor()).groupBy(*PART).agg(

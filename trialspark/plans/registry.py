@@ -232,14 +232,16 @@ def paired_effect_size(spark, sf):
 @query
 def paired_bayes_factor(spark, sf):
     """Does the bias raise `present` answers?"""
-    return rounded(compare.paired_bf(_present(spark, sf)).select(*CONDITION, "n_pairs", "n_dropped", "t", "d", "log_bf"))
+    scored = compare.paired_bf(_present(spark, sf)).withColumn("log_bf", F.round("log_bf", 4))
+    return rounded(scored.select(*CONDITION, "n_pairs", "n_dropped", "t", "d", "log_bf"))
 
 
 @query
 def paired_bayes_factor_zero(spark, sf):
     """Does the bias lower the share of zero reproductions?"""
     zero = summarise.proportion_zero(fx.trials(spark, sf)).withColumnRenamed("prop_zero", "value")
-    return rounded(compare.paired_bf(zero, conditions=("present", "control")).select(*CONDITION, "n_pairs", "t", "d", "log_bf"))
+    scored = compare.paired_bf(zero, conditions=("present", "control")).withColumn("log_bf", F.round("log_bf", 4))
+    return rounded(scored.select(*CONDITION, "n_pairs", "t", "d", "log_bf"))
 
 
 @query
