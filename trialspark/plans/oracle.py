@@ -221,18 +221,18 @@ def _paired(source, first="control", second="present"):
 
 
 def _paired_bf(source, first="control", second="present"):
-    """Two nested sums: trapezoid over the root v of the scale, Simpson over the prior angle from -pi/2 to 0."""
+    """Two nested sums: trapezoid over the root v of the scale, Simpson over the negative scaled effects near a."""
     return f"""
     g AS ({_paired(source, first, second)}),
     ys AS (SELECT *, CAST(n_pairs - 1 AS DOUBLE) AS nu, sqrt(sqrt(n_pairs - 1) + 14) * i / 400 AS v
            FROM g, range(1, 401) r(i) WHERE t IS NOT NULL),
     yw AS (SELECT *, 2 * v * exp(nu * ln(v * v) - v ** 4 / 2 - nu / 2 * ln(nu) + nu / 2) AS w, t * v * v / sqrt(nu) AS a FROM ys),
-    th AS (SELECT i, 0.707e0 * tan(-pi() / 2 + pi() / 2 * i / 2000) AS delta,
-             CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pi() / 2 / 2000 / 3 AS wt FROM range(0, 2001) r(i)),
-    top AS (SELECT experiment, bias_source, contrast_level, sum(wt * w * exp(-0.5e0 * pow(a - sqrt(n_pairs) * delta, 2))) AS s
-            FROM yw, th GROUP BY ALL),
+    ends AS (SELECT *, least(a, 0) - 9 AS lo, least(a + 9, 0) AS hi, 0.707e0 * sqrt(n_pairs) AS width FROM yw),
+    us AS (SELECT i / 800e0 AS f, CASE WHEN i IN (0, 800) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 2400e0 AS wt FROM range(0, 801) r(i)),
+    top AS (SELECT experiment, bias_source, contrast_level, sum(wt * w * (hi - lo) * exp(-0.5e0 * pow(lo + (hi - lo) * f - a, 2))
+              * 2 / (pi() * width * (1 + pow((lo + (hi - lo) * f) / width, 2)))) AS s FROM ends, us GROUP BY ALL),
     bottom AS (SELECT experiment, bias_source, contrast_level, sum(w * (1 + t * t / nu) ** (-(nu + 1) / 2)) AS s FROM yw GROUP BY ALL),
-    paired_bf AS (SELECT g.*, ln(2 / pi() * top.s / bottom.s) AS log_bf FROM g
+    paired_bf AS (SELECT g.*, ln(top.s / bottom.s) AS log_bf FROM g
             LEFT JOIN top USING (experiment, bias_source, contrast_level)
             LEFT JOIN bottom USING (experiment, bias_source, contrast_level))"""
 
@@ -393,10 +393,10 @@ def _build():
         f"SELECT {COND3}, n_pairs, n_dropped, {_rounded('mean_diff sd_diff t d')} FROM ({_paired('present_share')})"
     )
     o["paired_bayes_factor"] = statement(
-        f"SELECT {COND3}, n_pairs, n_dropped, {_rounded('t d')}, round(log_bf, 4) AS log_bf FROM paired_bf", _paired_bf("present_share")
+        f"SELECT {COND3}, n_pairs, n_dropped, {_rounded('t d log_bf')} FROM paired_bf", _paired_bf("present_share")
     )
     o["paired_bayes_factor_zero"] = statement(
-        f"SELECT {COND3}, n_pairs, {_rounded('t d')}, round(log_bf, 4) AS log_bf FROM paired_bf", _paired_bf("zero_share", "present", "control")
+        f"SELECT {COND3}, n_pairs, {_rounded('t d log_bf')} FROM paired_bf", _paired_bf("zero_share", "present", "control")
     )
     text = f"""CASE WHEN bf <= 1 THEN {_number('bf')} WHEN round_even(bf, 0) > 999 THEN printf('%.1e', bf)
         WHEN round_even(bf, 0) > 1 THEN printf('%.0f', CAST(round_even(bf, 0) AS DOUBLE)) ELSE {_number('bf')} END"""
