@@ -6,6 +6,8 @@ starts after END; nothing before an END is ever part of a context.
 """
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BITS = 9  # of a symbol in a packed key: 256 bytes and END
 END = 256
@@ -35,14 +37,32 @@ def grams(symbols, depth):
     return keys
 
 
-def levels(keys, counts, depth):
-    """Counts of (context, next) for contexts of 0 .. depth symbols, from counts of the longest."""
-    out = []
-    for d in range(depth + 1):
-        short = keys & ((1 << (BITS * (d + 1))) - 1)
-        unique, where = np.unique(short, return_inverse=True)
-        out.append((unique, np.bincount(where, counts, len(unique)).astype(np.float64)))
-    return out
+def frequent_contexts(runs: DataFrame, depth: int, least: int, by: str | None = None):
+    """What follows each context seen at least `least` times, as a pandas table (by, d, key, n), for contexts of 0 ..
+    `depth` symbols. runs: (by, key, n), the counts of runs of `depth` + 1 symbols.
+
+    The shorter runs are summed from the longest. The table is as small as `least` makes it: no more than (bytes of
+    `runs`) / `least` contexts of each length, of 257 rows at most.
+    """
+    group = [by] if by else []
+    masks = F.array(*[F.struct(F.lit(d).alias("d"), F.lit((1 << (BITS * (d + 1))) - 1).cast("long").alias("mask")) for d in range(depth + 1)])
+    return (
+        runs.select(*group, "key", "n", F.explode(masks).alias("m"))
+        .groupBy(*group, F.col("m.d").alias("d"), F.col("key").bitwiseAND(F.col("m.mask")).alias("key"))
+        .agg(F.sum("n").alias("n"))
+        .groupBy(*group, "d", F.shiftright("key", BITS).alias("context"))
+        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("key", "n")).alias("after"))
+        .where((F.col("total") >= least) | (F.col("d") == 0))
+        .select(*group, "d", F.explode("after").alias("after"))
+        .select(*group, "d", "after.key", "after.n")
+        .toPandas()
+    )
+
+
+def by_depth(table, depth):
+    """(keys, counts) for each context length."""
+    parts = [table[table["d"] == d] for d in range(depth + 1)]
+    return [(p["key"].to_numpy(np.int64), p["n"].to_numpy(np.float64)) for p in parts]
 
 
 def escape_blend(counts, shorter):

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .context_tree import MASK, Alphabet, Automaton, Model, escape_blend, grams, levels, stream
+from .context_tree import MASK, Alphabet, Automaton, Model, by_depth, escape_blend, frequent_contexts, grams, stream
 from .text import KeyCounter, batches, buffer, slices
 
 UNDETERMINED = "und"
@@ -51,23 +51,23 @@ def count_grams(texts: DataFrame, depth: int) -> DataFrame:
     return counted.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, depth=4, most_per_lang=1500, min_count=3) -> tuple[list[str], Automaton | None]:
+def fit(docs: DataFrame, depth=4, most_per_lang=1500, min_count=24) -> tuple[list[str], Automaton | None]:
     """The languages, sorted, and one automaton with a tree for each.
 
     The counts come from a bounded number of texts (`most_per_lang`), so what reaches the driver is bounded too.
     `min_count`: a context seen less often is left to the shorter one.
     """
-    table = count_grams(training_rows(docs, most_per_lang), depth).toPandas()
+    runs = count_grams(training_rows(docs, most_per_lang), depth)
+    table = frequent_contexts(runs, depth, min_count, "lang")
     langs = sorted(table["lang"].unique())
     if not langs:
         return [], None
-    by_lang = {}
-    totals = np.zeros(MASK + 1)
+    totals, counts = np.zeros(MASK + 1), {}
     for lang, part in table.groupby("lang"):
-        by_lang[lang] = levels(part["key"].to_numpy(np.int64), part["n"].to_numpy(np.float64), depth)
-        np.add.at(totals, by_lang[lang][0][0], by_lang[lang][0][1])
+        counts[lang] = by_depth(part, depth)
+        np.add.at(totals, *counts[lang][0])
     alphabet = Alphabet(totals, 2)
-    models = [Model(by_lang[lang], alphabet, escape_blend, min_count, 0.0) for lang in langs]
+    models = [Model(counts[lang], alphabet, escape_blend, min_count, 0.0) for lang in langs]
     return langs, Automaton(models, alphabet)
 
 
