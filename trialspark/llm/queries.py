@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language
+from . import language, scoring
 from .storage import read_table
 
 
@@ -18,7 +18,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, langs, automaton).withColumn("held_out", fold(5) == 0)
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = scoring.fit(docs.where(fold(7) != 2))
+    return scoring.score(docs, model).withColumn("held_out", fold(7) == 2)
+
+
 QUERIES = {
+    "op9_suffix_tree": op9_suffix_tree,
     "op10_language": op10_language,
 }
 ORACLE: dict[str, str] = {}

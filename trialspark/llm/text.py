@@ -133,3 +133,21 @@ def batches(schema, columns, rows=1 << 16):
     n = len(columns[0])
     for i in range(0, n, rows):
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + rows], type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def canonical(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts with their words joined by single spaces."""
+    n, last = len(words.data), words.first[1:] - 1
+    kept = ~SPACE[words.data]
+    inner = np.ones(len(words.ends), dtype=bool)
+    inner[last[last >= words.first[:-1]]] = False
+    gaps = words.ends[inner]
+    kept[gaps] = True
+    place = np.zeros(n + 1, dtype=np.int64)
+    np.cumsum(kept, out=place[1:])
+    data = words.data[kept]
+    data[place[gaps]] = 32
+    sizes = np.zeros(len(words.first), dtype=np.int64)
+    has = np.flatnonzero(words.first[1:] > words.first[:-1])
+    sizes[has + 1] = place[words.ends[words.first[has + 1] - 1]] - place[words.starts[words.first[has]]]
+    return data, np.cumsum(sizes)
