@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import columns
+
 BITS = 9  # of a symbol in a packed key: 256 bytes and END
 END = 256
 MASK = (1 << BITS) - 1
@@ -38,7 +40,7 @@ def grams(symbols, depth):
 
 
 def frequent_contexts(runs: DataFrame, depth: int, least: int, by: str | None = None):
-    """What follows each context seen at least `least` times, as a pandas table (by, d, key, n), for contexts of 0 ..
+    """What follows each context seen at least `least` times, as columns (by, d, key, n), for contexts of 0 ..
     `depth` symbols. runs: (by, key, n), the counts of runs of `depth` + 1 symbols.
 
     The shorter runs are summed from the longest. The table is as small as `least` makes it: no more than (bytes of
@@ -46,7 +48,7 @@ def frequent_contexts(runs: DataFrame, depth: int, least: int, by: str | None =
     """
     group = [by] if by else []
     masks = F.array(*[F.struct(F.lit(d).alias("d"), F.lit((1 << (BITS * (d + 1))) - 1).cast("long").alias("mask")) for d in range(depth + 1)])
-    return (
+    return columns(
         runs.select(*group, "key", "n", F.explode(masks).alias("m"))
         .groupBy(*group, F.col("m.d").alias("d"), F.col("key").bitwiseAND(F.col("m.mask")).alias("key"))
         .agg(F.sum("n").alias("n"))
@@ -55,14 +57,13 @@ def frequent_contexts(runs: DataFrame, depth: int, least: int, by: str | None =
         .where((F.col("total") >= least) | (F.col("d") == 0))
         .select(*group, "d", F.explode("after").alias("after"))
         .select(*group, "d", "after.key", "after.n")
-        .toPandas()
     )
 
 
-def by_depth(table, depth):
-    """(keys, counts) for each context length."""
-    parts = [table[table["d"] == d] for d in range(depth + 1)]
-    return [(p["key"].to_numpy(np.int64), p["n"].to_numpy(np.float64)) for p in parts]
+def by_depth(table, depth, rows=True):
+    """(keys, counts) for each context length, of some rows."""
+    parts = [(table["d"] == d) & rows for d in range(depth + 1)]
+    return [(table["key"][p], table["n"][p].astype(np.float64)) for p in parts]
 
 
 def escape_blend(counts, shorter):

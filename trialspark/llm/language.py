@@ -59,12 +59,12 @@ def fit(docs: DataFrame, depth=4, most_per_lang=1500, min_count=24) -> tuple[lis
     """
     runs = count_grams(training_rows(docs, most_per_lang), depth)
     table = frequent_contexts(runs, depth, min_count, "lang")
-    langs = sorted(table["lang"].unique())
+    langs = sorted(set(table["lang"]))
     if not langs:
         return [], None
     totals, counts = np.zeros(MASK + 1), {}
-    for lang, part in table.groupby("lang"):
-        counts[lang] = by_depth(part, depth)
+    for lang in langs:
+        counts[lang] = by_depth(table, depth, table["lang"] == lang)
         np.add.at(totals, *counts[lang][0])
     alphabet = Alphabet(totals, 2)
     models = [Model(counts[lang], alphabet, escape_blend, min_count, 0.0) for lang in langs]

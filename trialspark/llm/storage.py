@@ -29,5 +29,11 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def columns(df: DataFrame) -> dict:
+    """A small table as numpy arrays by column name; fetched as Arrow batches, without a Python object per row."""
+    table = df.toArrow()
+    return {name: table.column(name).to_numpy() for name in table.column_names}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
