@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .context_tree import MASK, Alphabet, Automaton, Model, by_depth, frequent_contexts, grams, prior_blend, stream
-from .storage import store
+from .storage import columns, store
 from .text import LOWER, KeyCounter, Words, batches, buffer, canonical, slices
 
 WORD, GRAM = 0, 1
@@ -76,9 +76,9 @@ def fit(texts: DataFrame, depth=5, least_share=3e-6, min_gain=16.0, prior=16.0,
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("key").alias("v")).first()
     tokens, kinds = int(total["n"]), int(total["v"])
     least_common = max(1, -(-tokens // common_words))
-    common = words.where(F.col("n") >= least_common).toPandas()
-    order = np.argsort(common["key"].to_numpy(np.int64).view(np.uint64), kind="stable")
-    common = tuple(common[c].to_numpy(np.int64)[order] for c in ("key", "n"))
+    common = columns(words.where(F.col("n") >= least_common))
+    order = np.argsort(common["key"].view(np.uint64), kind="stable")
+    common = common["key"][order], common["n"][order]
 
     runs = counted.where(F.col("kind") == GRAM)
     symbols = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -121,14 +121,14 @@ def score(docs: DataFrame, model: SuffixModel, keep=("doc_id",)) -> DataFrame:
                 if len(end_at):
                     known, base = known + 1, base + gain[end_at[0]]
                 rows = row + np.arange(j - i)
-                columns = [part.column(n).slice(i, j - i) for n in names]
-                columns += [pa.array(rows), pa.nulls(j - i, pa.int64()), pa.array(np.diff(words.first) + 1), pa.array(known), pa.array(base), pa.array(automaton.score(text, at)[:, 0])]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "row", "word", "n_tokens", "n_known", "base", "score"])
+                out = [part.column(n).slice(i, j - i) for n in names]
+                out += [pa.array(rows), pa.nulls(j - i, pa.int64()), pa.array(np.diff(words.first) + 1), pa.array(known), pa.array(base), pa.array(automaton.score(text, at)[:, 0])]
+                yield pa.RecordBatch.from_arrays(out, names=[*names, "row", "word", "n_tokens", "n_known", "base", "score"])
                 rare = hashes[~found].view(np.int64)
                 if len(rare):
-                    columns = [pa.nulls(len(rare), part.column(n).type) for n in names]
-                    columns += [pa.array(rows[owners[~found]]), pa.array(rare), *[pa.nulls(len(rare), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*names, "row", "word", "n_tokens", "n_known", "base", "score"])
+                    out = [pa.nulls(len(rare), part.column(n).type) for n in names]
+                    out += [pa.array(rows[owners[~found]]), pa.array(rare), *[pa.nulls(len(rare), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]]
+                    yield pa.RecordBatch.from_arrays(out, names=[*names, "row", "word", "n_tokens", "n_known", "base", "score"])
                 row += j - i
 
     source = docs.select(*[F.col(f.name).alias(n) for f, n in zip(kept, names, strict=True)], F.col("text").alias("_text"))
