@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, scoring
+from . import language, scoring, simhash, substrings
 from .storage import read_table
 
 
@@ -18,6 +18,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, langs, automaton).withColumn("held_out", fold(5) == 0)
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = scoring.fit(docs.where(fold(7) != 2))
@@ -25,6 +33,8 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substrings": op2_substrings,
+    "op4_simhash": op4_simhash,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_language": op10_language,
 }
