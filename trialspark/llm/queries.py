@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, scoring, simhash, substrings
+from . import language, packing, scoring, simhash, substrings
 from .storage import read_table
 
 
@@ -26,6 +26,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = scoring.fit(docs.where(fold(7) != 2))
@@ -35,6 +39,7 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_substrings": op2_substrings,
     "op4_simhash": op4_simhash,
+    "op7_packing": op7_packing,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_language": op10_language,
 }
