@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, scoring, simhash, substrings
+from . import language, licenses, mixing, packing, scoring, simhash, substrings
 from .storage import read_table
 
 
@@ -26,6 +26,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.in_service_order(mixing.mix(read_table(spark, sf_dir, "documents"))).drop("source_rank")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,8 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_substrings": op2_substrings,
     "op4_simhash": op4_simhash,
+    "op5_mixing": op5_mixing,
+    "op6_licenses": op6_licenses,
     "op7_packing": op7_packing,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_language": op10_language,
