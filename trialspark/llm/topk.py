@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .storage import store
 from .vectors import best_rows, matrix, ranked, usable
 
-BLOCK = 8192
+BLOCK = 16_384
 QUERIES = 256
 SEGMENTS = 16
+ROUNDS = 12
 
 
 class ImpactIndex:
@@ -24,47 +25,50 @@ class ImpactIndex:
 
     def __init__(self, ids, vectors, segments=SEGMENTS):
         self.ids, self.vectors = ids, vectors
-        n, width = vectors.shape
-        self.order = np.argsort(-vectors, axis=0, kind="stable").T.astype(np.int32)  # by component
-        self.values = np.take_along_axis(vectors.T, self.order, axis=1)
+        width = vectors.shape[1]
+        self.order = np.ascontiguousarray(np.argsort(-vectors, axis=0, kind="stable").T)  # by component
+        self.values = np.take_along_axis(vectors.T, self.order, axis=1).astype(np.float64)  # whole numbers, exactly
         cuts = []
-        for c in range(width):
-            v = self.values[c]
+        for v in self.values:
             level = (v[0] - v) * segments // (v[0] - v[-1] + 1)  # quantised value, 0 the largest
             cuts.append(np.flatnonzero(np.r_[True, level[1:] != level[:-1], True]))
         self.component = np.repeat(np.arange(width), [len(x) - 1 for x in cuts])
-        self.begin = np.concatenate([x[:-1] for x in cuts])
-        self.end = np.concatenate([x[1:] for x in cuts])
-        self.high, self.low = self.values[self.component, self.begin], self.values[self.component, self.end - 1]
+        begin, end = np.concatenate([x[:-1] for x in cuts]), np.concatenate([x[1:] for x in cuts])
+        self.size, self.high, self.low = end - begin, self.values[self.component, begin], self.values[self.component, end - 1]
 
     def search(self, query, own, k):
         """(ids, scores) of the block's `k` best other than `own`; more on ties."""
         n, width = self.vectors.shape
-        first, last = self.values[:, 0] * query, self.values[:, -1] * query
-        floor = np.minimum(first, last)  # what a component adds at least
-        up = query[self.component] > 0
-        impact = np.where(up, self.high, self.low) * query[self.component] - floor[self.component]
+        floor = np.minimum(self.values[:, 0] * query, self.values[:, -1] * query)  # what a component adds at least
+        up = query > 0
+        impact = np.where(up[self.component], self.high, self.low) * query[self.component] - floor[self.component]
         order = np.argsort(-impact, kind="stable")
-        order = order[impact[order] > 0]
-        sums, seen = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int16)
-        sums[self.ids == own] = -(1 << 62)
-        few = max(4 * k, n // 64)
-        members = np.arange(n)
-        checks = set(np.linspace(0, len(order), 17).astype(int)[5:])
-        for done, s in enumerate(order.tolist()):
-            if done in checks:
-                # Every vector has at least its sum so far; what is still to come adds at most `impact` per component.
-                bar = np.partition(sums, n - k)[n - k] if n > k else -(1 << 61)
-                members = np.flatnonzero(sums + (width - seen) * impact[s] >= bar)
+        order = order[: np.count_nonzero(impact > 0)]
+        sums, seen, used = np.zeros(n), np.zeros(n), np.zeros(width, dtype=np.int64)
+        sums[self.ids == own] = -np.inf
+        few, members = max(4 * k, n // 64), np.arange(n)
+        # The segments are taken in rounds of about equally many postings; the proof is tried after the later rounds.
+        upto = np.cumsum(self.size[order])
+        rounds = np.unique(np.searchsorted(upto, np.linspace(0, upto[-1], ROUNDS + 1)[1:]) + 1) if len(order) else []
+        start = 0
+        for stop in rounds:
+            more = np.bincount(self.component[order[start:stop]], self.size[order[start:stop]], width).astype(np.int64)
+            who, add = [], []
+            for c in np.flatnonzero(more):
+                part = slice(used[c], used[c] + more[c]) if up[c] else slice(n - used[c] - more[c], n - used[c])
+                who.append(self.order[c, part])
+                add.append(self.values[c, part] * query[c] - floor[c])
+            who = np.concatenate(who)
+            sums += np.bincount(who, np.concatenate(add), n)
+            seen += np.bincount(who, minlength=n)
+            used, start = used + more, stop
+            # Every vector has its sum at least, and what is still to come adds no more than `left` per component.
+            left = impact[order[stop]] if stop < len(order) else 0.0
+            if left * width < sums.max() or not left:
+                bar = np.partition(sums, n - k)[n - k] if n > k else -np.inf
+                members = np.flatnonzero(sums + (width - seen) * left >= bar)
                 if len(members) <= few:
                     break
-            c = self.component[s]
-            who = self.order[c, self.begin[s] : self.end[s]]
-            sums[who] += self.values[c, self.begin[s] : self.end[s]] * query[c] - floor[c]
-            seen[who] += 1
-        else:
-            bar = np.partition(sums, n - k)[n - k] if n > k else -(1 << 61)
-            members = np.flatnonzero(sums >= bar)
         members = members[self.ids[members] != own]
         return self.ids[members], self.vectors[members] @ query
 
