@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, neighbours, packing, scoring, simhash, substrings, topk
+from . import language, licenses, mixing, neighbours, packing, scoring, simhash, substrings, topk, toxicity
 from .storage import read_table
 
 
@@ -46,6 +46,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, docs.where(fold(5) != 0), labels.where(fold(5) != 0))
+    return toxicity.score(docs, model).withColumn("held_out", fold(5) == 0)
+
+
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = scoring.fit(docs.where(fold(7) != 2))
@@ -60,6 +67,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_licenses": op6_licenses,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_language": op10_language,
 }
