@@ -42,7 +42,7 @@ def count_grams(texts: DataFrame, depth: int) -> DataFrame:
             for i, lang in enumerate(langs):
                 own = offsets[i : i + 2] - offsets[i]
                 symbols, _ = stream(data[offsets[i] : offsets[i + 1]], own)
-                counters.setdefault(lang, KeyCounter()).add(grams(symbols, depth))
+                counters.setdefault(lang, KeyCounter(1 << 18)).add(grams(symbols, depth))
         for lang, counter in counters.items():
             keys, counts = counter.result()
             yield from batches(schema, [np.full(len(keys), lang, dtype=object), keys.astype(np.int64), counts])
@@ -84,9 +84,9 @@ def identify(docs: DataFrame, langs: list[str], automaton: Automaton | None, kee
     def task(parts):
         langs, automaton = shared.value
         for part in parts:
-            texts = part.column("_text")
+            texts = part.column(text)
             data, offsets = buffer(texts)
-            lettered = np.fromiter((t is not None and LETTER.search(t) is not None for t in texts.to_pylist()), bool, len(texts))
+            lettered = np.fromiter((t.is_valid and LETTER.search(t.as_py()) is not None for t in texts), bool, len(texts))
             names, scores, rates = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts)), np.full(len(texts), np.nan)
             if automaton is not None:
                 for i, j in slices(offsets):
@@ -105,4 +105,5 @@ def identify(docs: DataFrame, langs: list[str], automaton: Automaton | None, kee
             )
 
     columns = [F.col(name).alias(f"_{k}") for k, name in enumerate(kept.names)]
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(task, spec)
+    text = f"_{kept.names.index('text')}" if "text" in kept.names else "_text"
+    return docs.select(*columns, *([F.col("text").alias(text)] if text == "_text" else [])).mapInArrow(task, spec)
