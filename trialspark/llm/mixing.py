@@ -50,12 +50,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget_share=1.5, most_passes=2, keep=
 
     taken: words the mix takes of the row, repeats counted, at most `most_passes` * size. virtual_finish: when its first
     pass ends. The shuffled order is by a hash of doc_id, so reruns agree. A null text has size 0 and nothing to take; a null
-    source is a source. Rows that are repeated are sent one after another.
+    source is a source. Rows that are repeated are sent one after another. `keep` cannot hold the names of the result columns.
 
     The running sum inside a source is made of blocks cut by the hash, so that no task orders a whole source: sums per
     block, offsets over the blocks, and a window inside each.
     """
-    sized = docs.select(*keep, "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")).alias("_place"))
+    sized = docs.select(*[F.col(c) for c in keep if c != "source"], "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")).alias("_place"))
     sized = store(sized, "sizes")
     sources, _ = source_targets(sized.select("source", "size"), weights, budget_share, most_passes)
     rows = sized.count()

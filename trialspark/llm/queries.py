@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import language, licenses, mixing, neighbours, packing, scoring, simhash, substrings, topk, toxicity
 from .storage import read_table
 
@@ -71,4 +73,5 @@ QUERIES = {
     "op9_suffix_tree": op9_suffix_tree,
     "op10_language": op10_language,
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {}

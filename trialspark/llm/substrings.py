@@ -343,21 +343,27 @@ def _cut(text, removed):
     return len(words), int(gone.sum()), left
 
 
-def remove_repeats(docs: DataFrame, window=35, gram=12, filter_bits=FILTER_BITS, shard_texts=SHARD_TEXTS) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept), one row per row of `docs`: the texts without the words under repeated windows.
+def remove_repeats(docs: DataFrame, window=35, gram=12, filter_bits=FILTER_BITS, shard_texts=SHARD_TEXTS, keep=("doc_id",)) -> DataFrame:
+    """Columns `keep` plus n_words, n_removed, kept and kept_sha256, one row per row of `docs`: the texts without the words
+    under repeated windows.
 
     Words are joined by single spaces in `kept`. A null or empty text has no words and an empty `kept`; a text shorter than
     the window stays. Rows that are repeated, doc_id and all, are two places of their windows. A null doc_id stays null.
     """
-    spanned = repeated_spans(docs.select("doc_id", "text"), window, gram, filter_bits, shard_texts)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
+    kept = docs.select(*keep).schema
+    names = [f"_{k}" for k in range(len(kept))]
+    named = docs.select("doc_id", "text", *[F.col(f.name).alias(n) for f, n in zip(kept, names, strict=True) if f.name not in ("doc_id", "text")])
+    names = [f.name if f.name in ("doc_id", "text") else n for f, n in zip(kept, names, strict=True)]
+    spanned = repeated_spans(named, window, gram, filter_bits, shard_texts)
+    spec = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "n_words long, n_removed long, kept string, kept_sha256 string"])
 
     def task(parts):
         for part in parts:
             for i in range(0, len(part), 256):
                 piece = part.slice(i, 256)
                 done = [_cut(t, r) for t, r in zip(piece.column("text").to_pylist(), piece.column("removed").to_pylist(), strict=True)]
-                out = [[d[0] for d in done], [d[1] for d in done], [d[2].decode() for d in done], [hashlib.sha256(d[2]).hexdigest() for d in done]]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), *[pa.array(c, f.type) for c, f in zip(out, list(schema)[1:], strict=True)]], schema=schema)
+                out = [pa.array([d[k] for d in done], pa.int64()) for k in (0, 1)]
+                out += [pa.array([d[2].decode() for d in done], pa.string()), pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string())]
+                yield pa.RecordBatch.from_arrays([*[piece.column(n) for n in names], *out], names=[*kept.names, "n_words", "n_removed", "kept", "kept_sha256"])
 
-    return spanned.select("doc_id", "text", "removed").mapInArrow(task, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return spanned.select(*dict.fromkeys(["doc_id", "text", *names, "removed"])).mapInArrow(task, spec)
