@@ -307,7 +307,8 @@ def repeated_ranges(texts: DataFrame, window: int, shard_texts: int) -> DataFram
     totals = busy.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
     one = busy.where(F.col("text").isNotNull()).select("h1", "h2", "text").dropDuplicates(["h1", "h2"]).join(totals, ["h1", "h2"])
     windows = store(one.mapInArrow(lambda parts: _window_rows(parts, window), "w1 long, w2 long, h1 long, h2 long, at long, n long"), "windows")
-    often = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
+    # Stored, so that the join below deals out both sides itself and Spark can split a window that is in very many texts.
+    often = store(windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "often")
     marked = windows.join(often, ["w1", "w2"], "left_semi").groupBy("h1", "h2").agg(F.sort_array(F.collect_list("at")).alias("at"))
     by_window = marked.select("h1", "h2", F.flatten(F.transform("at", lambda x: F.array(x, x + window))).cast("array<int>").alias("ranges"))
     return by_shard.unionByName(by_window)
