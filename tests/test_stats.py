@@ -72,10 +72,9 @@ def test_rhat(spark):
     draws = rng.normal(size=(4, 41)) + np.arange(4)[:, None] * 0.3
     draws[2, 5] = draws[1, 7]
     rows = [("e", "c", "m", "x", k + 1, i + 1, float(draws[k, i])) for k in range(4) for i in range(41)]
-    rows += [("e", "c", "m", "x", 1, i, 9.0) for i in (42, 43)]  # a longer chain is cut to the shortest even length
     rows += [("e", "c", "m", "constant", k, i, 1.0) for k in (1, 2) for i in range(1, 9)]
     df = spark.createDataFrame(rows, "experiment string, condition string, model_name string, parameter string, chain int, iteration long, value double")
-    split = draws[:, :40].reshape(8, 20)
+    split = np.concatenate([draws[:, :20], draws[:, 21:]])  # the middle draw of an odd length is left out
 
     def normalised(x):
         rank = pd.Series(x.ravel()).rank().to_numpy()
@@ -87,6 +86,25 @@ def test_rhat(spark):
     folded = np.abs(split - np.median(split))
     assert ranked["x"] == pytest.approx(max(numpy_rhat(normalised(split)), numpy_rhat(normalised(folded))))
     assert ranked["constant"] is None
+    # A warm-up offset and thinning change the numbers of the iterations, not the result.
+    moved = df.withColumn("iteration", 1000 + 3 * F.col("iteration"))
+    for rank, want in ((False, plain), (True, ranked)):
+        got = {r["parameter"]: r["rhat"] for r in diagnostics.rhat(moved, rank=rank).collect()}
+        assert got["x"] == pytest.approx(want["x"]) and got["constant"] is None
+    drifting = spark.createDataFrame([("e", "c", "m", "x", k, i, i / 10 + (i * 7 % 5) + k / 100) for k in (1, 2) for i in range(1001, 1101)], df.schema)
+    assert diagnostics.rhat(drifting, rank=False).first()["rhat"] > 1.5
+    holey = df.withColumn("value", F.when((F.col("chain") == 2) & (F.col("iteration") == 3), None).otherwise(F.col("value")))
+    assert [r["rhat"] for r in diagnostics.rhat(holey).collect()] == [None, None]
+
+
+def test_rhat_needs_equal_regular_chains(spark):
+    rows = [("e", "c", "m", "short", k, i, float(i * k % 7)) for k in (1, 2) for i in range(1, 101) if k == 1 or i <= 10]
+    schema = "experiment string, condition string, model_name string, parameter string, chain int, iteration long, value double"
+    with pytest.raises(Exception, match="short"):
+        diagnostics.rhat(spark.createDataFrame(rows, schema), rank=False).collect()
+    gap = [("e", "c", "m", "gap", k, i + (i > 5), float(i * k % 7)) for k in (1, 2) for i in range(1, 11)]
+    with pytest.raises(Exception, match="gap"):
+        diagnostics.rhat(spark.createDataFrame(gap, schema)).collect()
 
 
 def test_gate_and_trace(spark):

@@ -1,28 +1,49 @@
 """Exact order statistics inside groups of any size.
 
-A window over a group puts the whole group into one task. Here the distinct values of all groups are range-partitioned
-together, so a large group spans many partitions; ranks inside a partition are shifted by the sizes of the partitions
-before it. Groups are held as a struct, which compares missing keys as equal in joins and windows alike.
+A window over a group puts the whole group into one task. Here the values of a large group are cut into parts at
+approximate quantiles; ranks inside a part are shifted by the sizes of the parts before it. The part is an expression of
+group and value, so nothing has to be stored. Groups are held as a struct, which compares missing keys as equal in joins
+and windows alike.
 """
 
+from math import ceil
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .joins import lookup_join
+
+# Rows of a group that one task may order.
+PART_ROWS = 1_000_000
+
+
+def _parts(df, keys, value, part_rows, largest):
+    """The column `_part` for every row; equal values of a group share it."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    if largest is None:
+        largest = sizes.agg(F.max("_rows")).first()[0] or 0
+    if largest <= part_rows:
+        return df.withColumn("_part", F.lit(0))
+    cuts = ceil(largest / part_rows)
+    crowded = lookup_join(df, sizes.where(F.col("_rows") > part_rows), keys, "inner")
+    quantiles = F.percentile_approx(value, [i / cuts for i in range(1, cuts)] or [0.5], 10 * max(cuts, 1000))
+    bounds = crowded.groupBy(*keys).agg(quantiles.alias("_bounds"))
+    placed = lookup_join(df, bounds, keys)
+    below = F.size(F.filter("_bounds", lambda bound: bound < F.col(value)))
+    return placed.withColumn("_part", F.when(F.col("_bounds").isNull(), 0).otherwise(below)).drop("_bounds")
 
 
-def place_values(df: DataFrame, keys, value, by=(), weight=None, **extra) -> DataFrame:
-    """The distinct values of each group with their `count`, range-partitioned by group and value and stored.
+def place_values(df: DataFrame, keys, value, by=(), weight=None, part_rows=PART_ROWS, largest=None, **extra) -> DataFrame:
+    """The distinct values of each group with their `count`, and the part of the group they belong to.
 
     Rows are told apart by `by` as well. `weight` names a column that says how many rows each input row stands for;
-    `extra` aggregates are computed on the way. NULL values are left out. Stored, because the partition a row falls into
-    (`_part`) must be the same wherever the table is used.
+    `extra` aggregates are computed on the way. NULL values are left out. `largest`: rows of the largest group, if known.
     """
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     aggregates = [rows.alias("count"), *[agg.alias(name) for name, agg in extra.items()]]
     distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value, *by).agg(*aggregates)
-    grouped = distinct.withColumn("_group", F.struct(*keys)).drop(*keys)
-    return materialize(grouped.repartitionByRange("_group", value).withColumn("_part", F.spark_partition_id()))
+    placed = _parts(distinct, keys, value, part_rows, largest)
+    return placed.withColumn("_group", F.struct(*keys)).drop(*keys)
 
 
 def _offsets(placed):
@@ -80,5 +101,5 @@ def median_of_placed(placed: DataFrame, value, name="median") -> DataFrame:
     return medians.select("_group.*", name)
 
 
-def exact_median(df: DataFrame, keys, value, name="median") -> DataFrame:
-    return median_of_placed(place_values(df, keys, value), value, name)
+def exact_median(df: DataFrame, keys, value, name="median", **placing) -> DataFrame:
+    return median_of_placed(place_values(df, keys, value, **placing), value, name)

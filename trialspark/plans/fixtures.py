@@ -75,16 +75,16 @@ SELECT experiment, bias_source, model_name, draw_id,
   in_hu * (draw_id % 23) / 11.0e0 AS hu_stim_cond
 FROM m"""
 
-# 48 parameters, four chains; chains grow with the table and differ in length by at most one. Parameter 0 is constant.
+# 50 parameters, four chains of equal length, which grows with the table. Parameter 0 is constant. Numbering starts late.
 DRAWS_LONG = """
 WITH d AS (
-  SELECT event_id % 48 AS k, CAST(floor(event_id / 48.0e0) AS BIGINT) AS turn, value FROM {events})
+  SELECT event_id % 50 AS k, CAST(floor(event_id / 50.0e0) AS BIGINT) AS turn, value FROM {events})
 SELECT concat('exp', CAST(k % 2 + 1 AS STRING)) AS experiment,
   CASE k % 3 WHEN 0 THEN 'cue' WHEN 1 THEN 'baserate' ELSE 'payoff' END AS condition,
   CASE k % 4 WHEN 0 THEN 'simple' WHEN 1 THEN 'contrast' WHEN 2 THEN 'hurdle' ELSE 'full' END AS model_name,
   CASE WHEN k = 0 THEN 'L_1[1,1]' ELSE concat('r_participant[', lpad(CAST(k AS STRING), 3, '0'), ',Intercept]') END AS parameter,
   CAST(turn % 4 + 1 AS INT) AS chain,
-  CAST(floor(turn / 4.0e0) AS BIGINT) + 1 AS iteration,
+  CAST(floor(turn / 4.0e0) AS BIGINT) + 1001 AS iteration,
   CASE WHEN k = 0 THEN 1.0e0 ELSE sqrt(value + 1) END AS value
 FROM d"""
 

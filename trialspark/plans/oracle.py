@@ -148,10 +148,12 @@ PARTS = {
         FROM (SELECT *, {_md5('conditional', 5, *ROW_KEY, 'offer')} AS held FROM offered)""",
     "conditional": f"SELECT *, mu + sigma * {_normal('held')} AS pred FROM arrived WHERE pick <= 100",
     # diagnostics
-    "halves": """SELECT d.*, chain * 2 + CAST(iteration > h AS INT) AS half FROM draws_long d JOIN (
-        SELECT experiment, condition, model_name, parameter, min(len) // 2 AS h FROM (
-          SELECT experiment, condition, model_name, parameter, chain, max(iteration) AS len FROM draws_long GROUP BY ALL)
-        GROUP BY ALL) USING (experiment, condition, model_name, parameter) WHERE iteration <= 2 * h""",
+    # Each chain in the order of its iterations: the first and the last half, without the middle draw of an odd length.
+    "halves": """SELECT * FROM (SELECT *, concat(chain, CASE WHEN row_number() OVER c <= count(*) OVER d // 2 THEN ' early'
+        WHEN row_number() OVER c > count(*) OVER d - count(*) OVER d // 2 THEN ' late' END) AS half,
+        row_number() OVER c <= count(*) OVER d // 2 OR row_number() OVER c > count(*) OVER d - count(*) OVER d // 2 AS taken
+        FROM draws_long WINDOW d AS (PARTITION BY experiment, condition, model_name, parameter, chain),
+        c AS (PARTITION BY experiment, condition, model_name, parameter, chain ORDER BY iteration)) WHERE taken""",
     "split_rhat": """SELECT experiment, condition, model_name, parameter, CASE WHEN avg(v) > 0 THEN
         sqrt(((max(n) - 1) / max(n) * avg(v) + var_samp(m)) / avg(v)) END AS rhat FROM (
           SELECT experiment, condition, model_name, parameter, half, avg(value) AS m, var_samp(value) AS v, count(*)::DOUBLE AS n
