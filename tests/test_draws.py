@@ -35,7 +35,7 @@ def test_score(tables):
 def test_sampled_and_expected_predictions_agree(tables):
     scored = draws.score_draws(*tables)
     expected = {(r["participant"], r["cond"]): r for r in draws.predicted_cells(scored).collect()}
-    sampled = {(r["participant"], r["cond"]): r for r in draws.sampled_cells(draws.predict_draws(scored, seed=2)).collect()}
+    sampled = {(r["participant"], r["cond"]): r for r in draws.sampled_cells(draws.predict_draws(draws.score_draws(draws.with_seed(tables[0], seed=2), *tables[1:]))).collect()}
     assert len(expected) == 3 and set(expected) == set(sampled)
     for key, e in expected.items():
         s = sampled[key]
@@ -45,18 +45,23 @@ def test_sampled_and_expected_predictions_agree(tables):
 
 
 def test_conditional_draws(tables):
+    """Mean `hu` and `mu` of the picks against the exact values under weights 1 - hu, also with few draws per cell."""
     design, fixed, random = tables
-    sample = draws.conditional_draws(design, fixed, random, n=1500, seed=3)
-    means = {(r["participant"], r["cond"]): r for r in sample.groupBy("participant", "cond").agg(F.count("*").alias("n"), F.avg("pred").alias("m"), F.countDistinct("draw_id").alias("d")).collect()}
-    expected = {(r["participant"], r["cond"]): r["response_pred_gaussian"] for r in draws.predicted_cells(draws.score_draws(*tables)).collect()}
-    for key, r in means.items():
-        assert (r["n"], r["d"]) == (1500, 1500)
-        assert r["m"] == pytest.approx(expected[key], abs=0.004)
-    few = random.where("draw_id < 40")
-    topped_up = draws.conditional_draws(design, fixed, few, n=100, seed=3)
-    counts = topped_up.groupBy("participant", "cond").agg(F.count("*").alias("n"), F.countDistinct("draw_id").alias("d")).collect()
-    assert all(r["n"] == 100 and r["d"] <= 40 for r in counts)
-    assert draws.short_cells(topped_up, ["participant", "cond"], 100).count() == 0
+    for few, n, room in ((3000, 3000, 0.004), (60, 3000, 0.004), (40, 100, 0.03)):
+        own = random.where(f"draw_id < {few}")
+        scored = draws.score_draws(design, fixed, own)
+        weight = 1 - F.col("hu")
+        exact = scored.groupBy("participant", "cond").agg(*[(F.sum(weight * F.col(c)) / F.sum(weight)).alias(c) for c in ("hu", "mu")])
+        exact = {(r["participant"], r["cond"]): r for r in exact.collect()}
+        sample = draws.conditional_draws(design, fixed, own, n=n, seed=3)
+        got = sample.groupBy("participant", "cond").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("hu", "mu", "pred")])
+        assert got.count() == 3
+        for r in draws.checked_size(got, n).collect():
+            want = exact[r["participant"], r["cond"]]
+            assert r["hu"] == pytest.approx(want["hu"], abs=room) and r["mu"] == pytest.approx(want["mu"], abs=room / 10)
+            assert r["pred"] == pytest.approx(want["mu"], abs=room / 2)
+    with pytest.raises(Exception, match="a cell has other than 101 rows"):
+        draws.checked_size(got, 101).collect()
 
 
 def test_loglik(spark):

@@ -32,6 +32,7 @@ def test_t_quantile(spark):
     # Published 0.975 quantiles.
     known = {1: 12.7062047362, 2: 4.3026527297, 5: 2.5705818356, 10: 2.2281388520, 30: 2.0422724563, 200: 1.9718962236}
     got = values(spark, list(known), lambda c: student.t_quantile(c, 0.975), "int")
+    assert values(spark, [3_000_000_000], lambda c: student.t_quantile(c, 0.975), "long") == pytest.approx([1.959963985])
     assert got == pytest.approx(list(known.values()), abs=1e-9)
     (at_200, at_201), below = values(spark, [200, 201], lambda c: student.t_quantile(c, 0.975), "int"), [0, None]
     assert 0 < at_200 - at_201 < 1e-4
@@ -68,10 +69,11 @@ def test_round_even_and_links(spark):
 
 
 def test_random_numbers(spark):
-    rows = spark.range(20000).withColumn("h", numeric.digest("id", seed=4, stream="s"))
-    parts = rows.select(*[numeric.uniform("h", k).alias(f"u{k}") for k in range(3)], numeric.normal("h").alias("z"))
+    rows = spark.range(20000).withColumn("h", numeric.key_number(F.col("id") % 7, seed=4, stream="s"))
+    rows = numeric.with_numbers(rows, **{f"n{k}": ("h", "id", k) for k in range(3)})
+    parts = rows.select(*[numeric.uniform(f"n{k}").alias(f"u{k}") for k in range(3)], numeric.normal("n1", "n2").alias("z"))
     s = parts.agg(*[F.avg(c).alias(c) for c in parts.columns], F.corr("u0", "u1").alias("r"), F.var_samp("z").alias("v")).first()
     assert all(abs(s[f"u{k}"] - 0.5) < 0.01 for k in range(3))
     assert abs(s["z"]) < 0.03 and abs(s["v"] - 1) < 0.05 and abs(s["r"]) < 0.03
-    again = rows.repartition(7).agg(F.sum(numeric.uniform("h"))).first()[0]
-    assert again == pytest.approx(rows.agg(F.sum(numeric.uniform("h"))).first()[0])
+    again = rows.repartition(7).agg(F.sum(numeric.uniform("n0"))).first()[0]
+    assert again == pytest.approx(rows.agg(F.sum(numeric.uniform("n0"))).first()[0])

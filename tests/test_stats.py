@@ -178,7 +178,14 @@ def test_signed_rank(spark):
     diffs = [3, -1, 4, -1, 5, 9, -2, 6, 0]
     rows = [("e", str(i), "cue", d, "low", float(v)) for i, x in enumerate(diffs) for d, v in (("control", x), ("present", 0))]
     df = spark.createDataFrame(rows, "experiment string, participant string, bias_source string, bias_direction string, contrast_level string, value double")
-    r = compare.signed_rank(df).first()
+    flat = df.withColumn("bias_source", F.lit("payoff")).withColumn("value", F.lit(1.0))
+    half = df.where("bias_direction = 'control'").withColumn("bias_source", F.lit("baserate"))
+    by_source = {r["bias_source"]: r for r in compare.signed_rank(df.unionByName(flat).unionByName(half)).collect()}
+    for source, zero, dropped in (("payoff", 9, 0), ("baserate", 0, 9)):
+        r = by_source[source]
+        assert (r["n_pairs"], r["n_zero"], r["n_dropped"], r["w_plus"], r["z"]) == (0, zero, dropped, 0, None)
+    r = by_source["cue"]
+    assert (r["n_zero"], r["n_dropped"]) == (1, 0)
     ranks = pd.Series([abs(x) for x in diffs if x]).rank()
     plus = sum(k for k, x in zip(ranks, [x for x in diffs if x]) if x > 0)
     assert (r["n_pairs"], r["w_plus"], r["w_minus"]) == (8, plus, 36 - plus)

@@ -108,21 +108,53 @@ def round_even(x, digits=0) -> Column:
     return F.bround(column(x), digits)
 
 
-def digest(*keys, seed=0, stream="") -> Column:
-    """Hash text of the key columns; hold it in a column and take up to three random numbers from it.
+MODULUS = 2**31 - 1
+
 
+def key_number(*keys, seed=0, stream="") -> Column:
+    """A whole number below `MODULUS` from a hash of the key columns.
+
+    Made once per key, not per row: `with_numbers` turns it into any number of random numbers by whole-number arithmetic.
     Unlike `rand`, a retried task yields the same numbers for the same row, whatever its partition or order.
     """
     text = F.concat_ws("|", F.lit(str(seed)), F.lit(stream), *[column(k).cast("string") for k in keys])
-    return F.md5(text.cast("binary"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") % MODULUS
 
 
-def uniform(held, part=0) -> Column:
-    """A uniform number in (0, 1) from one of the parts 0, 1, 2 of a digest."""
-    bits = F.conv(F.substring(column(held), 1 + 10 * part, 10), 16, 10).cast("double")
-    return (bits + 0.5) / F.lit(float(2**40))
+def with_numbers(df, **numbers):
+    """`df` with scrambled whole numbers below `MODULUS`, one column each. numbers: name = (number column, step, ..), the
+    steps being other whole numbers that tell rows and streams apart.
+
+    Each step adds to the number and takes its fifth power, a bijection modulo this prime; all products stay below
+    2 ** 62. The powers are made in columns of their own: as one expression the number would be repeated inside itself.
+    """
+    rounds = max(len(parts) for parts in numbers.values())
+    for k in range(rounds):
+        added = {}
+        for name, (number, *steps) in numbers.items():
+            step = steps[k] if k < len(steps) else F.lit(0)
+            step = F.lit(step) if isinstance(step, int) else column(step)
+            start = column(number) if k == 0 else F.col(name)
+            added[name] = (start + (step % MODULUS) * (48_271 + 16_807 * k) + (12_345 if k == rounds - 1 else 0)) % MODULUS
+        df = df.withColumns(added)
+        df = df.withColumns({f"_{name}_2": F.col(name) * F.col(name) % MODULUS for name in numbers})
+        df = df.withColumns({f"_{name}_4": F.col(f"_{name}_2") * F.col(f"_{name}_2") % MODULUS for name in numbers})
+        df = df.withColumns({name: F.col(f"_{name}_4") * F.col(name) % MODULUS for name in numbers})
+        df = df.drop(*[f"_{name}_{power}" for name in numbers for power in (2, 4)])
+    return df
+
 
+def uniform(number) -> Column:
+    """A uniform number in (0, 1) from a scrambled number."""
+    return (column(number) + 0.5) / float(MODULUS)
 
-def normal(held, parts=(1, 2)) -> Column:
-    """A standard normal number from two parts of a digest (Box and Muller 1958)."""
-    return F.sqrt(-2.0 * F.ln(uniform(held, parts[0]))) * F.cos(2.0 * math.pi * uniform(held, parts[1]))
+
+def normal(first, second) -> Column:
+    """A standard normal number from two scrambled numbers (Box and Muller 1958)."""
+    return F.sqrt(-2.0 * F.ln(uniform(first))) * F.cos(2.0 * math.pi * uniform(second))
+
+
+def digest(*keys, seed=0, stream="") -> Column:
+    """Hash text of the key columns: a repeatable random order of rows."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(stream), *[column(k).cast("string") for k in keys])
+    return F.md5(text.cast("binary"))

@@ -51,9 +51,8 @@ def quantile_table(probability: float) -> tuple:
 
 def t_quantile(df, probability: float) -> Column:
     """NULL below one degree of freedom."""
-    df = column(df).cast("int")
+    df = column(df).cast("double")
     table = F.array(*[F.lit(q) for q in quantile_table(probability)])
-    beyond = _expansion(F.lit(NormalDist().inv_cdf(probability)), df.cast("double"))
-    return F.when(df.between(1, TABLE_SIZE), F.element_at(table, F.greatest(F.least(df, F.lit(TABLE_SIZE)), F.lit(1)))).when(
-        df > TABLE_SIZE, beyond
-    )
+    beyond = _expansion(F.lit(NormalDist().inv_cdf(probability)), df)
+    place = F.greatest(F.least(df, F.lit(float(TABLE_SIZE))), F.lit(1.0)).cast("int")
+    return F.when(df.between(1, TABLE_SIZE), F.element_at(table, place)).when(df > TABLE_SIZE, beyond)

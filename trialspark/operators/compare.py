@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import bf_plot_labels
 from ..schema import CONDITION, PAIR
+from .joins import null_safe_join
 from .ranking import avg_rank, ordered_counts
 from .reshape import pair_diff
 
@@ -90,17 +91,26 @@ def bf_labels(scored: DataFrame) -> DataFrame:
 
 
 def signed_rank(df: DataFrame, keys=CONDITION, value="value", conditions=DIRECTIONS, unit=PAIR) -> DataFrame:
-    """Signed-rank sums of the paired differences with tie-corrected normal z; zero differences are left out."""
-    differences = pairs(df, value, conditions, unit).where(F.col("diff") != 0)
-    sized = differences.withColumn("size", F.abs("diff"))
+    """Signed-rank sums of the paired differences with tie-corrected normal z; zero differences are left out.
+
+    Every group has a row: `n_zero` differences were zero, `n_dropped` pairs incomplete. Without a pair left the sums are 0
+    and z is NULL.
+    """
+    differences = pairs(df, value, conditions, unit)
+    groups = differences.groupBy(*keys).agg(
+        F.count_if(F.col("diff") == 0).alias("n_zero"), F.count_if(F.col("diff").isNull()).alias("n_dropped")
+    )
+    sized = differences.where(F.col("diff") != 0).withColumn("size", F.abs("diff"))
     ranked = ordered_counts(sized, keys, "size", positive=F.count_if(F.col("diff") > 0)).withColumn("rank", avg_rank())
-    n = F.col("n_pairs").cast("double")
     sums = ranked.groupBy(*keys).agg(
         F.sum("n").alias("n_pairs"),
         F.sum(F.col("rank") * F.col("positive")).alias("w_plus"),
         F.sum(F.col("rank") * (F.col("n") - F.col("positive"))).alias("w_minus"),
         F.sum(F.pow(F.col("n").cast("double"), 3.0) - F.col("n")).alias("_ties"),
     )
+    found = null_safe_join(groups, sums, keys, "left")
+    found = found.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_pairs", "w_plus", "w_minus", "_ties")})
+    n = F.col("n_pairs").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(F.nullif(variance, F.lit(0.0)))
-    return sums.withColumn("z", z).drop("_ties")
+    return found.withColumn("z", z).drop("_ties")

@@ -7,8 +7,9 @@ Scored rows are aggregated or filtered right away, never stored.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import column, digest, inv_logit, normal, normal_cdf, normal_lpdf, normal_pdf, uniform
-from ..schema import DESIGN, FIT, PARTICIPANT
+from ..functions.numeric import column, digest, inv_logit, key_number, normal, normal_cdf, normal_lpdf, normal_pdf, uniform, with_numbers
+from ..schema import DESIGN, FIT, MODELS, PARTICIPANT
+from ..session import materialize
 from .joins import salted_join
 
 MODEL_CELL = [*DESIGN, "model_name"]
@@ -40,12 +41,13 @@ def linear_predictor(prefix="b_", effects="r_", cond="cond") -> Column:
 def score_draws(design: DataFrame, fixed: DataFrame, random: DataFrame) -> DataFrame:
     """`mu`, `sigma`, `hu` and the logit of `hu` for every design row under every draw of its participant.
 
-    Two equi-joins on participant and draw keys. The draws are spread over salted sub-keys, so one participant with
-    most of the draws does not end in one task, and a following per-cell aggregate combines before its shuffle.
+    Two equi-joins on participant and draw keys; a participant with very many draws is spread over salted sub-keys, and a
+    following per-cell aggregate combines before its shuffle. Other columns of `design` are carried along.
     """
     on = [*PARTICIPANT, "model_name"] if "model_name" in design.columns else PARTICIPANT
     draws = random.join(fixed, [*FIT, "draw_id"])
-    scored = salted_join(draws, design, on, spread=["draw_id"])
+    # `fixed` has one row per draw, so `random` alone tells how many rows each participant brings.
+    scored = salted_join(draws, design, on, spread=["draw_id"], sizes_of=random)
     kept = [*MODEL_CELL, "draw_id", "mu", "sigma", "eta_hu", "hu"]
     extra = [c for c in design.columns if c not in MODEL_CELL]
     return (
@@ -80,11 +82,29 @@ def predicted_cells(scored: DataFrame, keys=MODEL_CELL) -> DataFrame:
     ).drop("_positive_sum", "_positive", "_go_sum", "_go")
 
 
-def predict_draws(scored: DataFrame, seed=0) -> DataFrame:
-    """One sampled response per scored row, repeatable for a seed."""
-    held = scored.withColumn("_held", digest(*MODEL_CELL, "draw_id", seed=seed, stream="response"))
-    sampled = F.col("mu") + F.col("sigma") * normal("_held")
-    return held.withColumn("prediction", F.when(uniform("_held") < F.col("hu"), 0.0).otherwise(sampled)).drop("_held")
+def with_seed(design: DataFrame, seed=0, stream="response") -> DataFrame:
+    """The design with `cell_seed`, a number per row from which the random numbers of its draws are made."""
+    return design.withColumn("cell_seed", key_number(*[c for c in MODEL_CELL if c in design.columns], seed=seed, stream=stream))
+
+
+# Models of one fit share draw numbers; each gets a stream of its own.
+MODEL_STREAM = {name: k for k, name in enumerate(MODELS, start=1)}
+
+
+def _stream(part):
+    """The stream of a random number of a row: its model and which number of the row it is."""
+    known = F.lit(0)
+    for name, k in MODEL_STREAM.items():
+        known = F.when(F.col("model_name") == name, k).otherwise(known)
+    return known * 8 + part
+
+
+def predict_draws(scored: DataFrame) -> DataFrame:
+    """One sampled response per scored row of a design `with_seed`, repeatable for its seed."""
+    names = ["_hurdle", "_first", "_second"]
+    numbered = with_numbers(scored, **{name: ("cell_seed", "draw_id", _stream(k)) for k, name in enumerate(names)})
+    sampled = F.col("mu") + F.col("sigma") * normal("_first", "_second")
+    return numbered.withColumn("prediction", F.when(uniform("_hurdle") < F.col("hu"), 0.0).otherwise(sampled)).drop("cell_seed", *names)
 
 
 def sampled_cells(predicted: DataFrame, keys=MODEL_CELL) -> DataFrame:
@@ -102,14 +122,25 @@ def short_cells(df: DataFrame, keys, min_n) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < min_n)
 
 
+SALTS = 64
+#: From this n on Spark no longer cuts a window to its first rows before the shuffle.
+GROUP_LIMIT = 1000
+
+
 def first_n(df: DataFrame, keys, order, n, name="pick") -> DataFrame:
-    """The first `n` rows per key. Spark cuts each key to `n` rows before the shuffle, so a large key stays spread.
+    """The first `n` rows per key, for any n and any key size.
 
+    Below `GROUP_LIMIT` Spark cuts each key to `n` rows in every map task. Above, the rows of a key are first dealt over
+    salted sub-keys, which are cut to `n` rows each, so that only those of a large key meet in the final cut.
     A hash of the key leads the sort: it tells nearly all keys apart by one number instead of several texts.
     """
+    rows = df.withColumn("_key_hash", F.xxhash64(*keys))
+    if n >= GROUP_LIMIT:
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+        place = F.row_number().over(Window.partitionBy("_key_hash", "_salt", *keys).orderBy(*order))
+        rows = salted.withColumn("_place", place).where(F.col("_place") <= n).drop("_place", "_salt")
     position = F.row_number().over(Window.partitionBy("_key_hash", *keys).orderBy(*order))
-    hashed = df.withColumn("_key_hash", F.xxhash64(*keys))
-    return hashed.withColumn(name, position).where(F.col(name) <= n).drop("_key_hash")
+    return rows.withColumn(name, position).where(F.col(name) <= n).drop("_key_hash")
 
 
 def sample_per_group(df: DataFrame, keys, n, identity, seed=0) -> DataFrame:
@@ -118,19 +149,31 @@ def sample_per_group(df: DataFrame, keys, n, identity, seed=0) -> DataFrame:
     return first_n(order, keys, ["_held", *identity], n).drop("_held")
 
 
+#: Offers that pass the hurdle, as a multiple of the sample wanted: fourteen standard deviations of room at n = 100.
+OFFERS = 3
+
+
 def conditional_draws(design: DataFrame, fixed: DataFrame, random: DataFrame, n=100, seed=0) -> DataFrame:
     """`n` sampled responses per cell given that the hurdle was passed; negative ones are kept.
 
-    Passing the hurdle just means the normal branch, so draws are picked with weight `1 - hu` (smallest exponential
-    arrival time) and no rejection loop is needed. A participant with fewer than `n` draws offers each draw repeatedly.
+    Every draw of a cell is offered equally often, about `OFFERS` * n passing offers in all; an offer passes with
+    probability 1 - hu, and `n` of those that passed are taken in random order. So draws are picked with weight 1 - hu,
+    with replacement over offers. A cell that comes out short raises an error (`checked_size`).
     """
-    available = random.groupBy(*PARTICIPANT, "model_name").agg(F.count(F.lit(1)).alias("_draws"))
-    times = F.ceil(F.lit(float(n)) / F.col("_draws")).cast("int")
-    offered = design.join(available, PARTICIPANT).withColumn("_offers", times).drop("_draws")
-    scored = score_draws(offered, fixed, random).withColumn("offer", F.explode(F.sequence(F.lit(1), F.col("_offers"))))
+    scored = score_draws(design, fixed, random)
+    chance = scored.groupBy(*MODEL_CELL).agg(F.sum(1.0 - F.col("hu")).alias("_pass"))
+    offers = F.ceil(OFFERS * n / F.col("_pass")).cast("int")
+    cells = materialize(with_seed(chance, seed, "conditional").withColumn("offers", offers).drop("_pass"))
+    offered = score_draws(cells, fixed, random).withColumn("offer", F.explode(F.sequence(F.lit(1), F.col("offers"))))
+    step = {k: ("cell_seed", "draw_id", F.col("offer").cast("long") * 8 + k) for k in range(4)}
+    passed = with_numbers(offered, _hurdle=step[0]).where(uniform("_hurdle") >= F.col("hu"))
     row = [*MODEL_CELL, "draw_id", "offer"]
-    log_pass = -(F.greatest(F.col("eta_hu"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("eta_hu"))))
-    offers = scored.withColumn("_held", digest(*row, seed=seed, stream="conditional"))
-    arrivals = offers.withColumn("_arrival", F.ln(-F.ln(uniform("_held"))) - log_pass)
-    picked = first_n(arrivals, MODEL_CELL, ["_arrival", "draw_id", "offer"], n)
-    return picked.withColumn("pred", F.col("mu") + F.col("sigma") * normal("_held")).select(*row, "pick", "pred")
+    ordered = with_numbers(passed, _order=step[1]).select(*row, "mu", "sigma", "hu", "cell_seed", "_order")
+    picked = with_numbers(first_n(ordered, MODEL_CELL, ["_order", "draw_id", "offer"], n), _first=step[2], _second=step[3])
+    return picked.withColumn("pred", F.col("mu") + F.col("sigma") * normal("_first", "_second")).select(*row, "hu", "mu", "pick", "pred")
+
+
+def checked_size(counted: DataFrame, n, name="n") -> DataFrame:
+    """A summary per cell, unchanged; an error if a cell has not exactly `n` rows."""
+    short = F.raise_error(F.concat(F.lit(f"a cell has other than {n} rows: "), F.col(name).cast("string"))).cast("long")
+    return counted.withColumn(name, F.when(F.col(name) == n, F.col(name)).otherwise(short))

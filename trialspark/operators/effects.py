@@ -3,19 +3,38 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import DESIGN, PARTICIPANT
+from ..schema import CONDITION, DESIGN, MODELS, PARTICIPANT
 from .frame import by_task, is_present
-from .joins import merge_cells
+from .joins import key_grid, merge_cells
 from .reshape import pair_diff
-from .summarise import mean_ci, observed_cells
+from .summarise import mean_ci, mean_se, observed_cells
 
 MEAN_CELL = [*PARTICIPANT, "cond", "contrast_level"]
 CONDITION_CELL = ["experiment", "bias_source", "cond", "contrast_level"]
 
 
-def predictive_check(frame: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Observed and predicted cells side by side, one row per cell and model."""
-    return merge_cells(predicted, observed_cells(frame), DESIGN)
+def predictive_check(frame: DataFrame, predicted: DataFrame, models=MODELS) -> DataFrame:
+    """Observed and predicted cells side by side: a row for every observed cell under every model, predicted or not."""
+    return merge_cells(predicted, key_grid(observed_cells(frame), model_name=models), [*DESIGN, "model_name"])
+
+
+def predicted_means(sample: DataFrame, value="pred") -> DataFrame:
+    """Mean over participants of the mean sampled response, with one standard error."""
+    means = sample.groupBy(*MEAN_CELL, "model_name").agg(F.avg(value).alias("value"))
+    return mean_se(means, [*CONDITION_CELL, "model_name"], "value")
+
+
+def nonzero_effect(frame: DataFrame) -> DataFrame:
+    """Observed condition effect on the mean non-zero response, tagged `empirical`."""
+    means = frame.where(F.col("response") != 0).groupBy(*MEAN_CELL).agg(F.avg("response").alias("value"))
+    return effect_table(means, "value", [*PARTICIPANT, "contrast_level"], CONDITION).withColumn("data_type", F.lit("empirical"))
+
+
+def perceived_vs_observed(frame: DataFrame, sample: DataFrame, model="full") -> DataFrame:
+    """Effects on sampled non-zero predictions of one model (`predicted`) stacked with the observed ones (`empirical`)."""
+    means = sample.where(F.col("model_name") == model).groupBy(*MEAN_CELL).agg(F.avg("pred").alias("value"))
+    predicted = effect_table(means, "value", [*PARTICIPANT, "contrast_level"], CONDITION).withColumn("data_type", F.lit("predicted"))
+    return predicted.unionByName(nonzero_effect(frame))
 
 
 def effect_table(cells: DataFrame, value: str, unit, keys, level=0.95) -> DataFrame:

@@ -10,7 +10,8 @@ from ..session import materialize
 
 # Summary rows hold a handful of scalars (some 200 bytes), so this bounds a broadcast at about 20 MB.
 BROADCAST_ROWS = 100_000
-SALTS = 16
+# Rows of one key that a task joins at most before its key is salted.
+HEAVY_ROWS = 1_000_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on, how="inner") -> DataFrame:
@@ -44,14 +45,21 @@ def merge_cells(a: DataFrame, b: DataFrame, keys) -> DataFrame:
     return null_safe_join(a, b, keys, "full")
 
 
-def salted_join(many: DataFrame, few: DataFrame, on, spread, salts=SALTS) -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, on, spread, heavy_rows=HEAVY_ROWS, sizes_of=None) -> DataFrame:
     """Inner equi-join of a large table with a small-per-key one, safe when one key holds most rows of `many`.
 
-    Rows of `many` are spread over `salts` sub-keys by the columns in `spread`; each row of `few` is repeated per sub-key.
+    The rows of each key of `many` are counted. A key with more than `heavy_rows` is spread over as many sub-keys as it
+    needs, by the columns in `spread`, and its rows of `few` are repeated per sub-key; other keys are left alone. `sizes_of`:
+    a simpler table with the same rows per key.
     """
-    left = many.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"]).drop("_salt")
+    sizes = (many if sizes_of is None else sizes_of).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > heavy_rows)
+    salts = materialize(sizes.select(*on, F.ceil(F.col("_rows") / heavy_rows).cast("int").alias("_salts")))
+    if salts.isEmpty():
+        return many.join(few, on)
+    n = F.coalesce(F.col("_salts"), F.lit(1))
+    left = lookup_join(many, salts, on, stored=True).withColumn("_salt", F.pmod(F.xxhash64(*spread), n).cast("int"))
+    right = lookup_join(few, salts, on, stored=True).withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
+    return left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"]).drop("_salt")
 
 
 def key_grid(df: DataFrame, **levels) -> DataFrame:

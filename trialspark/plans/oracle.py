@@ -52,16 +52,49 @@ def _md5(stream, seed, *keys):
     return f"md5({text})"
 
 
-def _uniform(held, part=0):
-    return f"((CAST('0x' || substr({held}, {1 + 10 * part}, 10) AS BIGINT) + 0.5::DOUBLE) / 1099511627776::DOUBLE)"
+P31 = 2**31 - 1
 
 
-def _normal(held):
-    return f"sqrt(-2 * ln({_uniform(held, 1)})) * cos(2 * pi() * {_uniform(held, 2)})"
+def _seed(stream, seed, *keys):
+    return f"(CAST('0x' || substr({_md5(stream, seed, *keys)}, 1, 15) AS BIGINT) % {P31})"
+
+
+def _scrambled(source, names):
+    """`source` with a random whole number per entry of `names` {name: steps}, made from its column cell_seed.
+
+    Each step adds to the number and takes its fifth power modulo a prime, in three multiplications.
+    """
+    sql = source
+    rounds = 1 + max(len(steps) for steps in names.values())
+    for k in range(rounds):
+        added, second, fourth, fifth = [], [], [], []
+        for name, steps in names.items():
+            step = f"(({steps[k]}) % {P31}) * {48271 + 16807 * k}" if k < len(steps) else "0"
+            added.append(f"({name if k else 'cell_seed'} + {step} + {12345 if k == rounds - 1 else 0}) % {P31} AS {name}_a")
+            second.append(f"{name}_a * {name}_a % {P31} AS {name}_b")
+            fourth.append(f"{name}_b * {name}_b % {P31} AS {name}_c")
+            fifth.append(f"{name}_c * {name}_a % {P31} AS {name}")
+        drop = f" EXCLUDE ({', '.join(names)})" if k else ""
+        for columns, cut in ((added, drop), (second, ""), (fourth, "")):
+            sql = f"(SELECT *{cut}, {', '.join(columns)} FROM {sql})"
+        held = ", ".join(f"{name}_{x}" for name in names for x in "abc")
+        sql = f"(SELECT * EXCLUDE ({held}), {', '.join(fifth)} FROM {sql})"
+    return sql
+
+
+def _uniform(number):
+    return f"(({number} + 0.5::DOUBLE) / {P31}::DOUBLE)"
+
+
+def _normal(first, second):
+    return f"sqrt(-2 * ln({_uniform(first)})) * cos(2 * pi() * {_uniform(second)})"
+
+
+# The models' streams of random numbers.
+STREAM = "CASE model_name WHEN 'simple' THEN 1 WHEN 'contrast' THEN 2 WHEN 'hurdle' THEN 3 WHEN 'full' THEN 4 ELSE 0 END * 8"
 
 
 CELL_KEY = ("experiment", "participant", "bias_source", "cond", "contrast_level", "stim", "model_name")
-ROW_KEY = (*CELL_KEY, "draw_id")
 
 PARTS = {
     "trials": TRIALS.format(events="events"),
@@ -140,13 +173,14 @@ PARTS = {
         avg((1 - hu) * mu) AS response_pred, avg(hu + (1 - hu) * (1 - above)) AS hurdle_prob,
         sum((1 - hu) * (mu * above + sigma * exp(-z * z / 2 - {LOG_2PI / 2}::DOUBLE))) / sum((1 - hu) * above) AS response_pred_non_zero,
         sum((1 - hu) * mu) / sum(1 - hu) AS response_pred_gaussian FROM zscored GROUP BY ALL""",
-    "offered": f"""SELECT s.*, unnest(range(1, CAST(ceil(100e0 / n) AS BIGINT) + 1)) AS offer FROM scored s
-        JOIN (SELECT experiment, participant, bias_source, model_name, count(*) AS n FROM draws_random GROUP BY ALL)
-        USING (experiment, participant, bias_source, model_name)""",
-    "arrived": f"""SELECT *, row_number() OVER (PARTITION BY {', '.join(CELL_KEY)}
-        ORDER BY -ln({_uniform('held')}) / (1 - hu), draw_id, offer) AS pick
-        FROM (SELECT *, {_md5('conditional', 5, *ROW_KEY, 'offer')} AS held FROM offered)""",
-    "conditional": f"SELECT *, mu + sigma * {_normal('held')} AS pred FROM arrived WHERE pick <= 100",
+    # A Bernoulli pass of every offer, then 100 of those that passed; three times as many offers as needed on average.
+    "chances": f"""SELECT *, {_seed('conditional', 5, *CELL_KEY)} AS cell_seed FROM (
+        SELECT {', '.join(CELL_KEY)}, CAST(ceil(300e0 / sum(1 - hu)) AS BIGINT) AS offers FROM scored GROUP BY ALL)""",
+    "offered": f"""SELECT s.*, cell_seed, unnest(range(1, offers + 1)) AS offer FROM scored s JOIN chances USING ({', '.join(CELL_KEY)})""",
+    "passing": f"""SELECT * FROM {_scrambled('offered', {n: ('draw_id', f'offer * 8 + {k}') for k, n in enumerate(('u', 'o', 'n1', 'n2'))})}
+        WHERE {_uniform('u')} >= hu""",
+    "conditional": f"""SELECT *, mu + sigma * {_normal('n1', 'n2')} AS pred FROM passing
+        QUALIFY row_number() OVER (PARTITION BY {', '.join(CELL_KEY)} ORDER BY o, draw_id, offer) <= 100""",
     # diagnostics
     # Each chain in the order of its iterations: the first and the last half, without the middle draw of an odd length.
     "halves": """SELECT * FROM (SELECT *, concat(chain, CASE WHEN row_number() OVER c <= count(*) OVER d // 2 THEN ' early'
@@ -409,14 +443,16 @@ def _build():
         _paired_bf("mean_answer"),
     )
     o["signed_rank"] = statement(
-        f"""SELECT {COND3}, count(*) AS n_pairs, round(coalesce(sum(r) FILTER (diff > 0), 0), 6) AS w_plus,
+        f"""SELECT {COND3}, count(*) FILTER (diff = 0) AS n_zero, count(*) - count(diff) AS n_dropped,
+        count(*) FILTER (diff <> 0) AS n_pairs, round(coalesce(sum(r) FILTER (diff > 0), 0), 6) AS w_plus,
         round(coalesce(sum(r) FILTER (diff < 0), 0), 6) AS w_minus,
-        round((coalesce(sum(r) FILTER (diff > 0), 0) - count(*) * (count(*) + 1) / 4.0e0) /
-          sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0e0 - sum(ties * ties - 1) / 48.0e0), 6) AS z
-        FROM (SELECT *, rank() OVER w + (ties - 1) / 2.0e0 AS r FROM (
-          SELECT *, count(*) OVER (PARTITION BY {COND3}, abs(diff)) AS ties FROM pr WHERE diff <> 0)
-          WINDOW w AS (PARTITION BY {COND3} ORDER BY abs(diff))) GROUP BY {COND3}""",
-        f"cr AS (SELECT * REPLACE (round(value, 9) * 1e9 AS value) FROM complete), pr AS ({_pairs('cr')})",
+        round((coalesce(sum(r) FILTER (diff > 0), 0) - n * (n + 1) / 4.0e0) /
+          sqrt(nullif(n * (n + 1) * (2 * n + 1) / 24.0e0 - coalesce(sum(ties * ties - 1) FILTER (diff <> 0), 0) / 48.0e0, 0)), 6) AS z
+        FROM (SELECT *, rank() OVER w + (ties - 1) / 2.0e0 AS r, count(*) FILTER (diff <> 0) OVER (PARTITION BY {COND3}) AS n FROM (
+          SELECT *, count(*) OVER (PARTITION BY {COND3}, abs(diff)) AS ties FROM pr)
+          WINDOW w AS (PARTITION BY {COND3}, coalesce(diff, 0) <> 0 ORDER BY abs(diff))) GROUP BY {COND3}, n""",
+        f"""cr AS (SELECT * REPLACE (CASE WHEN bias_source = 'cue' AND contrast_level = 'absent' THEN 0 ELSE round(value, 9) * 1e9 END AS value)
+          FROM nz), pr AS ({_pairs('cr')})""",
     )
     o["observed_cells"] = statement(f"SELECT {DESIGN6.replace('stim', 'round(stim, 9) AS stim')}, {_rounded('response_non_zero prop_zero response', 9)} FROM obs")
     extra, body = _effect_ci("obs", f"{P3}, contrast_level, stim", COND3, "response")
@@ -439,30 +475,61 @@ def _build():
     o["predict_expected"] = statement(
         f"SELECT {cell}, {_rounded('response_pred hurdle_prob response_pred_non_zero response_pred_gaussian')} FROM predicted"
     )
+    numbers = _scrambled("seeded", {n: ("draw_id", f"{STREAM} + {k}") for k, n in enumerate(("u", "n1", "n2"))})
     o["predict_sampled"] = statement(
         f"""SELECT {cell}, round(avg(p), 6) AS response_pred, round(1 - avg(CAST(p > 0 AS INT)), 6) AS hurdle_prob,
         round(avg(p) FILTER (p > 0), 6) AS response_pred_non_zero FROM (
-          SELECT *, CASE WHEN {_uniform('held')} < hu THEN 0 ELSE mu + sigma * {_normal('held')} END AS p FROM (
-            SELECT *, {_md5('response', 11, *ROW_KEY)} AS held FROM scored)) AS scored
-        {by_cell}"""
+          SELECT *, CASE WHEN {_uniform('u')} < hu THEN 0 ELSE mu + sigma * {_normal('n1', 'n2')} END AS p FROM {numbers}) AS scored
+        {by_cell}""",
+        f"seeded AS (SELECT *, {_seed('response', 11, *CELL_KEY[:-1])} AS cell_seed FROM scored)",
     )
     o["predictive_check"] = statement(
         f"""SELECT {cell}, {_rounded('response_pred hurdle_prob response_pred_non_zero response_non_zero prop_zero response', 9)}
-        FROM predicted FULL JOIN obs USING ({DESIGN6})"""
+        FROM predicted FULL JOIN (SELECT * FROM obs, (VALUES ('simple'), ('contrast'), ('hurdle'), ('full')) AS m(model_name))
+        USING ({DESIGN6}, model_name)"""
     )
     extra, body = _effect_ci(
         "predicted", f"{P3}, contrast_level, stim, model_name", f"{COND3}, model_name", "response_pred"
     )
     o["predicted_effect"] = statement(f"{body} WHERE model_name <> 'simple'", extra)
     o["conditional_draws"] = statement(
-        f"""SELECT {cell}, count(*) AS n, count(DISTINCT draw_id) AS n_draws, round(avg(pred), 6) AS pred
-        FROM conditional AS scored {by_cell}"""
+        f"""SELECT {cell}, count(*) AS n, count(DISTINCT draw_id) AS n_draws, round(avg(pred), 6) AS pred,
+        round(avg(hu), 6) AS hu FROM conditional AS scored {by_cell}"""
     )
     extra, body = _effect_ci("means", f"{P3}, contrast_level, model_name", f"{COND3}, model_name", "value")
     o["perceived_contrast_effect"] = statement(
         body,
         f"means AS (SELECT {P3}, cond, contrast_level, model_name, avg(pred) AS value FROM conditional GROUP BY ALL), {extra}",
     )
+    rows = []
+    for source, kind in (
+        (f"(SELECT {P3}, cond, contrast_level, avg(pred) AS value FROM conditional WHERE model_name = 'full' GROUP BY ALL)", "predicted"),
+        (f"(SELECT {P3}, cond, contrast_level, avg(response) AS value FROM mframe WHERE response <> 0 GROUP BY ALL)", "empirical"),
+    ):
+        rows.append(f"SELECT *, '{kind}' AS data_type FROM {source}")
+    both = " UNION ALL ".join(rows)
+    stats, body = _effect_ci("tagged", f"{P3}, contrast_level, data_type", f"{COND3}, data_type", "value")
+    o["perceived_vs_observed_effect"] = statement(body, f"tagged AS ({both}), {stats}")
+    o["predicted_nonzero_means"] = statement(
+        """SELECT experiment, bias_source, cond, contrast_level, model_name, n, round(y, 6) AS y, round(y - s / sqrt(n), 6) AS ymin,
+        round(y + s / sqrt(n), 6) AS ymax FROM (SELECT experiment, bias_source, cond, contrast_level, model_name, count(*) AS n,
+          avg(value) AS y, stddev_samp(value) AS s FROM means GROUP BY ALL)""",
+        f"means AS (SELECT {P3}, cond, contrast_level, model_name, avg(pred) AS value FROM conditional GROUP BY ALL)",
+    )
+    o["reproduction_error_strict"] = statement(
+        f"""SELECT {P3}, bias_direction, CASE WHEN count(*) FILTER (trial_index % 97 = 0) = 0
+        THEN round(avg(abs(target_contrast) - a), 9) END AS value FROM rep GROUP BY ALL"""
+    )
+    wide = "(SELECT experiment, avg(value) AS m, 4 * stddev_samp(value) AS s FROM {0} GROUP BY 1) b USING (experiment) WHERE abs(value - m) >= b.s"
+    o["exclusion_summary_default"] = statement(
+        "SELECT experiment, bias_source, count(*) AS n FROM (SELECT DISTINCT experiment, participant, bias_source FROM gone) GROUP BY ALL",
+        f"""s4 AS (SELECT t.* FROM stair t JOIN {wide.format('stair')}), k1 AS (SELECT * FROM sdt WHERE participant NOT IN (SELECT participant FROM s4)),
+        l4 AS (SELECT * FROM k1 WHERE d <= 0), k2 AS (SELECT *, d AS value FROM k1 WHERE participant NOT IN (SELECT participant FROM l4)),
+        d4 AS (SELECT t.* FROM k2 t JOIN {wide.format('k2')}),
+        k3 AS (SELECT * FROM err WHERE participant NOT IN (SELECT participant FROM s4 UNION SELECT participant FROM l4 UNION SELECT participant FROM d4)),
+        e4 AS (SELECT t.* FROM k3 t JOIN {wide.format('k3')}),
+        gone AS (SELECT {P3} FROM s4 UNION SELECT {P3} FROM l4 UNION SELECT {P3} FROM d4 UNION SELECT {P3} FROM e4)""",
+    )
     o["short_cells"] = statement(f"SELECT {DESIGN6}, model_name, count(*) AS n FROM scored GROUP BY ALL HAVING count(*) < 100")
     o["sample_per_cell"] = statement(
         f"""SELECT {CELL5}, trial_index FROM trials QUALIFY row_number() OVER

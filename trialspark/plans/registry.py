@@ -250,7 +250,10 @@ def bf_labels(spark, sf):
 
 @query
 def signed_rank(spark, sf):
-    return rounded(compare.signed_rank(_means(_complete(spark, sf)).withColumn("value", F.col("value") * 1e9)))
+    """One group has no effect at all; pairs with one side only are counted."""
+    medians = _means(summarise.median_nonzero(fx.trials(spark, sf)))
+    flat = (F.col("bias_source") == "cue") & (F.col("contrast_level") == "absent")
+    return rounded(compare.signed_rank(medians.withColumn("value", F.when(flat, 0.0).otherwise(F.col("value") * 1e9))))
 
 
 @query
@@ -332,7 +335,9 @@ def predict_expected(spark, sf):
 
 @query
 def predict_sampled(spark, sf):
-    return rounded(draws.sampled_cells(draws.predict_draws(_scored(spark, sf), seed=11)))
+    seeded = draws.with_seed(fx.design(spark, sf), seed=11)
+    scored = draws.score_draws(seeded, fx.draws_fixed(spark, sf), fx.draws_random(spark, sf))
+    return rounded(draws.sampled_cells(draws.predict_draws(scored)))
 
 
 @query
@@ -348,25 +353,50 @@ def predicted_effect(spark, sf):
     return rounded(effects.effect_table(shown, "response_pred", unit, [*CONDITION, "model_name"]))
 
 
+def _conditional(spark, sf):
+    return draws.conditional_draws(fx.design(spark, sf), fx.draws_fixed(spark, sf), fx.draws_random(spark, sf), 100, seed=5)
+
+
 @query
 def conditional_draws(spark, sf):
     """Conditional samples of every cell, summarised."""
-    sample = draws.conditional_draws(fx.design(spark, sf), fx.draws_fixed(spark, sf), fx.draws_random(spark, sf), 100, seed=5)
-    return rounded(
-        sample.groupBy(*draws.MODEL_CELL).agg(
-            F.count(F.lit(1)).alias("n"), F.countDistinct("draw_id").alias("n_draws"), F.avg("pred").alias("pred")
-        )
-    )
+    cells = _conditional(spark, sf).groupBy(*draws.MODEL_CELL).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("draw_id").alias("n_draws"), F.avg("pred").alias("pred"), F.avg("hu").alias("hu")
+    )
+    return rounded(draws.checked_size(cells, 100))
 
 
 @query
 def perceived_contrast_effect(spark, sf):
     """Condition effect on sampled non-zero predictions, averaged over stimuli first."""
-    sample = draws.conditional_draws(fx.design(spark, sf), fx.draws_fixed(spark, sf), fx.draws_random(spark, sf), 100, seed=5)
-    means = sample.groupBy(*effects.MEAN_CELL, "model_name").agg(F.avg("pred").alias("value"))
+    means = _conditional(spark, sf).groupBy(*effects.MEAN_CELL, "model_name").agg(F.avg("pred").alias("value"))
     return rounded(effects.effect_table(means, "value", [*PAIR, "model_name"], [*CONDITION, "model_name"]))
 
 
+@query
+def perceived_vs_observed_effect(spark, sf):
+    """Predicted and observed effects on non-zero reproductions, stacked."""
+    return rounded(effects.perceived_vs_observed(frame.model_frame(fx.trials(spark, sf)), _conditional(spark, sf)))
+
+
+@query
+def predicted_nonzero_means(spark, sf):
+    return rounded(effects.predicted_means(_conditional(spark, sf)))
+
+
+@query
+def reproduction_error_strict(spark, sf):
+    """A missing answer makes the error of its cell missing."""
+    unread = fx.trials(spark, sf).withColumn("answer", F.when(F.col("trial_index") % 97 == 0, "abc").otherwise(F.col("answer")))
+    return _means(exclude.reproduction_error(unread, na="propagate"))
+
+
+@query
+def exclusion_summary_default(spark, sf):
+    """Exclusions at the default threshold of four standard deviations."""
+    return exclude.exclusion_summary(exclude.exclusion_log(fx.trials(spark, sf)))
+
+
 @query
 def short_cells(spark, sf):
     """Cells with fewer than 100 draws."""
