@@ -32,6 +32,7 @@ class SuffixModel:
     least_common: int
     tokens: int
     kinds: int
+    ends: int
 
 
 def _normal(data, offsets):
@@ -73,10 +74,10 @@ def fit(texts: DataFrame, depth=5, least_share=3e-6, min_gain=16.0, prior=16.0,
     """
     counted = store(count_corpus(texts, depth), "corpus-counts")
     words = counted.where(F.col("kind") == WORD).select("key", "n")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("key").alias("v")).first()
-    tokens, kinds = int(total["n"]), int(total["v"])
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("key").alias("v"), F.coalesce(F.sum(F.when(F.col("key") == END_WORD, F.col("n"))), F.lit(0)).alias("ends")).first()
+    tokens, kinds, ends = int(total["n"]), int(total["v"]), int(total["ends"])
     least_common = max(1, -(-tokens // common_words))
-    common = columns(words.where(F.col("n") >= least_common))
+    common = columns(words.where((F.col("n") >= least_common) & (F.col("key") != END_WORD)))
     order = np.argsort(common["key"].view(np.uint64), kind="stable")
     common = common["key"][order], common["n"][order]
 
@@ -88,7 +89,7 @@ def fit(texts: DataFrame, depth=5, least_share=3e-6, min_gain=16.0, prior=16.0,
     np.add.at(totals, *counts[0])
     alphabet = Alphabet(totals, least)
     automaton = Automaton([Model(counts, alphabet, prior_blend(prior), least, min_gain)], alphabet)
-    return SuffixModel(automaton, words, common, least_common, tokens, kinds)
+    return SuffixModel(automaton, words, common, least_common, tokens, kinds, ends)
 
 
 def score(docs: DataFrame, model: SuffixModel, keep=("doc_id",)) -> DataFrame:
@@ -98,16 +99,15 @@ def score(docs: DataFrame, model: SuffixModel, keep=("doc_id",)) -> DataFrame:
     text has one token, its end. Repeated rows are scored alike, each on its own.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.automaton, model.common))
+    shared = spark.sparkContext.broadcast((model.automaton, model.common, model.ends))
     kept = docs.select(*keep).schema
     names = [f"_{k}" for k in range(len(kept))]
     spec = ", ".join([*[f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept, strict=True)], "row long, word long, n_tokens long, n_known long, base double, score double"])
 
     def task(parts):
-        automaton, (keys, counts) = shared.value
+        automaton, (keys, counts), ends = shared.value
         keys = keys.view(np.uint64)
         gain = np.log10(counts + 1.0)
-        end_at = np.flatnonzero(keys == END_WORD)
         row = TaskContext.get().partitionId() << 40
         for part in parts:
             data, offsets = buffer(part.column("_text"))
@@ -118,8 +118,8 @@ def score(docs: DataFrame, model: SuffixModel, keep=("doc_id",)) -> DataFrame:
                 found = keys[place] == hashes if len(keys) else np.zeros(len(hashes), dtype=bool)
                 known = np.bincount(owners[found], minlength=j - i)
                 base = np.bincount(owners[found], gain[place[found]], j - i) if len(keys) else np.zeros(j - i)
-                if len(end_at):
-                    known, base = known + 1, base + gain[end_at[0]]
+                if ends:
+                    known, base = known + 1, base + np.log10(ends + 1.0)
                 rows = row + np.arange(j - i)
                 out = [part.column(n).slice(i, j - i) for n in names]
                 out += [pa.array(rows), pa.nulls(j - i, pa.int64()), pa.array(np.diff(words.first) + 1), pa.array(known), pa.array(base), pa.array(automaton.score(text, at)[:, 0])]
