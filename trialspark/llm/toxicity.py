@@ -138,15 +138,17 @@ def suspicious(data, offsets):
 
 
 def restored(texts, channel):
-    """(bytes, offsets) of texts, restored where suspicious and in lower case."""
+    """(bytes, offsets) of texts in lower case, restored where suspicious; some two megabytes at a time."""
     data, offsets = buffer(texts)
-    flagged = np.flatnonzero(suspicious(data, offsets))
-    if len(flagged):
-        whole = texts.to_pylist()
-        for i in flagged:
-            whole[i] = channel.restore(whole[i]) if whole[i] else whole[i]
-        data, offsets = buffer(pa.array(whole, pa.string()))
-    return LOWER[data], offsets
+    for i, j in slices(offsets):
+        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        flagged = np.flatnonzero(suspicious(part, at))
+        if len(flagged):
+            pieces = [part[at[k] : at[k + 1]] for k in range(j - i)]
+            for k in flagged:
+                pieces[k] = np.frombuffer(channel.restore(pieces[k].tobytes().decode()).encode(), np.uint8)
+            part, at = np.concatenate(pieces), np.r_[0, np.cumsum([len(p) for p in pieces])]
+        yield i, j, LOWER[part], at
 
 
 def features(data, offsets):
@@ -226,10 +228,9 @@ def fit(docs: DataFrame, train: DataFrame, labels: DataFrame, per_class=8000, le
     def presence(parts, table):
         """(label, keys or places) of the distinct features of each text."""
         for part in parts:
-            data, offsets = restored(part.column("text").combine_chunks() if isinstance(part.column("text"), pa.ChunkedArray) else part.column("text"), shared.value)
             toxic = part.column("toxic").to_numpy()
-            for i, j in slices(offsets):
-                owners, keys = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for i, j, data, at in restored(part.column("text"), shared.value):
+                owners, keys = features(data, at)
                 if table is not None:
                     owners, keys = table.find(owners, keys)
                 order = np.lexsort((keys, owners))
@@ -240,7 +241,7 @@ def fit(docs: DataFrame, train: DataFrame, labels: DataFrame, per_class=8000, le
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
     def toxic_keys(parts):
-        counter = KeyCounter()
+        counter = KeyCounter(1 << 19)
         for _, _, keys in presence(parts, None):
             counter.add(keys)
         keys, counts = counter.result()
@@ -319,10 +320,9 @@ def score(docs: DataFrame, model: ToxicityModel, keep=("doc_id",)) -> DataFrame:
         model = shared.value
         for part in parts:
             texts = part.column("_text")
-            data, offsets = restored(texts, model.channel)
             total = np.full(len(texts), model.bias)
-            for i, j in slices(offsets):
-                owners, places = model.lookup.find(*features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+            for i, j, data, at in restored(texts, model.channel):
+                owners, places = model.lookup.find(*features(data, at))
                 pairs = np.unique(owners * (len(model.weights) + 1) + places)
                 total[i:j] += np.bincount(pairs // (len(model.weights) + 1), model.weights[pairs % (len(model.weights) + 1)], j - i)
             value = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
