@@ -2,6 +2,7 @@
 
 import pytest
 
+from trialspark.operators import exclude
 from trialspark.operators.joins import literal_grid, missing_keys
 from trialspark.schema import MODEL_BF, RHAT
 from trialspark.sources import results, trials
@@ -29,12 +30,18 @@ def test_raw_trials_are_typed_and_tagged(spark, raw):
     assert rows[1]["target_contrast"] == -0.05
 
 
-def test_reordered_header_is_refused(spark, tmp_path):
+def test_columns_are_matched_by_name(spark, tmp_path):
+    """Any order of columns, others carried along, the trial order absent or under another name."""
     path = str(tmp_path / "odd.csv")
     with open(path, "w") as out:
-        out.write("bias_source,participant" + HEADER[len("participant,bias_source"):] + "cue,065,control,low,detection,1,0.05,present\n")
-    with pytest.raises(Exception, match="CSV header"):
-        trials.read_trials(spark, {"exp1": path}).collect()
+        out.write("rt,bias_source,participant,bias_direction,contrast_level,trial_type,target_contrast,answer,nr\n0.5,cue,065,control,low,detection,x,present,7\n")
+    r = trials.read_trials(spark, {"exp1": path}).first().asDict()
+    assert "trial_index" not in r and (r["rt"], r["participant"], r["target_contrast"], r["experiment"]) == ("0.5", "065", None, "exp1")
+    assert trials.read_trials(spark, {"exp1": path}, index="nr").first()["trial_index"] == 7
+    with pytest.raises(ValueError, match="order"):
+        trials.read_trials(spark, {"exp1": path}, index="order")
+    with pytest.raises(Exception, match="trial_index"):
+        exclude.start_balance(trials.read_trials(spark, {"exp1": path})).collect()
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])

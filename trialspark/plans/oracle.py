@@ -462,7 +462,10 @@ def _build():
         (VALUES ('simple'), ('contrast'), ('hurdle'), ('full')) AS m(model_name)"""
     o["key_grid"] = statement(grid)
     o["missing_keys"] = statement(f"{grid} EXCEPT SELECT experiment, condition, model_name FROM draws_long")
-    o["write_read_filtered"] = statement(f"SELECT {TRIAL_OUT} FROM trials")
+    timed = f"SELECT {TRIAL_OUT}, concat(CAST(trial_index % 977 AS VARCHAR), ' ms') AS rt FROM trials"
+    o["write_read_filtered"] = o["read_raw_trials"] = statement(timed)
+    o["read_filtered_one"] = statement(f"SELECT {TRIAL_OUT} FROM trials WHERE experiment = 'exp2'")
+    o["keyed_round_trip"] = statement("SELECT experiment, condition, model, denominator, round(bf_log, 3) AS bf_log FROM bf")
     o["hurdle_loglik"] = statement(
         f"SELECT {P3}, model_name, round(sum(lp), 6) AS loglik, count(lp) AS n FROM density GROUP BY ALL"
     )
@@ -488,6 +491,7 @@ def _build():
         FROM predicted FULL JOIN (SELECT * FROM obs, (VALUES ('simple'), ('contrast'), ('hurdle'), ('full')) AS m(model_name))
         USING ({DESIGN6}, model_name)"""
     )
+    o["predictive_round_trip"] = o["predictive_check"]
     extra, body = _effect_ci(
         "predicted", f"{P3}, contrast_level, stim, model_name", f"{COND3}, model_name", "response_pred"
     )
@@ -536,6 +540,7 @@ def _build():
         (PARTITION BY {CELL5} ORDER BY {_md5('sample', 3, 'trial_index')}, trial_index) <= 2"""
     )
     o["rhat_split"] = statement(f"SELECT {FITP}, round(rhat, 6) AS rhat FROM split_rhat")
+    o["rhat_file_round_trip"] = o["rhat_split"]
     o["rhat_rank"] = statement(f"SELECT {FITP}, round(rhat, 6) AS rhat FROM rank_rhat")
     o["rhat_gate"] = statement(
         """SELECT experiment, condition, model_name, count(*) AS n_parameters, count(*) FILTER (rhat > 1.02) AS n_high,

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from ..operators import compare, diagnostics, draws, effects, exclude, fitting, frame, joins, models, regression, sdt, summarise
 from ..operators.reshape import lengthen, widen
-from ..schema import CELL, CONDITION, DIRECTIONS, EXPERIMENTS, FIT, LEVEL_LABELS, MODELS, PAIR, PARTICIPANT
+from ..schema import CELL, CONDITION, DIRECTIONS, EXPERIMENTS, FIT, LEVEL_LABELS, MODEL_BF, MODELS, PAIR, PARTICIPANT
 from ..session import materialize, scratch_path
-from ..sources.trials import read_trials, write_by_experiment
+from ..sources.results import compute_missing, read_predictive, read_rhat, write_keyed
+from ..sources.trials import CSV, read_filtered, read_trials, write_by_experiment
 from . import fixtures as fx
 
 QUERIES = {}
@@ -292,11 +293,67 @@ def missing_keys(spark, sf):
 
 @query
 def write_read_filtered(spark, sf):
-    """Trials written as one CSV folder per experiment, read back and stacked."""
+    """Trials with a column of their own, written as one CSV folder per experiment and read back as a whole."""
     path = scratch_path(spark, "filtered")
-    write_by_experiment(fx.trials(spark, sf), path, fmt="csv")
-    stored = read_trials(spark, {e: f"{path}/experiment={e}" for e in EXPERIMENTS})
-    return _means(stored.withColumn("answer_num", F.col("answer").try_cast("double")).drop("answer"))
+    write_by_experiment(_with_response_time(spark, sf), path, fmt="csv")
+    return _answers(read_filtered(spark, path, fmt="csv"))
+
+
+def _with_response_time(spark, sf):
+    return fx.trials(spark, sf).withColumn("rt", F.concat((F.col("trial_index") % 977).cast("string"), F.lit(" ms")))
+
+
+def _answers(trials):
+    return _means(trials.withColumn("answer_num", F.col("answer").try_cast("double")).drop("answer"))
+
+
+@query
+def read_raw_trials(spark, sf):
+    """Raw files per experiment with their columns in another order and the trial order under another name."""
+    path = scratch_path(spark, "raw")
+    raw = _with_response_time(spark, sf).withColumnRenamed("trial_index", "nr")
+    write_by_experiment(raw.select("answer", "nr", *[c for c in raw.columns if c not in ("answer", "nr")]), path, fmt="csv")
+    return _answers(read_trials(spark, {e: f"{path}/experiment={e}" for e in EXPERIMENTS}, index="nr").drop("nr"))
+
+
+@query
+def read_filtered_one(spark, sf):
+    """One experiment of the stored trials; only its folder is read."""
+    path = scratch_path(spark, "filtered")
+    write_by_experiment(fx.trials(spark, sf), path)
+    return _answers(read_filtered(spark, path, "exp2"))
+
+
+@query
+def keyed_round_trip(spark, sf):
+    """Evidence computed for the fits that have none yet, in two goes, stored per key and read back."""
+    path, keys = scratch_path(spark, "evidence"), ["experiment", "condition"]
+    table = materialize(models.model_bf(fx.log_evidence(spark, sf)))
+    todo = table.select(*keys).distinct()
+
+    def compute(wanted):
+        return wanted.join(table, keys)
+
+    compute_missing(todo.where("experiment = 'exp1'"), path, keys, MODEL_BF, compute)
+    compute_missing(todo, path, keys, MODEL_BF, compute)
+    return rounded(spark.read.schema(MODEL_BF).parquet(path), 3)
+
+
+@query
+def rhat_file_round_trip(spark, sf):
+    """R-hat tables written as quoted CSV files and read back by pattern; NULL is `NA` in the files."""
+    path = scratch_path(spark, "rhat")
+    found = rounded(diagnostics.rhat(fx.draws_long(spark, sf), rank=False)).select("parameter", "rhat", *diagnostics.FIT_KEYS)
+    found.write.options(**CSV, quoteAll=True).csv(path)
+    return rounded(read_rhat(spark, path, "part-*.csv"))
+
+
+@query
+def predictive_round_trip(spark, sf):
+    """The predictive check stored per experiment and model and read back."""
+    path = scratch_path(spark, "predictive")
+    write_keyed(predictive_check(spark, sf), path, ["experiment", "model_name"])
+    return read_predictive(spark, path)
 
 
 # Hurdle models and draws

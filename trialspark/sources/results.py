@@ -12,7 +12,8 @@ from .trials import CSV
 
 
 def read_many(spark: SparkSession, path: str, schema: T.StructType, pattern="*.csv") -> DataFrame:
-    """All matching files of a folder stacked; the key columns are in their rows."""
+    """All matching files of a folder stacked; the key columns are in their rows. The headers must list the schema's names
+    in order: result files are written by programs."""
     return spark.read.schema(schema).option("enforceSchema", False).options(**CSV, pathGlobFilter=pattern).csv(path)
 
 
