@@ -104,7 +104,11 @@ def test_fit_equals_dense_fit(spark):
                 passed = rng.random() > 1 / (1 + math.exp(-eta))
                 rows.append(("exp1", f"{person:03}", source, cond, "low", stim, float(0.05 + stim + rng.normal() * 0.02) if passed else 0.0))
     table = pd.DataFrame(rows, columns=["experiment", "participant", "bias_source", "cond", "contrast_level", "stim", "response"])
-    fits = fitting.fit_hurdle(spark.createDataFrame(table), ridge=0.7).toPandas().set_index(["bias_source", "model_name"])
+    frame = spark.createDataFrame(table)
+    fits = fitting.fit_hurdle(frame, ridge=0.7).toPandas().set_index(["bias_source", "model_name"])
+    assert fits.converged.all() and (fits.iterations > 2).all()
+    unsettled = fitting.fit_hurdle(frame, ridge=0.7, max_iter=2)
+    assert {(r["converged"], r["iterations"]) for r in unsettled.collect()} == {(False, 2)}
     assert len(fits) == 8
     for source in ("cue", "payoff"):
         for model, with_cond in (("simple", False), ("full", True)):

@@ -9,7 +9,6 @@ Evidence is the BIC approximation with the effective number of parameters, not a
 """
 
 import math
-import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -131,20 +130,22 @@ def _zero_loglik(eta):
     return F.col("zeros") * (chance + F.least(eta, F.lit(0.0))) + passed * (chance - F.greatest(eta, F.lit(0.0)))
 
 
-def _largest_gain(beta: DataFrame, before: DataFrame) -> float:
-    """Largest relative change of a fit's deviance. Unlike a coefficient, it settles when an outcome is separable."""
+def _gains(beta: DataFrame, before: DataFrame) -> DataFrame:
+    """Relative change of each fit's deviance; unlike a coefficient, it settles when an outcome is separable. A change that
+    cannot be told counts as infinite."""
     old = before.select(*PART, F.col("loglik").alias("_old"))
     change = 2 * F.abs(F.col("loglik") - F.col("_old")) / (2 * F.abs("loglik") + 0.1)
-    return null_safe_join(beta, old, PART).agg(F.max(change).alias("change")).first()["change"] or 0.0
+    return null_safe_join(beta, old, PART).select(*PART, F.coalesce(change, F.lit(float("inf"))).alias("change"))
 
 
-def fit_logistic(cells: DataFrame, ridge=1.0, max_iter=30, tol=1e-9) -> DataFrame:
-    """Coefficients and participant effects of the zero part, by iteratively reweighted least squares.
+def fit_logistic(cells: DataFrame, ridge=1.0, max_iter=30, tol=1e-9) -> tuple[DataFrame, DataFrame]:
+    """Coefficients and participant effects of the zero part, by iteratively reweighted least squares; and per fit whether
+    it has `converged` and after how many `iterations` the loop ended.
 
     An iteration is one pass over the cells; its sums are stored, so the lineage does not grow with the iterations.
     """
-    effects, before = None, None
-    for _ in range(max_iter):
+    effects, before, settled = None, None, None
+    for done in range(1, max_iter + 1):
         rows = cells.withColumn("eta", F.lit(0.0)) if effects is None else null_safe_join(
             cells, effects, PERSON
         ).withColumn("eta", _predictor())
@@ -154,11 +155,12 @@ def fit_logistic(cells: DataFrame, ridge=1.0, max_iter=30, tol=1e-9) -> DataFram
         blocks = materialize(_blocks(_moments(rows), ridge))
         beta = materialize(_solve(blocks))
         effects = _effects(blocks, beta, ridge)
-        if before is not None and _largest_gain(beta, before) < tol:
-            return effects
+        gains = beta.select(*PART, F.lit(float("inf")).alias("change")) if before is None else _gains(beta, before)
+        settled = gains.select(*PART, (F.col("change") < tol).alias("converged"), F.lit(done).alias("iterations"))
+        if settled.where(~F.col("converged")).isEmpty():
+            break
         before = beta
-    warnings.warn(f"zero part has not settled after {max_iter} iterations", stacklevel=2)
-    return effects
+    return effects, settled
 
 
 def fit_normal(cells: DataFrame, ridge=1.0) -> DataFrame:
@@ -176,13 +178,15 @@ def _parameters(effects: DataFrame, fixed=0) -> DataFrame:
 
 
 def fit_hurdle(frame: DataFrame, ridge=1.0, max_iter=30, tol=1e-9) -> DataFrame:
-    """Per experiment, source and model: coefficients of both parts, sigma, log likelihood, parameters, BIC, log evidence."""
+    """Per experiment, source and model: coefficients of both parts, sigma, log likelihood, parameters, BIC, log evidence,
+    and whether and after how many iterations the zero part converged. Unsettled fits are returned, marked as such."""
     cells = materialize(hurdle_cells(frame))
-    zero, size = fit_logistic(cells, ridge, max_iter, tol), fit_normal(cells, ridge)
+    (zero, settled), size = fit_logistic(cells, ridge, max_iter, tol), fit_normal(cells, ridge)
 
     logistic = null_safe_join(cells, zero, PERSON).withColumn("eta", _predictor()).groupBy(*PART).agg(
         F.sum(_zero_loglik(F.col("eta"))).alias("loglik"), F.sum("n").alias("n")
     )
+    logistic = null_safe_join(logistic, settled, PART)
     fitted = F.col("fitted")
     normal = null_safe_join(cells, size, PERSON).withColumn("fitted", _predictor()).groupBy(*PART).agg(
         F.sum(F.col("syy") - 2 * fitted * F.col("sy") + F.col("passed") * fitted * fitted).alias("rss"),
@@ -224,4 +228,6 @@ def fit_hurdle(frame: DataFrame, ridge=1.0, max_iter=30, tol=1e-9) -> DataFrame:
         df.alias("df"),
         bic.alias("bic"),
         (-bic / 2).alias("logml"),
+        F.col("hu.converged").alias("converged"),
+        F.col("hu.iterations").alias("iterations"),
     )

@@ -32,16 +32,20 @@ def local_session(cores="*", partitions=8, memory="8g") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: `spark.checkpoint.dir` if the session names one.
 
-    Only when it is unset do we pick one: a temporary folder in local mode, otherwise a folder in the warehouse.
+    Only when it is unset do we pick one: a temporary folder in local mode, otherwise a folder in the warehouse, which then
+    must be on a shared file system; a warehouse on each machine's own disk is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         if configured is None:
-            if sc.master.startswith("local"):
+            if sc.master == "local" or sc.master.startswith("local["):
                 configured = tempfile.mkdtemp(prefix="trialspark-")
             else:
-                configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_trialspark"
+                warehouse = spark.conf.get("spark.sql.warehouse.dir")
+                if warehouse.startswith(("file:", "/")):
+                    raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the warehouse {warehouse} is local")
+                configured = warehouse.rstrip("/") + "/_trialspark"
         sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
