@@ -4,6 +4,8 @@
 Scored rows are aggregated or filtered right away, never stored.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,28 +151,31 @@ def sample_per_group(df: DataFrame, keys, n, identity, seed=0) -> DataFrame:
     return first_n(order, keys, ["_held", *identity], n).drop("_held")
 
 
-#: Offers that pass the hurdle, as a multiple of the sample wanted: fourteen standard deviations of room at n = 100.
-OFFERS = 3
+def _offers_wanted(n):
+    """Passing offers to expect for `n` picks: eight standard deviations of room."""
+    return n + 8 * math.ceil(math.sqrt(n)) + 8
 
 
 def conditional_draws(design: DataFrame, fixed: DataFrame, random: DataFrame, n=100, seed=0) -> DataFrame:
     """`n` sampled responses per cell given that the hurdle was passed; negative ones are kept.
 
-    Every draw of a cell is offered equally often, about `OFFERS` * n passing offers in all; an offer passes with
-    probability 1 - hu, and `n` of those that passed are taken in random order. So draws are picked with weight 1 - hu,
-    with replacement over offers. A cell that comes out short raises an error (`checked_size`).
+    Every draw of a cell is offered equally often, so that somewhat more than n offers pass in all (`_offers_wanted`); an
+    offer passes with probability 1 - hu, and `n` of those that passed are taken in random order. So draws are picked with
+    weight 1 - hu, with replacement over offers. `checked_size` tells whether a cell has come out short.
     """
     scored = score_draws(design, fixed, random)
     chance = scored.groupBy(*MODEL_CELL).agg(F.sum(1.0 - F.col("hu")).alias("_pass"))
-    offers = F.ceil(OFFERS * n / F.col("_pass")).cast("int")
-    cells = materialize(with_seed(chance, seed, "conditional").withColumn("offers", offers).drop("_pass"))
-    offered = score_draws(cells, fixed, random).withColumn("offer", F.explode(F.sequence(F.lit(1), F.col("offers"))))
+    offers = F.ceil(_offers_wanted(n) / F.col("_pass")).cast("int")
+    cells = with_seed(chance, seed, "conditional").select(*MODEL_CELL, "cell_seed", offers.alias("offers"))
+    # A number for the seven columns of a cell; it is stored with the cells, so every use sees the same.
+    cells = materialize(cells.withColumn("cell", F.monotonically_increasing_id()))
+    offered = score_draws(cells, fixed, random).select("cell", "cell_seed", "draw_id", "mu", "sigma", "hu", F.explode(F.sequence(F.lit(1), F.col("offers"))).alias("offer"))
     step = {k: ("cell_seed", "draw_id", F.col("offer").cast("long") * 8 + k) for k in range(4)}
-    passed = with_numbers(offered, _hurdle=step[0]).where(uniform("_hurdle") >= F.col("hu"))
-    row = [*MODEL_CELL, "draw_id", "offer"]
-    ordered = with_numbers(passed, _order=step[1]).select(*row, "mu", "sigma", "hu", "cell_seed", "_order")
-    picked = with_numbers(first_n(ordered, MODEL_CELL, ["_order", "draw_id", "offer"], n), _first=step[2], _second=step[3])
-    return picked.withColumn("pred", F.col("mu") + F.col("sigma") * normal("_first", "_second")).select(*row, "hu", "mu", "pick", "pred")
+    passed = with_numbers(offered, _hurdle=step[0]).where(uniform("_hurdle") >= F.col("hu")).drop("_hurdle")
+    picked = first_n(with_numbers(passed, _order=step[1]), ["cell"], ["_order", "draw_id", "offer"], n)
+    numbered = with_numbers(picked, _first=step[2], _second=step[3])
+    sampled = numbered.withColumn("pred", F.col("mu") + F.col("sigma") * normal("_first", "_second"))
+    return sampled.join(cells.select("cell", *MODEL_CELL), "cell").select(*MODEL_CELL, "draw_id", "offer", "hu", "mu", "pick", "pred")
 
 
 def checked_size(counted: DataFrame, n, name="n") -> DataFrame:

@@ -54,12 +54,14 @@ def salted_join(many: DataFrame, few: DataFrame, on, spread, heavy_rows=HEAVY_RO
     """
     sizes = (many if sizes_of is None else sizes_of).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > heavy_rows)
     salts = materialize(sizes.select(*on, F.ceil(F.col("_rows") / heavy_rows).cast("int").alias("_salts")))
+    # A fixed number of partitions: adaptive execution would merge the small inputs of this join, whose output is large.
+    parts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if salts.isEmpty():
-        return many.join(few, on)
+        return many.repartition(parts, *on).join(few, on)
     n = F.coalesce(F.col("_salts"), F.lit(1))
     left = lookup_join(many, salts, on, stored=True).withColumn("_salt", F.pmod(F.xxhash64(*spread), n).cast("int"))
     right = lookup_join(few, salts, on, stored=True).withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
-    return left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"]).drop("_salt")
+    return left.drop("_salts").repartition(parts, *on, "_salt").join(right.drop("_salts"), [*on, "_salt"]).drop("_salt")
 
 
 def key_grid(df: DataFrame, **levels) -> DataFrame:

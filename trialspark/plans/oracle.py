@@ -173,9 +173,9 @@ PARTS = {
         avg((1 - hu) * mu) AS response_pred, avg(hu + (1 - hu) * (1 - above)) AS hurdle_prob,
         sum((1 - hu) * (mu * above + sigma * exp(-z * z / 2 - {LOG_2PI / 2}::DOUBLE))) / sum((1 - hu) * above) AS response_pred_non_zero,
         sum((1 - hu) * mu) / sum(1 - hu) AS response_pred_gaussian FROM zscored GROUP BY ALL""",
-    # A Bernoulli pass of every offer, then 100 of those that passed; three times as many offers as needed on average.
+    # A Bernoulli pass of every offer, then 100 of those that passed; somewhat more expected than needed.
     "chances": f"""SELECT *, {_seed('conditional', 5, *CELL_KEY)} AS cell_seed FROM (
-        SELECT {', '.join(CELL_KEY)}, CAST(ceil(300e0 / sum(1 - hu)) AS BIGINT) AS offers FROM scored GROUP BY ALL)""",
+        SELECT {', '.join(CELL_KEY)}, CAST(ceil(188e0 / sum(1 - hu)) AS BIGINT) AS offers FROM scored GROUP BY ALL)""",
     "offered": f"""SELECT s.*, cell_seed, unnest(range(1, offers + 1)) AS offer FROM scored s JOIN chances USING ({', '.join(CELL_KEY)})""",
     "passing": f"""SELECT * FROM {_scrambled('offered', {n: ('draw_id', f'offer * 8 + {k}') for k, n in enumerate(('u', 'o', 'n1', 'n2'))})}
         WHERE {_uniform('u')} >= hu""",
