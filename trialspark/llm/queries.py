@@ -74,4 +74,39 @@ QUERIES = {
     "op10_language": op10_language,
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: Queries that SQL can express; the others are tested against brute force.
+ORACLE: dict[str, str] = {
+    "op2_substrings": f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+h AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS i,
+        unnest(list_transform(range(1, len(words) - 33), lambda i: md5(array_to_string(words[i:i + 34], ' ')))) AS t
+      FROM w WHERE len(words) >= 35),
+g AS (SELECT doc_id, list(i) AS starts FROM h SEMI JOIN (SELECT t FROM h GROUP BY t HAVING count(*) > 1) USING (t) GROUP BY doc_id),
+k AS (SELECT doc_id, words, list_distinct(flatten(list_transform(coalesce(starts, []), lambda i: range(i, i + 35)))) AS gone
+      FROM w LEFT JOIN g USING (doc_id))
+SELECT doc_id, len(words) AS n_words, len(gone) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(words, lambda x, j: NOT list_contains(gone, j)), ' '), '')) AS kept_sha256 FROM k""",
+    "op3_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""",
+    "op5_mixing": f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+        CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM d GROUP BY source),
+r AS (SELECT 0 AS k, -1e0::DOUBLE AS t UNION ALL
+      SELECT k + 1, (SELECT (1.5 * sum(source_size)::DOUBLE - coalesce(sum(2 * source_size) FILTER (2 * source_size <= t * weight), 0))
+        / sum(weight) FILTER (NOT 2 * source_size <= t * weight) FROM s) FROM r WHERE k < 40),
+c AS (SELECT *, CASE WHEN 2 * source_size <= t * weight THEN (2 * source_size)::DOUBLE ELSE t * weight END AS target
+      FROM s, (SELECT max(t) AS t FROM r)),
+p AS (SELECT d.doc_id, size, source_size, target, weight,
+        sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(size, floor(target) - upto + size)) + greatest(0, least(size, floor(target) - upto + size - source_size)) AS BIGINT) AS taken,
+  upto / weight AS virtual_finish FROM p""",
+}
