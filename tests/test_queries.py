@@ -1,5 +1,6 @@
 """Every named query equals its SQL on the smallest tables."""
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -25,10 +26,12 @@ def outcomes(request, spark, small_dir):
 
 def test_sql_names_are_queries():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"hurdle_fit", "hurdle_fit_evidence"}
+    brute_force = {"hurdle_fit", "hurdle_fit_evidence"}  # tested against a dense fit
+    assert {q for q in set(QUERIES) - set(SQL) if not re.match(r"op\d+_|pipeline$", q)} == brute_force
 
 
-@pytest.mark.parametrize("query", sorted(QUERIES))
+# The queries of the optional subpackage have tests of their own.
+@pytest.mark.parametrize("query", sorted(q for q in SQL if not re.match(r"op\d+_|pipeline$", q)))
 def test_query_matches_sql(outcomes, query):
     message, _, _ = outcomes[query].result()
     assert message is None, message
