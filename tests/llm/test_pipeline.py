@@ -87,6 +87,38 @@ def test_repeated_rows_leave_one(spark, documents, small_dir):
     assert sorted(map(str, got)) == ["9", "None", "None"]
 
 
+def test_near_copies_by_brute_force_similarity(spark, documents, small_dir, table):
+    def shingles(text):
+        w = [lower(x) for x in words(text)]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    random = np.random.default_rng(5)
+    texts = [r["text"] for r in table("documents")]
+    for size in (5, 9, 40, 200, 800):  # near copies on both sides of the border, by words changed here and there
+        for k in range(6):
+            base = [f"v{random.integers(10**9)}" for _ in range(size)]
+            texts.append(" ".join(base))
+            for share in (0.01, 0.02, 0.03):
+                texts.append(" ".join(w if random.random() > share else f"u{random.integers(10**9)}" for w in base))
+    passage, base = [f"p{i}" for i in range(60)], [f"b{i}" for i in range(300)]
+    texts += [" ".join([*passage, *[f"q{k}x{i}" for i in range(30)]]) for k in range(40)]  # one common passage, no copies
+    texts += [" ".join([*base[:i], f"n{i}", *base[i + 1 :]]) for i in range(0, 300, 5)]  # one large group
+    texts += [" ".join(base[i:] + [f"c{j}" for j in range(i)]) for i in range(0, 120, 20)]  # a chain
+    sets = [shingles(t) for t in texts]
+    low, links = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 9 * common >= 4 * (len(sets[i]) + len(sets[j])):
+                links += sets[i] != sets[j]
+                a, b = low[i], low[j]
+                low = [min(a, b) if x in (a, b) else x for x in low] if a != b else low
+    assert links > 1000
+    docs = store(documents([(k, t, "en", "a") for k, t in enumerate(texts)]), "near-copies-test")
+    got = cp.drop_near_duplicates(spark, docs, small_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(low))
+
+
 def test_names():
     assert [n for n, _ in cp.STAGES] == ["language", "near_duplicates", "substrings", "mixing", "packing"]
     assert lower(b"AbZ\xc3\x89") == b"abz\xc3\x89" and pytest and np
