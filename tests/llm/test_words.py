@@ -295,3 +295,40 @@ def test_scores_with_rare_words_joined(documents, awkward):
     empty = scoring.fit(awkward.where("doc_id < 0"))
     assert all(r["n_known"] == 0 and r["base_score"] == 0 for r in scoring.score(awkward, empty).collect())
     assert scoring.score(awkward.where("doc_id < 0"), many).collect() == []
+
+
+def branches(tree):
+    """Texts that take every branch of a parsed pattern, each optional part once with and once without."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(v) if str(k) == "LITERAL" else chr(v[0]) for k, v in arg]
+        elif name == "BRANCH":
+            more = [t for way in arg[1] for t in branches(way)]
+        elif name == "SUBPATTERN":
+            more = branches(arg[3])
+        elif name == "ANY":
+            more = ["x"]
+        else:
+            assert name == "MAX_REPEAT", name
+            low, high, inner = arg
+            more = sorted({t * n for t in branches(inner) for n in {low, 1 if low <= 1 <= high else low}})
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_branch_of_a_license_rule_passes_its_gate(documents):
+    texts = sorted({t for _, _, _, pattern in licenses.signature_rules() for t in branches(re._parser.parse(pattern))})
+    for label, _, word, pattern in licenses.signature_rules():
+        for text in branches(re._parser.parse(pattern)):
+            assert licenses.gate_mark(word) in f" {text} ", (label, text)
+    assert {"lgplv3", "agpl3", "gpl2", "gpled", "0bsd", "creative commons cc0"} <= set(texts)
+    common = ["lgplv3", "lgplv2", "lgpl2", "agplv3", "agpl3", "gpl2", "gpl3", "gpled", "0bsd", "creative commons cc0"]
+    got = {r["doc_id"]: r for r in licenses.scan(documents([(k, f"licensed by {t} here") for k, t in enumerate(common)])).collect()}
+    want = ["lgpl", "lgpl", "lgpl", "agpl", "agpl", "gpl-2.0", "gpl-3.0", "gpl", "0bsd", "cc0-1.0"]
+    for k, text in enumerate(common):
+        assert want[k] in got[k]["labels"] and got[k]["score"] > 0, (text, got[k])
+        assert any((d["start"], d["end"]) == (2, 2 + len(text.split())) and d["label"] == want[k] for d in got[k]["detections"])

@@ -1,7 +1,7 @@
 """License scans: ordered signature rules behind a keyword prefilter, as DataFrame expressions only.
 
 A text is its words, lower-cased, joined by single spaces. A rule is a regular expression over them; it is tried only where
-its keyword stands in the text. Of overlapping detections, one inside another of the same or a stronger priority goes.
+its keyword stands in the text (or begins a word of it, where a version may be glued to it). Of overlapping detections, one inside another of the same or a stronger priority goes.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -55,7 +55,9 @@ SIGNATURES = (
     ("bsd-4-clause", 1, "advertising", r"all advertising materials mentioning features or use of this software must display"),
     ("bsd", 1, "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", 1, "endorse", r"may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("0bsd", 1, "bsd", r"(?:zero clause|0) ?bsd(?: license)?"),
+    ("0bsd", 1, "bsd", r"(?:zero clause|0) bsd(?: license)?"),
+    ("0bsd", 1, "0bsd", r"0bsd(?: license)?"),
+    ("0bsd", 1, "clausebsd", r"zero clausebsd(?: license)?"),
     ("bsd", 2, "bsd", r"bsd license"),
     ("bsd", 3, "bsd", r"bsd style(?: license)?"),
     ("isc", 2, "isc", r"isc license"),
@@ -95,7 +97,7 @@ SIGNATURES = (
     ("wtfpl", 1, "fuck", r"do what the fuck you want to public license"),
     ("cc0-1.0", 1, "cc0", r"cc0 1 0(?: universal)?"),
     ("cc0-1.0", 2, "cc0", r"cc0"),
-    ("cc0-1.0", 1, "dedication", r"creative commons (?:cc0|public domain dedication)"),
+    ("cc0-1.0", 1, "creative", r"creative commons (?:cc0|public domain dedication)"),
     ("public-domain", 2, "domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain"),
     ("public-domain", 3, "domain", r"public domain"),
     ("ofl-1.1", 1, "font", r"sil open font license(?: version)? 1 1"),
@@ -151,6 +153,9 @@ _SPDX = (
     "wtfpl x11 zlib zpl-2.1"
 ).split()
 
+#: Keywords to which a version or an ending may be glued (lgplv3, gpl2, gpled): the word need only begin with them.
+GLUED = ("gpl", "lgpl", "agpl")
+
 #: Confidence of a detection by its priority, and of a base phrase.
 CONFIDENCE = (1.0, 0.9, 0.6, 0.3)
 BASE_CONFIDENCE = 0.8
@@ -183,11 +188,17 @@ def _spaces(text):
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def gate_mark(word):
+    """What a text must hold for a rule with this keyword to be tried."""
+    return f" {word}" if word in GLUED else f" {word} "
+
+
 def _any_word(text, words):
     """Whether one of the words stands in the text; each test is a plain search."""
+    marks = {gate_mark(word) for word in words}
     out = F.lit(False)
-    for word in sorted(set(words)):
-        out = out | F.contains(text, F.lit(f" {word} "))
+    for mark in sorted(m for m in marks if not any(o != m and o in m for o in marks)):
+        out = out | F.contains(text, F.lit(mark))
     return out
 
 
@@ -233,7 +244,7 @@ def scan(docs: DataFrame, keep=("doc_id",), base=BASE, rules=None) -> DataFrame:
     searched. A null text is an empty one: no words, null first_word and last_word, no labels, score 0.
     """
     rules = signature_rules() if rules is None else rules
-    table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(f" {word} ").alias("word"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern")) for label, priority, word, pattern in rules])
+    table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(gate_mark(word)).alias("word"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern")) for label, priority, word, pattern in rules])
     words = docs.select(*keep, normal(F.col("text")).alias("_text"))
     gate = _any_word(F.col("_text"), [r[2] for r in rules] + [phrase.split()[-1] for phrase, _ in base])
     words = words.withColumn("n_words", F.when(F.col("_text") == "  ", 0).otherwise(_spaces(F.col("_text")) - 1).cast("long"))
