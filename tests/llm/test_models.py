@@ -109,6 +109,21 @@ def test_restored_stretches():
     assert channel.restore(long) == long
 
 
+def test_long_stretches_are_restored_too(spark, documents):
+    words = "you are a stupid idiot moron trash pathetic loser worthless disgusting the cat sat on mat and dog".split()
+    docs = documents([(i, " ".join(words) * 3) for i in range(20)])
+    channel = toxicity.Channel(toxicity.character_counts(docs))
+    said = channel.restore(" ".join("you stupid pathetic worthless loser".replace(" ", "") * 3))
+    assert all(said.replace(" ", "").count(w) == 3 for w in ("stupid", "pathetic", "worthless", "loser")) and " " in said
+    assert channel.restore("stu" + "u" * 100 + "pid") == "stupid" and channel.restore("s t u p i d " * 10).count("stupid") == 10
+    long = " ".join("stupid" * 50_000)
+    assert channel.restore(long).replace(" ", "") == "stupid" * 50_000
+    docs = documents([(i, f"{'you are a stupid pathetic idiot' if i % 2 else 'have a lovely day'} number {i}") for i in range(60)])
+    model = toxicity.fit(docs, docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    checks = documents([(1, " ".join("youareastupidpatheticidiotstupididiot")), (2, "an id" + "i" * 60 + "ot"), (3, "lovely day")])
+    assert [r["predicted"] for r in toxicity.score(checks, model).orderBy("doc_id").collect()] == [1, 1, 0]
+
+
 def test_op8_separates_the_labelled_texts(spark):
     import pyarrow.parquet as pq
 

@@ -6,6 +6,7 @@ logistic model on words and word beginnings, learned from labelled texts.
 """
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from .text import _BYTE_VALUE, LOWER, KeyCounter, batches, buffer, mix, slices,
 #: What a sign may stand for. Fixed values.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"}
 SUBSTITUTE, DROP, KEEP_GAP = -0.4, -0.2, -1.5  # log10 costs of the channel
-LONGEST = 48  # a longer unbroken stretch is no disguised word and stays as it is
+REMEMBERED = 48  # longer stretches are decoded anew each time
 EDGE, OTHER, SYMBOLS = 26, 27, 28  # of the character model: a-z, a gap, any other letter
 PREFIXES = (3, 4, 5, 6, 7, 8)
 
@@ -69,56 +70,78 @@ class Channel:
         pairs = counts.sum(0)
         shorter = (pairs + 0.5) / (pairs + 0.5).sum(1, keepdims=True)
         self.logs = np.log10((counts + 8 * shorter) / (counts.sum(2, keepdims=True) + 8)).tolist()
-        self.known = {}
+        self.known, self.places = {}, {}
 
     def _steps(self, text):
-        """[(strings, costs)] for each place of the lattice: what may stand there."""
-        out, i = [], 0
+        """[(string, cost)] for each place of the lattice: what may stand there. Equal places share one list."""
+        i = 0
         while i < len(text):
             c = text[i]
             j = i
             while j < len(text) and text[j] == c:
                 j += 1
             if c.isalpha() or c in LEET:
-                options = [(x, SUBSTITUTE) for x in LEET.get(c, "")] or [(c, 0.0)]
                 if j - i >= 3:
-                    out.append([(x * n, cost + DROP) for x, cost in options for n in (1, 2)])
+                    yield self._options(c, True)
                 else:
-                    out.extend([options] * (j - i))
+                    for _ in range(j - i):
+                        yield self._options(c, False)
             else:
-                out.append([("", DROP), (" ", KEEP_GAP)])
+                yield self._options(" ", False)
             i = j
-        return out
+
+    def _options(self, c, repeated):
+        have = self.places.get((c, repeated))
+        if have is None:
+            have = [("", DROP), (" ", KEEP_GAP)]
+            if c != " ":
+                have = [(x, SUBSTITUTE) for x in LEET.get(c, "")] or [(c, 0.0)]
+            if repeated:
+                have = [(x * n, cost + DROP) for x, cost in have for n in (1, 2)]
+            self.places[c, repeated] = have
+        return have
 
     def decode(self, text):
-        """The most probable reading of a stretch, in lower case."""
+        """The most probable reading of a stretch, in lower case; time and memory follow its length.
+
+        Each place keeps for its states a number: which state of the place before led there, and by which option.
+        """
         text = text.lower()
         if text in self.known:
             return self.known[text]
         logs = self.logs
-        best = {(EDGE, EDGE): (0.0, "")}
+        best, places, back, first = {(EDGE, EDGE): 0.0}, [], array("H"), array("q", [0])
         for options in self._steps(text):
-            nexts = {}
-            for (a, b), (score, said) in best.items():
-                for string, cost in options:
+            nexts, came = {}, {}
+            for k, ((a, b), score) in enumerate(best.items()):
+                for o, (string, cost) in enumerate(options):
                     x, y, total = a, b, score + cost
                     for ch in string:
                         z = EDGE if ch == " " else ord(ch) - 97
                         total += logs[x][y][z]
                         x, y = y, z
-                    if total > nexts.get((x, y), (-np.inf,))[0]:
-                        nexts[x, y] = (total, said + string)
+                    if total > nexts.get((x, y), -np.inf):
+                        nexts[x, y], came[x, y] = total, k * 8 + o
             best = nexts
-        said = max((score + logs[a][b][EDGE], said) for (a, b), (score, said) in best.items())[1]
-        if len(self.known) > 100_000:
-            self.known.clear()
-        self.known[text] = said
+            places.append(options)
+            back.extend(came[state] for state in best)
+            first.append(len(back))
+        k = max((score + logs[a][b][EDGE], k) for k, ((a, b), score) in enumerate(best.items()))[1]
+        said = []
+        for at in range(len(places) - 1, -1, -1):
+            k, o = divmod(back[first[at] + k], 8)
+            said.append(places[at][o][0])
+        said = "".join(reversed(said))
+        if len(text) <= REMEMBERED:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[text] = said
         return said
 
     def restore(self, text):
         """The text with its suspicious stretches replaced by their best readings."""
-        text = _SPACED.sub(lambda m: self.decode(m[0]) if any(c.isalpha() for c in m[0]) and len(m[0]) <= LONGEST else m[0], text)
-        return _TOKEN.sub(lambda m: self.decode(m[0]) if len(m[0]) <= LONGEST and _ODD.search(m[0]) else m[0], text)
+        text = _SPACED.sub(lambda m: self.decode(m[0]) if any(c.isalpha() for c in m[0]) else m[0], text)
+        return _TOKEN.sub(lambda m: self.decode(m[0]) if _ODD.search(m[0]) else m[0], text)
 
 
 def suspicious(data, offsets):
