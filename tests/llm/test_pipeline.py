@@ -87,6 +87,14 @@ def test_repeated_rows_leave_one(spark, documents, small_dir):
     assert sorted(map(str, got)) == ["9", "None", "None"]
 
 
+def test_reused_ids_lose_only_near_copies(spark, documents, small_dir):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(9, one, "en", "a"), (9, two, "en", "a"), (9, two, "en", "a"), (4, two + " end", "en", "a"), (7, three, "en", "a"), (9, three, "en", "b")]
+    for way in (rows, rows[::-1]):
+        got = cp.drop_near_duplicates(spark, documents(way), small_dir).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(9, one), (4, two + " end"), (7, three)])
+
+
 def test_near_copies_by_brute_force_similarity(spark, documents, small_dir, table):
     def shingles(text):
         w = [lower(x) for x in words(text)]
