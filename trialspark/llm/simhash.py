@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
 from .storage import store
@@ -56,9 +57,10 @@ def _ramp(sizes):
     return np.arange(total[-1] if len(total) else 0) - np.repeat(total - sizes, sizes)
 
 
-def fingerprints(docs: DataFrame, shingle=3) -> DataFrame:
-    """(doc_id, fp long), one row per row of `docs`. A text without words (null, empty, blank) has fingerprint 0."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, shingle=3, keep=()) -> DataFrame:
+    """(doc_id, fp long) and the columns `keep`, one row per row of `docs`. A text without words (null, empty, blank) has
+    fingerprint 0."""
+    out = StructType([StructField("doc_id", LongType()), StructField("fp", LongType()), *[docs.schema[c] for c in keep]])
 
     def task(parts):
         for part in parts:
@@ -66,9 +68,10 @@ def fingerprints(docs: DataFrame, shingle=3) -> DataFrame:
             found = [np.zeros(0, np.uint64)]
             for i, j in slices(offsets):
                 found.append(fingerprint(Words(LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]), shingle))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(found).view(np.int64))], schema=schema)
+            columns = [part.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(found).view(np.int64)), *[part.column(c) for c in keep]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *keep).mapInArrow(task, out)
 
 
 def _split(bits, parts):
@@ -199,14 +202,15 @@ def _open_bits(mask):
     return BITS - (mask & (1 << BITS) - 1).bit_count()
 
 
-def near_duplicates(docs: DataFrame, shingle=3, most=3, bucket=BUCKET) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row per row of `docs`.
+def near_duplicates(docs: DataFrame, shingle=3, most=3, bucket=BUCKET, keep=()) -> DataFrame:
+    """(doc_id, fingerprint, component_id) and the columns `keep`, one row per row of `docs`. `keep` cannot hold the names
+    doc_id, text and fp or those of the result.
 
     component_id is the smallest doc_id reachable over links of at most `most` differing bits. Repeated rows fall into one
     component. A row with a null doc_id links nothing; it gets the component of its fingerprint, if that has a doc_id.
     """
-    printed = store(fingerprints(docs, shingle), "fingerprints")
+    printed = store(fingerprints(docs, shingle, keep), "fingerprints")
     points = store(printed.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")), "points")
     component = connected_components(links(points, most, bucket))
     of_print = points.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return printed.join(of_print, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return printed.join(of_print, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *keep)
