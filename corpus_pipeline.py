@@ -7,12 +7,12 @@ last returns the pieces of the packed sequences. Other columns of the input are
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import language, mixing, near_copies, packing, substrings
+from trialspark.llm import language, mixing, packing, simhash, substrings
 from trialspark.llm.storage import store
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
-#: Five-word shingles, as for all near-duplicate stages.
-SHINGLE = 5
+#: Words of a shingle and differing bits of a link, those of `op4_simhash`.
+SHINGLE, MOST_BITS = 3, 3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies: texts linked by a Jaccard similarity of their five-word shingles of 0.8
-    or more. The row with the smallest doc_id stays, of several with that the one with the smallest hash of its text.
+    """Keeps one row of each group of texts linked by fingerprints that differ in at most `MOST_BITS` bits. The row with the
+    smallest doc_id stays, of several with that the one with the smallest hash of its text.
 
     Rows that share a doc_id are told apart by their texts. Rows without a doc_id all stay.
     """
@@ -36,8 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     place = (F.xxhash64("text").alias("text_key"), F.xxhash64("lang", "source", "n_chars").alias("row_key"))
     named = docs.where(F.col("doc_id").isNotNull()).select("*", *place)
     order = ["doc_id", "text_key", "row_key"]
-    groups = near_copies.near_copies(named, SHINGLE, keep=order)
-    first = groups.groupBy("component").agg(F.min(F.struct(*order)).alias("first")).select("first.*")
+    groups = simhash.near_duplicates(named, SHINGLE, MOST_BITS, keep=("text_key", "row_key"))
+    first = groups.groupBy("component_id").agg(F.min(F.struct(*order)).alias("first")).select("first.*")
     kept = named.join(first, order, "left_semi").dropDuplicates(order)
     return kept.select(*DOCUMENT).unionByName(docs.where(F.col("doc_id").isNull())).select(*DOCUMENT)
 
