@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import language, licenses, mixing, neighbours, packing, scoring, simhash, substrings, topk, toxicity
+from . import language, licenses, mixing, neighbours, packing, scoring, simhash, substrings, token_files, topk, toxicity
+from ..session import scratch_path
 from .storage import read_table
 
 
@@ -61,6 +62,12 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(docs, model).withColumn("held_out", fold(7) == 2)
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "llm-ids")
+    token_files.write_ids(read_table(spark, sf_dir, "documents"), path)
+    return token_files.read_ids(spark, path)
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_substrings": op2_substrings,
@@ -72,6 +79,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_language": op10_language,
+    "op11_token_files": op11_token_files,
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
