@@ -43,7 +43,8 @@ def test_code_of_runs_borders_and_escapes():
 
 def test_encoder_equals_the_tokenizer():
     encoder, plain = tf.Encoder(tf.TOKENIZER), Tokenizer.from_file(tf.TOKENIZER)
-    texts = ["", " ", "a  b\n\nc\td", "It's I'LL 's 't", "x\x1cy\x85z\xa0w v", "Café café ́ H̱ İ ΣΑΣ ς", "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|> <|end oftext|>", "日本 x1²³½", "👩‍👩‍👧 ١٢٣", "ab" * 20_000, "\x00 \x00a", "no 'v e '  ve"]
+    texts = ["", " ", "a  b\n\nc\td", "It's I'LL 's 't", "x\x1cy\x85z\xa0w v", "Café café ́ H̱ İ ΣΑΣ ς", "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|> <|end oftext|>", "日本 x1²³½", "👩‍👩‍👧 ١٢٣", "ab" * 20_000, "\x00 \x00a", "no 'v e '  ve", "end. stop!! wow's. a,b c<|endoftext|>. x|> y|. é.. ×. ٣. a≠. it'. &c. Straße, naïve; word'll. "]
+    texts.append(" ".join(texts) * 3)
     want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert encoder.encode(texts) == want and [encoder.encode([t])[0] for t in texts] == want
     encoder.REMEMBERED = 2

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import language, licenses, mixing, neighbours, packing, scoring, simhash, substrings, token_files, topk, toxicity
+from . import language, licenses, mixing, neighbours, packing, scoring, simhash, spelling, substrings, token_files, topk, toxicity
 from ..session import scratch_path
 from .storage import read_table
 
@@ -68,6 +68,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, path)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_substrings": op2_substrings,
@@ -80,6 +84,7 @@ QUERIES = {
     "op9_suffix_tree": op9_suffix_tree,
     "op10_language": op10_language,
     "op11_token_files": op11_token_files,
+    "op12_spelling": op12_spelling,
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -15,6 +15,7 @@ All numbers are little-endian. Any block can be decoded alone from its offset, a
 """
 
 import os
+import re
 import zlib
 from array import array
 
@@ -54,20 +55,39 @@ def encode(ids, ends):
     out side by side, the k-th of every block at once.
     """
     n = len(ids)
-    values = ids.astype(np.uint64)
     starts = np.r_[0, ends[:-1]].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-    room = np.repeat(ends, ends - starts) - np.arange(n)
-    best, cheapest = np.zeros(n, dtype=np.int8), np.full(n, np.inf)
-    total = np.zeros(n + 1, dtype=np.int64)
-    for s in range(16):
-        np.cumsum(values >= MARK[s] if s > 1 else values != 0, out=total[1:])
-        held = np.minimum(room, COUNT[s])
-        escaped = total[np.arange(n) + held] - total[:-1]
-        cost = (64 + 32 * escaped) / held
+    best, cheapest = np.zeros(n, dtype=np.int8), np.full(n, np.inf, dtype=np.float32)
+    total, large = np.zeros(n + 1, dtype=np.int32), int(ids.max(initial=0))
+    zeros = n and int(ids.min()) == 0
+    for s in range(0 if zeros else 2, 16):
+        slots = int(COUNT[s])
+        if s > 2 and large < MARK[s - 1]:
+            break  # nothing is left that a wider slot would save
+        if s < 2:
+            np.cumsum(ids != 0, out=total[1:])
+        elif WIDTH[s] <= 32:
+            np.cumsum(ids >= np.uint32(MARK[s]), out=total[1:])
+        else:
+            total[:] = 0
+        cost = np.full(n, np.inf, dtype=np.float32)
+        if n >= slots:
+            np.subtract(total[slots:], total[: n - slots + 1], out=cost[: n - slots + 1], casting="unsafe")
+        if s < 2:
+            cost[cost > 0] = np.inf
+        cost *= 32
+        cost += 64
+        cost /= slots
+        # The last places of each block have less room.
+        short = np.unique(np.maximum(ends[:, None] - np.arange(1, slots), starts[:, None])) if slots > 1 else starts[:0]
         if s < 2:
-            cost[(escaped > 0) | (held < COUNT[s])] = np.inf
+            cost[short] = np.inf
+        elif len(short):
+            stop = ends[np.searchsorted(ends, short, "right")]
+            cost[short] = (64 + 32 * (total[stop] - total[short])) / (stop - short)
         better = cost < cheapest
-        best[better], cheapest[better] = s, cost[better]
+        np.copyto(best, s, where=better)
+        np.copyto(cheapest, cost, where=better)
+    values = ids.astype(np.uint64)
     at, block, places, owners = starts.copy(), np.arange(len(ends)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(at):
         places.append(at)
@@ -117,25 +137,42 @@ def decode(words, words_of, ids_of, escapes):
 class Encoder:
     """Ids of whole texts by the tokenizer, as bytes of little-endian unsigned 32-bit integers.
 
-    This kind of tokenizer drops white space and never looks across a space, so the ids of a text are those of its pieces
-    between spaces one after another. Pieces seen before are remembered, `REMEMBERED` at most; the others are tokenized.
+    This kind of tokenizer drops white space, never looks across a space, and cuts between a letter and a punctuation mark.
+    So the ids of a text are those of its pieces between such places one after another. Pieces seen before are
+    remembered, `REMEMBERED` at most; the others are tokenized. Of those, pieces of letters alone become one word each,
+    the last token of which is known to end a word: many are tokenized at once and told apart again by that.
     """
 
-    REMEMBERED, LONG = 1 << 18, 64
+    REMEMBERED, LONG, AT_ONCE = 1 << 18, 64, 1024
+    #: A run of marks between a letter and a space. Left out: the apostrophe, which may belong to the word, and the marks of
+    #: special tokens.
+    MARKS = re.compile("(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])[!\"#$%&()*+,\\-./:;=?@\\[\\\\\\]^_`{}~]+(?= )")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks already use all cores
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, pieces):
+        plain = [p for p in pieces if p.isalpha() and len(p.encode()) <= 2 * len(p)]  # letters below U+0800
+        for i in range(0, len(plain), self.AT_ONCE):
+            some = plain[i : i + self.AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            self.known.update({piece: raw[a:b] for piece, a, b in zip(some, [0, *ends], ends, strict=False)} if len(ends) == len(some) else {})
+        other = [p for p in pieces if p not in self.known]
+        for piece, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.known[piece] = array("I", found.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [text.replace("\n", " ").split(" ") for text in texts]
+        pieces = [self.MARKS.sub(" \\g<0>", text.replace("\n", " ")).split(" ") for text in texts]
         new = {p for ps in pieces for p in ps if p not in self.known}
         if len(new) + len(self.known) > self.REMEMBERED:
             self.known = {}
             new = {p for ps in pieces for p in ps}
-        new = list(new)
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = array("I", found.ids).tobytes()
+        self._learn(new)
         out = [b"".join(map(self.known.__getitem__, ps)) for ps in pieces]
         for piece in new:
             if len(piece) > self.LONG:
