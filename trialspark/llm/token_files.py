@@ -15,9 +15,9 @@ All numbers are little-endian. Any block can be decoded alone from its offset, a
 """
 
 import os
-import re
 import zlib
 from array import array
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from ..session import scratch_path
 from .storage import store
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -63,12 +62,12 @@ def encode(ids, ends):
         slots = int(COUNT[s])
         if s > 2 and large < MARK[s - 1]:
             break  # nothing is left that a wider slot would save
-        if s < 2:
-            np.cumsum(ids != 0, out=total[1:])
-        elif WIDTH[s] <= 32:
-            np.cumsum(ids >= np.uint32(MARK[s]), out=total[1:])
-        else:
+        if WIDTH[s] > 32:
             total[:] = 0
+        else:
+            np.cumsum(ids >= np.uint32(MARK[s]) if s > 1 else ids != 0, out=total[1:])
+        if s > 1 and 4 * total[n] > 3 * n:
+            continue  # most slots would be escapes
         cost = np.full(n, np.inf, dtype=np.float32)
         if n >= slots:
             np.subtract(total[slots:], total[: n - slots + 1], out=cost[: n - slots + 1], casting="unsafe")
@@ -137,59 +136,97 @@ def decode(words, words_of, ids_of, escapes):
 class Encoder:
     """Ids of whole texts by the tokenizer, as bytes of little-endian unsigned 32-bit integers.
 
-    This kind of tokenizer drops white space, never looks across a space, and cuts between a letter and a punctuation mark.
-    So the ids of a text are those of its pieces between such places one after another. Pieces seen before are
-    remembered, `REMEMBERED` at most; the others are tokenized. Of those, pieces of letters alone become one word each,
-    the last token of which is known to end a word: many are tokenized at once and told apart again by that.
+    This kind of tokenizer drops white space, never looks across a space, ignores case, and cuts between a letter and a
+    punctuation mark. So the ids of a text are those of its pieces between spaces, and of a word with marks behind it those
+    of the word and of the marks. Pieces seen before are remembered, in two generations of `REMEMBERED` at most: what is
+    still in use moves on to the young one before the old one is dropped. New words of letters alone are lower-cased and
+    tokenized many at once, told apart by the tokens that end a word, without the tokenizer's own normalizing and splitting,
+    which change nothing on such words; all other pieces take the tokenizer as it is.
     """
 
-    REMEMBERED, LONG, AT_ONCE = 1 << 18, 64, 1024
-    #: A run of marks between a letter and a space. Left out: the apostrophe, which may belong to the word, and the marks of
-    #: special tokens.
-    MARKS = re.compile("(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])[!\"#$%&()*+,\\-./:;=?@\\[\\\\\\]^_`{}~]+(?= )")
+    REMEMBERED, LONG, AT_ONCE = 400_000, 64, 1024
+    #: Left out: the apostrophe, which may belong to the word, and the marks of special tokens.
+    MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks already use all cores
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {"": b""}, {}
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = normalizers.Sequence([])
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _learn(self, pieces):
-        plain = [p for p in pieces if p.isalpha() and len(p.encode()) <= 2 * len(p)]  # letters below U+0800
-        for i in range(0, len(plain), self.AT_ONCE):
-            some = plain[i : i + self.AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+    def _words(self, words):
+        """Ids of lower-case words of letters below U+0100."""
+        out = []
+        for i in range(0, len(words), self.AT_ONCE):
+            ids = np.array(self.of_words.encode_batch_fast([" ".join(words[i : i + self.AT_ONCE])], add_special_tokens=False)[0].ids, "<u4")
             raw, ends = ids.tobytes(), ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
-            self.known.update({piece: raw[a:b] for piece, a, b in zip(some, [0, *ends], ends, strict=False)} if len(ends) == len(some) else {})
-        other = [p for p in pieces if p not in self.known]
-        for piece, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.known[piece] = array("I", found.ids).tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return dict(zip(words, out, strict=True))
+
+    def _whole(self, pieces):
+        """Ids of any pieces."""
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return {piece: array("I", x.ids).tobytes() for piece, x in zip(pieces, found, strict=True)}
+
+    def _learn(self, pieces):
+        marks, pieces = self.MARKS, list(pieces)
+        words = [piece.rstrip(marks) for piece in pieces]
+        plain = [word.isalpha() and (word.isascii() or max(word) < "\u0100") for word in words]
+        whole = self._whole([piece for piece, ok in zip(pieces, plain, strict=True) if not ok])
+        pieces, words = list(compress(pieces, plain)), [word.lower() for word in compress(words, plain)]
+        ids = {}
+        for known in (self.old, self.young):
+            ids.update((word, known[word]) for word in known.keys() & set(words))
+        ids.update(self._words(list(set(words) - ids.keys())))
+        tails = [piece[len(word) :] for piece, word in zip(pieces, words, strict=True)]
+        of_tails = self._whole(list(set(tails)))
+        out = {piece: ids[word] + of_tails[tail] for piece, word, tail in zip(pieces, words, tails, strict=True)}
+        return ids | out | whole
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.MARKS.sub(" \\g<0>", text.replace("\n", " ")).split(" ") for text in texts]
-        new = {p for ps in pieces for p in ps if p not in self.known}
-        if len(new) + len(self.known) > self.REMEMBERED:
-            self.known = {}
-            new = {p for ps in pieces for p in ps}
-        self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, ps)) for ps in pieces]
-        for piece in new:
+        pieces = [text.replace("\n", " ").split(" ") for text in texts]
+        used = set().union(*pieces).difference(self.young)
+        known = used.intersection(self.old)
+        learned = self._learn(used - known)
+        for piece in known:
+            learned[piece] = self.old[piece]
+        if len(self.young) + len(learned) > self.REMEMBERED:
+            self.young, self.old = {}, self.young
+            for piece in set().union(*pieces).difference(learned):
+                learned[piece] = self.old[piece]
+        self.young.update(learned)
+        out = [b"".join(map(self.young.__getitem__, ps)) for ps in pieces]
+        for piece in learned:
             if len(piece) > self.LONG:
-                del self.known[piece]
+                del self.young[piece]
         return out
 
 
-_CODED = "doc_id long, n_tokens long, ids_crc32 long, place long, shape binary, code binary"
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def coded(docs: DataFrame, tokenizer=TOKENIZER, end=END, slice_bytes=1 << 20) -> DataFrame:
-    """Each row's ids, `end` behind them, as blocks. shape: ids, words and escapes of each block as uint32; code: the blocks;
-    place: a number per row. A null text is an empty one."""
-    closing = np.array([end], dtype="<u4").tobytes()
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker; the tasks that it runs share what is remembered."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+_CODED = "file int, doc_id long, ids_crc32 long, place long, n_tokens long, shape binary, code binary"
+
+
+def coded(docs: DataFrame, bounds, tokenizer=TOKENIZER, end=END, slice_bytes=1 << 20) -> DataFrame:
+    """Each row's ids, `end` behind them, as blocks. file: how many of the sorted `bounds` lie below its doc_id, 0 for a null
+    one; rows of a doc_id that is several bounds are dealt over the files between. shape: ids, words and escapes of each
+    block as uint32; code: the blocks; place: a number per row. A null text is an empty one."""
+    closing, bounds = np.array([end], dtype="<u4").tobytes(), np.array(bounds, dtype=np.int64)
 
     def task(parts):
-        encoder, place = Encoder(tokenizer), TaskContext.get().partitionId() << 40
+        coder, place = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for part in parts:
             ids, texts = part.column("doc_id").cast(pa.int64()), part.column("text").to_pylist()
             i = 0
@@ -197,7 +234,7 @@ def coded(docs: DataFrame, tokenizer=TOKENIZER, end=END, slice_bytes=1 << 20) ->
                 j, held = i, 0
                 while j < len(texts) and held < slice_bytes:
                     held, j = held + len(texts[j] or ""), j + 1
-                raw = [x + closing for x in encoder.encode([t or "" for t in texts[i:j]])]
+                raw = [x + closing for x in coder.encode([t or "" for t in texts[i:j]])]
                 sizes = np.array([len(x) // 4 for x in raw])
                 ends, blocks = block_ends(sizes)
                 words, words_of, escapes, escapes_of = encode(np.frombuffer(b"".join(raw), "<u4"), ends)
@@ -206,16 +243,20 @@ def coded(docs: DataFrame, tokenizer=TOKENIZER, end=END, slice_bytes=1 << 20) ->
                 w, e = np.r_[0, np.cumsum(words_of)] * 8, np.r_[0, np.cumsum(escapes_of)] * 4
                 code = [word_bytes[w[b] : w[b + 1]] + escape_bytes[e[b] : e[b + 1]] for b in range(len(ends))]
                 b = np.r_[0, np.cumsum(blocks)]
+                own, places = ids.slice(i, j - i), place + np.arange(j - i)
+                number = own.fill_null(np.iinfo(np.int64).min).to_numpy()
+                first, last = np.searchsorted(bounds, number), np.searchsorted(bounds, number, "right")
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(i, j - i),
-                        pa.array(sizes),
+                        pa.array((first + places * 40_503 // 7 % (last - first + 1)).astype(np.int32)),
+                        own,
                         pa.array([zlib.crc32(x) for x in raw], pa.int64()),
-                        pa.array(place + np.arange(j - i)),
+                        pa.array(places),
+                        pa.array(sizes),
                         pa.array([shape[b[k] : b[k + 1]].tobytes() for k in range(j - i)], pa.binary()),
                         pa.array([b"".join(code[b[k] : b[k + 1]]) for k in range(j - i)], pa.binary()),
                     ],
-                    names=["doc_id", "n_tokens", "ids_crc32", "place", "shape", "code"],
+                    names=["file", "doc_id", "ids_crc32", "place", "n_tokens", "shape", "code"],
                 )
                 place, i = place + j - i, j
 
@@ -246,20 +287,20 @@ def _records(parts):
         yield pa.RecordBatch.from_arrays([pa.array([index + tail], pa.binary())], names=["record"])
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer=TOKENIZER, end=END, file_ids=1 << 23, file_docs=1 << 20) -> None:
-    """Write the ids of all rows of `docs` to files of about `file_ids` ids in ascending doc_id order.
+def write_ids(docs: DataFrame, path: str, tokenizer=TOKENIZER, end=END, file_bytes=1 << 24, file_docs=1 << 20) -> None:
+    """Write the ids of all rows of `docs` in ascending doc_id order to files of about `file_bytes` bytes of text each.
 
-    Rows without a doc_id come first; rows that share one follow each other by number of ids, then checksum. Texts are
-    tokenized once, by the tasks that read them; only codes are stored and range-sorted, so a doc_id of many rows is
-    split. The files are written by Spark's own committer: a task that runs again leaves no second copy.
+    Rows without a doc_id come first. Rows that share a doc_id follow each other in no promised order, over as many files as
+    they need. Texts are tokenized once, by the tasks that read them, and only codes are shuffled: the borders between
+    files are approximate quantiles of the doc_ids. The files are written by Spark's own committer: a task that runs again
+    leaves no second copy.
     """
-    spark = docs.sparkSession
-    at = scratch_path(spark, "llm-coded")
-    coded(docs, tokenizer, end).write.option("compression", "zstd").parquet(at)
-    rows = spark.read.schema(_CODED).parquet(at)
-    ids, n = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
-    order = ["doc_id", "n_tokens", "ids_crc32", "place"]
-    placed = rows.repartitionByRange(max(1, -(-ids // file_ids), -(-n // file_docs)), *order).sortWithinPartitions(*order)
+    size, n = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    files = max(1, -(-(size or 0) // file_bytes), -(-n // file_docs))
+    # The smallest number stands for null, so that many rows without a doc_id are dealt over several files as well.
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    bounds = docs.agg(F.percentile_approx(number, [k / files for k in range(1, files)], 100 * files)).first()[0] if n and files > 1 else []
+    placed = coded(docs, bounds, tokenizer, end).repartitionById(files, F.col("file")).sortWithinPartitions("doc_id", "ids_crc32", "place")
     # Spark's text writer puts the bytes of a string out as they are, and a newline behind each row.
     records = placed.mapInArrow(_records, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("compression", "none").option("lineSep", "\n").text(path)
