@@ -90,14 +90,23 @@ def _untouched(word, length, m):
     return [head_b, tail_a, F.concat(head_a, F.lit(" "), tail_b)]
 
 
+def _sorted_letters(word):
+    return F.array_join(F.sort_array(F.split(word, "")), "")
+
+
 def _keyed(words: DataFrame, masks) -> DataFrame:
-    """A row per word and join key; the longer word of a pair meets the shorter one under that one's length."""
-    letters = words.withColumn("_letters", F.array_join(F.array_sort(F.split("word", "")), "")).withColumn("_length", F.length("word"))
-    projected = letters.withColumn("_parts", F.array(*[_projection(F.col("_letters"), mask) for mask in masks]))
+    """A row per word and join key; the longer word of a pair meets the shorter one under that one's length.
+
+    Written without functions of functions, whose plans Spark cannot tell to be the same, so that a self-join shuffles once.
+    """
+    letters = words.withColumn("_letters", _sorted_letters("word")).withColumn("_length", F.length("word"))
+    parts = [f"_part{i}" for i in range(len(masks))]
+    projected = letters.withColumns({part: _projection(F.col("_letters"), mask) for part, mask in zip(parts, masks, strict=True)})
     rows = projected.withColumn("m", F.explode(F.array(F.col("_length"), F.col("_length") - 1)))
-    left = F.array(*_untouched(F.col("word"), F.col("_length"), F.col("m")))
-    pairs = F.transform("_parts", lambda p, i: F.transform(left, lambda x, j: F.xxhash64(i, p, j, x, F.col("m"))))
-    return rows.select("word", "n", "m", F.explode(F.flatten(pairs)).alias("key"))
+    left = _untouched(F.col("word"), F.col("_length"), F.col("m"))
+    rows = rows.withColumns({f"_left{j}": x for j, x in enumerate(left)})
+    keys = [F.xxhash64(F.lit(i), part, F.lit(j), f"_left{j}", "m") for i, part in enumerate(parts) for j in range(len(left))]
+    return rows.select("word", "n", "m", F.explode(F.array(*keys)).alias("key"))
 
 
 def near_pairs(words: DataFrame, first=3, second=1, crowded=CROWDED, finer=(1, 6)) -> DataFrame:
@@ -111,14 +120,15 @@ def near_pairs(words: DataFrame, first=3, second=1, crowded=CROWDED, finer=(1, 6
     heavy = store(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > crowded).select("key"), "crowded")
     if not heavy.isEmpty():
         marked = lookup_join(keyed, heavy.withColumn("_heavy", F.lit(True)), ["key"], stored=True)
-        letters = F.array_join(F.array_sort(F.split("word", "")), "")
-        parts = F.array(*[_projection(letters, mask) for mask in signature_masks(*finer)])
-        again = F.transform(parts, lambda p, i: F.xxhash64("key", i, p))
+        letters = _sorted_letters("word")
+        again = F.array(*[F.xxhash64("key", F.lit(i), _projection(letters, mask)) for i, mask in enumerate(signature_masks(*finer))])
         keyed = marked.withColumn("key", F.explode(F.when(F.col("_heavy"), again).otherwise(F.array("key")))).drop("_heavy")
-    a, b = (keyed.select("key", "m", *[F.col(c).alias(x) for c, x in (("word", side), ("n", f"{side}_n"))]) for side in "ab")
+    # Both sides of the join are one plan, so that its shuffle is made once.
+    short = F.least(F.length("a.word"), F.length("b.word"))
     # Two words that are both longer than m meet under their own length as well.
-    wanted = (F.col("a") < F.col("b")) & (F.least(F.length("a"), F.length("b")) == a["m"]) & (F.levenshtein("a", "b", 1) == 1)
-    return a.join(b.withColumnRenamed("m", "_m"), "key").where(wanted).select("a", "a_n", "b", "b_n").distinct()
+    wanted = (F.col("a.word") < F.col("b.word")) & (short == F.col("a.m")) & (short == F.col("b.m")) & (F.levenshtein("a.word", "b.word", 1) == 1)
+    met = keyed.alias("a").join(keyed.alias("b"), F.col("a.key") == F.col("b.key")).where(wanted)
+    return met.select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n")).distinct()
 
 
 def variants(docs: DataFrame, least_length=7, least_n=2, slip=31, share=10, crowded=CROWDED) -> DataFrame:
