@@ -4,15 +4,13 @@
 Scored rows are aggregated or filtered right away, never stored.
 """
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import column, digest, inv_logit, key_number, normal, normal_cdf, normal_lpdf, normal_pdf, uniform, with_numbers
+from ..functions.numeric import MODULUS, column, digest, inv_logit, key_number, normal, normal_cdf, normal_lpdf, normal_pdf, uniform, with_numbers
 from ..schema import DESIGN, FIT, MODELS, PARTICIPANT
 from ..session import materialize
-from .joins import salted_join
+from .joins import lookup_join, salted_join
 
 MODEL_CELL = [*DESIGN, "model_name"]
 
@@ -40,22 +38,23 @@ def linear_predictor(prefix="b_", effects="r_", cond="cond") -> Column:
     return fixed + c(f"{effects}intercept") + by_condition * shown
 
 
-def score_draws(design: DataFrame, fixed: DataFrame, random: DataFrame) -> DataFrame:
+def score_draws(design: DataFrame, fixed: DataFrame, random: DataFrame, salt=None) -> DataFrame:
     """`mu`, `sigma`, `hu` and the logit of `hu` for every design row under every draw of its participant.
 
     Two equi-joins on participant and draw keys; a participant with very many draws is spread over salted sub-keys, and a
-    following per-cell aggregate combines before its shuffle. Other columns of `design` are carried along.
+    following per-cell aggregate combines before its shuffle. Other columns of `design` are carried along. `salt`: a name under
+    which the sub-key is kept; all rows of a cell and sub-key are in one task.
     """
     on = [*PARTICIPANT, "model_name"] if "model_name" in design.columns else PARTICIPANT
     draws = random.join(fixed, [*FIT, "draw_id"])
     # `fixed` has one row per draw, so `random` alone tells how many rows each participant brings.
-    scored = salted_join(draws, design, on, spread=["draw_id"], sizes_of=random)
+    scored = salted_join(draws, design, on, spread=["draw_id"], sizes_of=random, salt=salt)
     kept = [*MODEL_CELL, "draw_id", "mu", "sigma", "eta_hu", "hu"]
     extra = [c for c in design.columns if c not in MODEL_CELL]
     return (
         scored.withColumns({"mu": linear_predictor(), "eta_hu": linear_predictor("hu_", "r_hu_")})
         .withColumn("hu", inv_logit("eta_hu"))
-        .select(*kept, *extra)
+        .select(*kept, *extra, *([salt] if salt else []))
     )
 
 
@@ -151,31 +150,55 @@ def sample_per_group(df: DataFrame, keys, n, identity, seed=0) -> DataFrame:
     return first_n(order, keys, ["_held", *identity], n).drop("_held")
 
 
-def _offers_wanted(n):
-    """Passing offers to expect for `n` picks: eight standard deviations of room."""
-    return n + 8 * math.ceil(math.sqrt(n)) + 8
+#: Bits of the whole-number weight of a draw that surely passes.
+WEIGHT_BITS = 40
+#: Draws of a cell up to which sums of weights stay below 2 ** 63; beyond, the sums are decimals.
+WEIGHT_DRAWS = 1 << 22
+
 
+def _picks(sums: DataFrame, n) -> DataFrame:
+    """`n` random places per cell and model in the sum of its weights, each in the part it falls into.
 
-def conditional_draws(design: DataFrame, fixed: DataFrame, random: DataFrame, n=100, seed=0) -> DataFrame:
+    sums: (cell, model_name, part, cell_seed, total). A place is made from the cell's number and the pick's, so it does not
+    depend on how the draws were dealt over parts.
+    """
+    cell = Window.partitionBy("cell", "model_name")
+    before = F.sum("total").over(cell.orderBy("part")) - F.col("total")
+    placed = sums.withColumns({"_before": before, "_whole": F.sum("total").over(cell)})
+    each = placed.withColumn("pick", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    numbered = with_numbers(each, _coarse=("cell_seed", "pick", 0), _fine=("cell_seed", "pick", 1))
+    share = (F.col("_coarse") + uniform("_fine")) / float(MODULUS)
+    kind = sums.schema["total"].dataType
+    at = F.least(F.floor(share * F.col("_whole")).cast(kind), F.col("_whole") - 1) - F.col("_before")
+    return numbered.withColumn("at", at).where((F.col("at") >= 0) & (F.col("at") < F.col("total"))).select("cell", "model_name", "part", "cell_seed", "pick", "at")
+
+
+def conditional_draws(design: DataFrame, fixed: DataFrame, random: DataFrame, n=100, seed=0, draws_at_most=WEIGHT_DRAWS) -> DataFrame:
     """`n` sampled responses per cell given that the hurdle was passed; negative ones are kept.
 
-    Every draw of a cell is offered equally often, so that somewhat more than n offers pass in all (`_offers_wanted`); an
-    offer passes with probability 1 - hu, and `n` of those that passed are taken in random order. So draws are picked with
-    weight 1 - hu, with replacement over offers. `checked_size` tells whether a cell has come out short.
+    Draws are picked with replacement, with weight 1 - hu, as whole numbers of 2 ** -40: the draws of a cell lie end to end in
+    a sum of weights, and n random places in it are located by one ordered merge of draws and places. It costs the same
+    however rarely the hurdle is passed; only a cell whose draws all have 1 - hu below 2 ** -40 gets no rows, which
+    `checked_size` tells. The draws of a very large cell are dealt over parts, each with a sum of its own.
     """
-    scored = score_draws(design, fixed, random)
-    chance = scored.groupBy(*MODEL_CELL).agg(F.sum(1.0 - F.col("hu")).alias("_pass"))
-    offers = F.ceil(_offers_wanted(n) / F.col("_pass")).cast("int")
-    cells = with_seed(chance, seed, "conditional").select(*MODEL_CELL, "cell_seed", offers.alias("offers"))
-    # A number for the seven columns of a cell; it is stored with the cells, so every use sees the same.
-    cells = materialize(cells.withColumn("cell", F.monotonically_increasing_id()))
-    offered = score_draws(cells, fixed, random).select("cell", "cell_seed", "draw_id", "mu", "sigma", "hu", F.explode(F.sequence(F.lit(1), F.col("offers"))).alias("offer"))
-    step = {k: ("cell_seed", "draw_id", F.col("offer").cast("long") * 8 + k) for k in range(4)}
-    passed = with_numbers(offered, _hurdle=step[0]).where(uniform("_hurdle") >= F.col("hu")).drop("_hurdle")
-    picked = first_n(with_numbers(passed, _order=step[1]), ["cell"], ["_order", "draw_id", "offer"], n)
-    numbered = with_numbers(picked, _first=step[2], _second=step[3])
+    cells = materialize(design.select(*DESIGN).distinct().withColumn("cell", F.monotonically_increasing_id()))
+    many = random.groupBy(*PARTICIPANT, "model_name").count().where(F.col("count") > draws_at_most).isEmpty()
+    weight = F.floor((1.0 - F.col("hu")) * float(1 << WEIGHT_BITS)).cast("long" if many else "decimal(38,0)")
+    scored = score_draws(cells, fixed, random, salt="part").withColumn("weight", weight).where(F.col("weight") > 0)
+    keys = ["cell", "model_name", "part"]
+    sums = scored.groupBy(*MODEL_CELL, *[k for k in keys if k not in MODEL_CELL]).agg(F.sum("weight").alias("total"))
+    sums = materialize(with_seed(sums, seed, "conditional").select(*keys, "cell_seed", "total"))
+    upto = F.sum("weight").over(Window.partitionBy(*keys).orderBy("draw_id"))
+    held = F.struct("draw_id", "mu", "sigma", "hu")
+    kinds = {f.name: f.dataType for f in sums.schema.fields}
+    rows = scored.withColumn("at", (upto - F.col("weight")).cast(kinds["total"])).select(*keys, "at", F.lit(None).cast("int").alias("pick"), F.lit(None).cast("long").alias("cell_seed"), held.alias("draw"))
+    places = _picks(sums, n).select(*keys, F.col("at").cast(kinds["total"]), "pick", "cell_seed", F.lit(None).cast(rows.schema["draw"].dataType).alias("draw"))
+    merged = Window.partitionBy(*keys).orderBy("at", F.col("pick").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.unionByName(places).withColumn("draw", F.last("draw", ignorenulls=True).over(merged)).where(F.col("pick").isNotNull())
+    numbered = with_numbers(found.select(*keys, "pick", "cell_seed", "draw.*"), _first=("cell_seed", "pick", 2), _second=("cell_seed", "pick", 3))
     sampled = numbered.withColumn("pred", F.col("mu") + F.col("sigma") * normal("_first", "_second"))
-    return sampled.join(cells.select("cell", *MODEL_CELL), "cell").select(*MODEL_CELL, "draw_id", "offer", "hu", "mu", "pick", "pred")
+    named = lookup_join(sampled, cells, ["cell"], "inner", stored=True)
+    return named.select(*MODEL_CELL, "draw_id", "hu", "mu", "pick", "pred")
 
 
 def checked_size(counted: DataFrame, n, name="n") -> DataFrame:

@@ -45,23 +45,25 @@ def merge_cells(a: DataFrame, b: DataFrame, keys) -> DataFrame:
     return null_safe_join(a, b, keys, "full")
 
 
-def salted_join(many: DataFrame, few: DataFrame, on, spread, heavy_rows=HEAVY_ROWS, sizes_of=None) -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, on, spread, heavy_rows=HEAVY_ROWS, sizes_of=None, salt=None) -> DataFrame:
     """Inner equi-join of a large table with a small-per-key one, safe when one key holds most rows of `many`.
 
     The rows of each key of `many` are counted. A key with more than `heavy_rows` is spread over as many sub-keys as it
     needs, by the columns in `spread`, and its rows of `few` are repeated per sub-key; other keys are left alone. `sizes_of`:
-    a simpler table with the same rows per key.
+    a simpler table with the same rows per key. `salt`: a name under which the sub-key is kept; the rows of a key and sub-key are
+    in one task.
     """
     sizes = (many if sizes_of is None else sizes_of).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > heavy_rows)
     salts = materialize(sizes.select(*on, F.ceil(F.col("_rows") / heavy_rows).cast("int").alias("_salts")))
     # A fixed number of partitions: adaptive execution would merge the small inputs of this join, whose output is large.
     parts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if salts.isEmpty():
-        return many.repartition(parts, *on).join(few, on)
+        joined = many.repartition(parts, *on).join(few, on)
+        return joined.withColumn(salt, F.lit(0)) if salt else joined
     n = F.coalesce(F.col("_salts"), F.lit(1))
     left = lookup_join(many, salts, on, stored=True).withColumn("_salt", F.pmod(F.xxhash64(*spread), n).cast("int"))
     right = lookup_join(few, salts, on, stored=True).withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
-    return left.drop("_salts").repartition(parts, *on, "_salt").join(right.drop("_salts"), [*on, "_salt"]).drop("_salt")
+    return left.drop("_salts").repartition(parts, *on, "_salt").join(right.drop("_salts"), [*on, "_salt"]).withColumnRenamed("_salt", salt or "_salt").drop("_salt")
 
 
 def key_grid(df: DataFrame, **levels) -> DataFrame:

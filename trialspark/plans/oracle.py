@@ -173,14 +173,16 @@ PARTS = {
         avg((1 - hu) * mu) AS response_pred, avg(hu + (1 - hu) * (1 - above)) AS hurdle_prob,
         sum((1 - hu) * (mu * above + sigma * exp(-z * z / 2 - {LOG_2PI / 2}::DOUBLE))) / sum((1 - hu) * above) AS response_pred_non_zero,
         sum((1 - hu) * mu) / sum(1 - hu) AS response_pred_gaussian FROM zscored GROUP BY ALL""",
-    # A Bernoulli pass of every offer, then 100 of those that passed; somewhat more expected than needed.
-    "chances": f"""SELECT *, {_seed('conditional', 5, *CELL_KEY)} AS cell_seed FROM (
-        SELECT {', '.join(CELL_KEY)}, CAST(ceil(188e0 / sum(1 - hu)) AS BIGINT) AS offers FROM scored GROUP BY ALL)""",
-    "offered": f"""SELECT s.*, cell_seed, unnest(range(1, offers + 1)) AS offer FROM scored s JOIN chances USING ({', '.join(CELL_KEY)})""",
-    "passing": f"""SELECT * FROM {_scrambled('offered', {n: ('draw_id', f'offer * 8 + {k}') for k, n in enumerate(('u', 'o', 'n1', 'n2'))})}
-        WHERE {_uniform('u')} >= hu""",
-    "conditional": f"""SELECT *, mu + sigma * {_normal('n1', 'n2')} AS pred FROM passing
-        QUALIFY row_number() OVER (PARTITION BY {', '.join(CELL_KEY)} ORDER BY o, draw_id, offer) <= 100""",
+    # The draws of a cell end to end in a sum of whole-number weights, and 100 random places in it.
+    "weighed": f"""SELECT *, sum(w) OVER (PARTITION BY {', '.join(CELL_KEY)} ORDER BY draw_id) - w AS at,
+        sum(w) OVER (PARTITION BY {', '.join(CELL_KEY)}) AS whole
+        FROM (SELECT *, CAST(floor((1 - hu) * 1099511627776e0) AS BIGINT) AS w FROM scored) WHERE w > 0""",
+    "places": f"""SELECT *, {_seed('conditional', 5, *CELL_KEY)} AS cell_seed, unnest(range(1, 101)) AS pick
+        FROM (SELECT DISTINCT {', '.join(CELL_KEY)}, CAST(whole AS BIGINT) AS whole FROM weighed)""",
+    "placed": f"""SELECT * EXCLUDE (whole), CAST(least(floor(((u1 + {_uniform('u2')}) / {P31}::DOUBLE) * whole), whole - 1) AS HUGEINT) AS at
+        FROM {_scrambled('places', {n: ('pick', str(k)) for k, n in enumerate(('u1', 'u2', 'n1', 'n2'))})}""",
+    "conditional": f"""SELECT p.*, draw_id, hu, mu, mu + sigma * {_normal('n1', 'n2')} AS pred FROM placed p ASOF JOIN weighed w
+        ON {' AND '.join(f'p.{k} = w.{k}' for k in CELL_KEY)} AND p.at >= w.at""",
     # diagnostics
     # Each chain in the order of its iterations: the first and the last half, without the middle draw of an odd length.
     "halves": """SELECT * FROM (SELECT *, concat(chain, CASE WHEN row_number() OVER c <= count(*) OVER d // 2 THEN ' early'
