@@ -1,6 +1,9 @@
 """Readers and writers on small files."""
 
+import gzip
+
 import pytest
+from pyspark.sql import functions as F
 
 from trialspark.operators import exclude
 from trialspark.operators.joins import literal_grid, missing_keys
@@ -44,6 +47,40 @@ def test_columns_are_matched_by_name(spark, tmp_path):
         exclude.start_balance(trials.read_trials(spark, {"exp1": path})).collect()
 
 
+def test_files_of_a_folder_may_have_different_headers(spark, tmp_path):
+    names = HEADER.strip().split(",")
+    rows = [dict(zip(names, f"{p},cue,control,low,detection,{k},0.05,present".split(","), strict=True)) for k, p in enumerate(("001", "002", "003"))]
+    folder = tmp_path / "raw"
+    (folder / "_temporary").mkdir(parents=True)
+    (folder / "_temporary" / "x.csv").write_text("nothing\n1\n")
+    (folder / "empty.csv").write_text("")
+    (folder / "a.csv").write_text(HEADER + ",".join(rows[0].values()) + "\n")
+    turned = names[::-1] + ["rt, ms"]
+    (folder / "b.csv").write_text(",".join([*turned[:-1], '"rt, ms"']) + "\r\n" + ",".join([*[rows[1][c] for c in turned[:-1]], "512"]) + "\r\n")
+    with gzip.open(folder / "c.csv.gz", "wt") as out:
+        out.write(",".join(turned[:-1]) + "\n" + ",".join(rows[2][c] for c in turned[:-1]) + "\n")
+    for path in (str(folder), str(folder / "*.csv*")):
+        df = trials.read_trials(spark, {"exp1": path})
+        got = df.orderBy("participant").collect()
+        assert [{c: str(r[c]) for c in names} for r in got] == rows and [r["rt, ms"] for r in got] == [None, "512", None]
+    (folder / "d.csv").write_text("participant,answer\n009,present\n")
+    with pytest.raises(ValueError, match="d.csv lacks the columns bias_direction, bias_source"):
+        trials.read_trials(spark, {"exp1": str(folder)})
+    with pytest.raises(FileNotFoundError):
+        trials.read_trials(spark, {"exp1": str(tmp_path / "none")})
+
+
+def test_filtered_folders_with_different_headers(spark, raw, tmp_path):
+    df = trials.read_trials(spark, raw)
+    path = str(tmp_path / "filtered")
+    trials.write_by_experiment(df.where("experiment = 'exp1'"), path, "csv")
+    other = df.where("experiment = 'exp3'").select(*df.columns[::-1]).withColumn("rt", F.lit("7"))
+    other.drop("experiment").write.options(**trials.CSV).csv(path + "/experiment=exp3")
+    back = trials.read_filtered(spark, path, fmt="csv")
+    assert sorted(map(str, back.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    assert {r["experiment"]: r["rt"] for r in back.collect()} == {"exp1": None, "exp3": "7"}
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_filtered_trials_by_experiment(spark, raw, tmp_path, fmt):
     df = trials.read_trials(spark, raw)

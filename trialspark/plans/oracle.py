@@ -466,6 +466,7 @@ def _build():
     o["missing_keys"] = statement(f"{grid} EXCEPT SELECT experiment, condition, model_name FROM draws_long")
     timed = f"SELECT {TRIAL_OUT}, concat(CAST(trial_index % 977 AS VARCHAR), ' ms') AS rt FROM trials"
     o["write_read_filtered"] = o["read_raw_trials"] = statement(timed)
+    o["read_mixed_headers"] = statement(timed.replace("concat(", "CASE WHEN experiment = 'exp2' THEN concat(").replace("AS rt", "END AS rt"))
     o["read_filtered_one"] = statement(f"SELECT {TRIAL_OUT} FROM trials WHERE experiment = 'exp2'")
     o["keyed_round_trip"] = statement("SELECT experiment, condition, model, denominator, round(bf_log, 3) AS bf_log FROM bf")
     o["hurdle_loglik"] = statement(

@@ -316,6 +316,17 @@ def read_raw_trials(spark, sf):
     return _answers(read_trials(spark, {e: f"{path}/experiment={e}" for e in EXPERIMENTS}, index="nr").drop("nr"))
 
 
+@query
+def read_mixed_headers(spark, sf):
+    """Stored CSV folders of three experiments with columns in three orders, one of them with a column of its own."""
+    path, trials = scratch_path(spark, "mixed"), _with_response_time(spark, sf)
+    for k, name in enumerate(EXPERIMENTS):
+        own = trials.where(F.col("experiment") == name).drop("experiment")
+        order = own.columns[k:] + own.columns[:k]
+        own.select(*[c for c in order if c != "rt" or k == 1]).write.options(**CSV).csv(f"{path}/experiment={name}")
+    return _answers(read_filtered(spark, path, fmt="csv"))
+
+
 @query
 def read_filtered_one(spark, sf):
     """One experiment of the stored trials; only its folder is read."""

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from ..operators.frame import stack
 from ..schema import TRIALS
-
+from .headers import read_by_header
 
 CSV = {"header": True, "nullValue": "NA", "quote": '"', "escape": '"'}
 
@@ -20,12 +20,10 @@ def without(schema: T.StructType, *names) -> T.StructType:
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType, required=()) -> DataFrame:
-    """Columns are matched to the schema by the names in the header, in any order. Columns that the schema does not name are
-    carried along as text; a value that does not fit its type is NULL. An error names `required` columns that are absent."""
-    raw = spark.read.options(**CSV).csv(path)
-    absent = sorted(set(required) - set(raw.columns))
-    if absent:
-        raise ValueError(f"{path} lacks the columns {', '.join(absent)}")
+    """Columns are matched to the schema by the names in each file's header, in any order; the headers of the files of a folder
+    may differ. Columns that the schema does not name are carried along as text; a value that does not fit its type is
+    NULL. An error names `required` columns that a file lacks."""
+    raw = read_by_header(spark, path, CSV, required)
     kinds = {f.name: f.dataType for f in schema.fields}
     return raw.select(*[F.col(f"`{c}`").try_cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in raw.columns])
 
