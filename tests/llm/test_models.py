@@ -105,8 +105,8 @@ def test_restored_stretches():
         data, offsets = buffer(pa.array([said]))
         if said != meant:
             assert toxicity.suspicious(data, offsets)[0]
-    long = "1a" * 5000
-    assert channel.restore(long) == long
+    long = "1a" * 5000  # a stretch of any length is decoded: 1 stands for l
+    assert channel.restore(long) == "la" * 5000
 
 
 def test_long_stretches_are_restored_too(spark, documents):
@@ -124,6 +124,13 @@ def test_long_stretches_are_restored_too(spark, documents):
     assert [r["predicted"] for r in toxicity.score(checks, model).orderBy("doc_id").collect()] == [1, 1, 0]
 
 
+def test_folds_of_a_missing_id(spark):
+    from trialspark.llm.queries import fold
+
+    rows = spark.createDataFrame([(None,), (7,), (12,)], "doc_id long").select("doc_id", fold(5).alias("five"), fold(7).alias("seven")).collect()
+    assert [(r["five"], r["seven"]) for r in rows] == [(0, 0), (folded(7, 5), folded(7, 7)), (folded(12, 5), folded(12, 7))]
+
+
 def test_op8_separates_the_labelled_texts(spark):
     import pyarrow.parquet as pq
 
@@ -150,9 +157,7 @@ def test_toxicity_of_awkward_rows(spark, documents, awkward):
 
 
 def tokenizer():
-    out = Tokenizer.from_file(packing.TOKENIZER)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(packing.TOKENIZER)
 
 
 def check_pieces(rows, ids_of, size=1024):
@@ -198,5 +203,6 @@ def test_packing_of_awkward_rows(spark, awkward, tmp_path):
 
 def test_encoder_equals_the_tokenizer():
     encoder, slow = packing.Encoder(packing.RANKS, packing.TOKENIZER), tokenizer()
-    for text in ["a\x1cb", "  \n\n x", "it's I'll''d", "²³ 4½ µm", "é\x85  z", "日本 x", "\x00", "<|endoftext|> hi", "ab" * 50_000, " " * 1_000_000 + "x", "👩‍👩‍👧 ١٢٣"]:
+    for text in ["a\x1cb", "  \n\n x", "it's I'll''d", "²³ 4½ µm", "é\x85  z", "日本 x", "\x00", "<|endoftext|> hi", "hello <|endoftext|> world", "<|endoftext |>", "ab" * 50_000, " " * 1_000_000 + "x", "👩‍👩‍👧 ١٢٣"]:
         assert encoder.encode(text).tolist() == slow.encode(text, add_special_tokens=False).ids
+    assert 50256 in encoder.encode("hello <|endoftext|> world")

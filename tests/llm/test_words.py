@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from trialspark.llm import licenses, mixing, scoring, simhash, substrings
 from trialspark.llm.queries import QUERIES
@@ -75,6 +76,16 @@ def test_repeats_on_awkward_rows(spark, awkward):
     assert substrings.remove_repeats(awkward.where("doc_id < 0")).collect() == []
 
 
+def test_repeated_rows_ask_for_their_places_once(documents):
+    """Rows alike in doc_id and text: as many places of their windows, but one list of ranges."""
+    ws = [f"w{i}" for i in range(60)]
+    df = documents([(1, " ".join(ws))] * 300 + [(None, " ".join(ws))] * 300 + [(2, " ".join([*ws[10:], "end"]))])
+    spans = substrings.repeated_spans(df.select("doc_id", "text")).select("doc_id", F.size("removed").alias("n")).distinct().collect()
+    assert len(spans) == 3 and all(0 < r["n"] <= 2 * 60 for r in spans)
+    got = {str(r["doc_id"]): (r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(df).collect()}
+    assert got == {"1": (60, 60), "None": (60, 60), "2": (51, 50)}
+
+
 def test_suffix_automaton_counts():
     texts = [(list("abcabcab"), 1), (list("bcab"), 3), (list("zz"), 1)]
     automaton = substrings.SuffixAutomaton()

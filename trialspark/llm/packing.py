@@ -23,26 +23,27 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 class Encoder:
-    """Token ids of whole texts; strings of special tokens in a text are ordinary text.
+    """Token ids of whole texts, those of the tokenizer as its file describes it.
 
     The rank file holds the vocabulary of the tokenizer file, and the ids are the same (the tests compare them); ranks take
-    a third of the time. A text on which the splitting rule gives up (very long blanks) goes to the tokenizer itself.
+    a third of the time. A text that holds the string of one of the tokenizer's added tokens, which the ranks lack, goes to
+    the tokenizer itself, and so does one on which the splitting rule gives up (very long blanks).
     """
 
     def __init__(self, ranks: str, tokenizer: str):
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.path, self.tokenizer = tokenizer, None
+        self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> np.ndarray:
-        try:
-            return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
-        except ValueError:
-            if self.tokenizer is None:
-                self.tokenizer = Tokenizer.from_file(self.path)
-                self.tokenizer.encode_special_tokens = True
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if not any(token in text for token in self.added):
+            try:
+                return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+            except ValueError:
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def cuts(n: int, size: int) -> list[int]:

@@ -321,7 +321,8 @@ def repeated_spans(docs: DataFrame, window=35, gram=12, filter_bits=FILTER_BITS,
     table = _filter(repeated_keys(docs, window, gram), filter_bits)
     found = store(reference_texts(keyed, table, window, gram), "segments")
     texts = found.where(F.col("key").isNotNull()).select("key", "h1", "h2", "n", "text")
-    places = found.where(F.col("key").isNull()).select("k1", "k2", "h1", "h2", "start")
+    # Rows that are repeated share a key and have equal places; each is wanted once.
+    places = found.where(F.col("key").isNull()).select("k1", "k2", "h1", "h2", "start").distinct()
     ranges = repeated_ranges(texts, window, shard_texts)
     spans = (
         places.join(ranges, ["h1", "h2"])
