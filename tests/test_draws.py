@@ -7,7 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql
 from trialspark.operators import draws, fitting
+from trialspark.plans.oracle import statement
+
+from .compare import connect
 
 
 @pytest.fixture(scope="module")
@@ -123,3 +127,18 @@ def test_fit_equals_dense_fit(spark):
         f = fits.loc[source]
         assert f.loc["full", "logml"] - f.loc["simple", "logml"] == pytest.approx(
             f.loc["contrast", "logml"] + f.loc["hurdle", "logml"] - 2 * f.loc["simple", "logml"], abs=1e-6)
+
+
+def test_fit_in_sql_equals_dense_fit():
+    db = connect("/root/testdata/sf0.01")  # the smallest tables have outcomes that can be told apart without error
+    table = db.execute(statement("SELECT experiment, participant, bias_source, cond, stim, response FROM mframe WHERE response IS NOT NULL")).df()
+    fits = db.execute(oracle_sql()["hurdle_fit"]).df().set_index(["experiment", "bias_source", "model_name"])
+    groups = list(table.groupby(["experiment", "bias_source"]))
+    assert len(fits) == 4 * len(groups) and fits.converged.all()
+    for key, rows in groups:
+        for model, with_cond in (("simple", False), ("full", True)):
+            beta, gamma, loglik, sigma = dense_fit(rows, with_cond, 1.0)
+            got = fits.loc[(*key, model)]
+            assert got[["hu_intercept", "hu_stim", "hu_cond", "hu_stim_cond"]].to_numpy(float)[: len(beta)] == pytest.approx(beta, abs=2e-3)
+            assert got[["b_intercept", "b_stim", "b_cond", "b_stim_cond"]].to_numpy(float)[: len(beta)] == pytest.approx(gamma, abs=1e-4)
+            assert (got["loglik"], got["sigma"]) == (pytest.approx(loglik, abs=1e-3), pytest.approx(sigma, abs=1e-4))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import inv_logit
 from ..schema import PARTICIPANT
 from ..session import materialize
-from .joins import lookup_join, null_safe_join
+from .joins import null_safe_join
 
 GROUP = ["experiment", "bias_source"]
 PART = [*GROUP, "with_cond"]
@@ -104,7 +104,7 @@ def _solve(blocks: DataFrame) -> DataFrame:
 
 def _effects(blocks: DataFrame, beta: DataFrame, ridge: float) -> DataFrame:
     """Participant effects given the common coefficients, and the parameters they effectively use."""
-    joined = lookup_join(blocks, beta, PART, "inner", stored=True)
+    joined = null_safe_join(blocks, beta, PART)
     rest = [
         F.col(z) - sum((F.col(x) * F.col(b) for x, b in zip(row, BETA)), F.lit(0.0)) for z, row in zip(_WZ, _WX)
     ]
@@ -112,6 +112,7 @@ def _effects(blocks: DataFrame, beta: DataFrame, ridge: float) -> DataFrame:
     return joined.select(
         *PERSON,
         *BETA,
+        *[c for c in ("total", "change") if c in beta.columns],
         (F.col("v11") * F.col("_r0") + F.col("v12") * F.col("_r1")).alias("u_intercept"),
         (F.col("v12") * F.col("_r0") + F.col("v22") * F.col("_r1")).alias("u_cond"),
         (2 - ridge * (F.col("v11") + F.col("v22"))).alias("u_df"),
@@ -130,37 +131,39 @@ def _zero_loglik(eta):
     return F.col("zeros") * (chance + F.least(eta, F.lit(0.0))) + passed * (chance - F.greatest(eta, F.lit(0.0)))
 
 
-def _gains(beta: DataFrame, before: DataFrame) -> DataFrame:
-    """Relative change of each fit's deviance; unlike a coefficient, it settles when an outcome is separable. A change that
-    cannot be told counts as infinite."""
-    old = before.select(*PART, F.col("loglik").alias("_old"))
-    change = 2 * F.abs(F.col("loglik") - F.col("_old")) / (2 * F.abs("loglik") + 0.1)
-    return null_safe_join(beta, old, PART).select(*PART, F.coalesce(change, F.lit(float("inf"))).alias("change"))
+def _with_change(beta: DataFrame, before: DataFrame | None) -> DataFrame:
+    """The fit's log likelihood as `total` and the relative change of its deviance; unlike a coefficient, that settles when an
+    outcome is separable. A change that cannot be told counts as infinite."""
+    beta = beta.withColumnRenamed("loglik", "total")
+    if before is None:
+        return beta.withColumn("change", F.lit(float("inf")))
+    old = before.groupBy(*PART).agg(F.max("total").alias("_old"))
+    change = 2 * F.abs(F.col("total") - F.col("_old")) / (2 * F.abs("total") + 0.1)
+    return null_safe_join(beta, old, PART, "left").withColumn("change", F.coalesce(change, F.lit(float("inf")))).drop("_old")
 
 
 def fit_logistic(cells: DataFrame, ridge=1.0, max_iter=30, tol=1e-9) -> tuple[DataFrame, DataFrame]:
     """Coefficients and participant effects of the zero part, by iteratively reweighted least squares; and per fit whether
     it has `converged` and after how many `iterations` the loop ended.
 
-    An iteration is one pass over the cells; its sums are stored, so the lineage does not grow with the iterations.
+    An iteration is one stored table, the effects of the participants with the state of their fit, so that the lineage does
+    not grow with the iterations.
     """
-    effects, before, settled = None, None, None
-    for done in range(1, max_iter + 1):
+    effects, done = None, 0
+    while done < max_iter:
         rows = cells.withColumn("eta", F.lit(0.0)) if effects is None else null_safe_join(
-            cells, effects, PERSON
+            cells, effects.drop("total", "change"), PERSON
         ).withColumn("eta", _predictor())
         rows = rows.withColumns({"p": inv_logit("eta"), "loglik": _zero_loglik(F.col("eta"))})
         rows = rows.withColumn("weight", F.col("n") * F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-10)))
         rows = rows.withColumn("target", F.col("eta") + (F.col("zeros") - F.col("n") * F.col("p")) / F.col("weight"))
-        blocks = materialize(_blocks(_moments(rows), ridge))
-        beta = materialize(_solve(blocks))
-        effects = _effects(blocks, beta, ridge)
-        gains = beta.select(*PART, F.lit(float("inf")).alias("change")) if before is None else _gains(beta, before)
-        settled = gains.select(*PART, (F.col("change") < tol).alias("converged"), F.lit(done).alias("iterations"))
-        if settled.where(~F.col("converged")).isEmpty():
+        blocks = _blocks(_moments(rows), ridge)
+        effects = materialize(_effects(blocks, _with_change(_solve(blocks), effects), ridge))
+        done += 1
+        if effects.where(F.col("change") >= tol).isEmpty():
             break
-        before = beta
-    return effects, settled
+    settled = effects.groupBy(*PART).agg((F.max("change") < tol).alias("converged")).withColumn("iterations", F.lit(done))
+    return effects.drop("total", "change"), settled
 
 
 def fit_normal(cells: DataFrame, ridge=1.0) -> DataFrame:
@@ -168,7 +171,7 @@ def fit_normal(cells: DataFrame, ridge=1.0) -> DataFrame:
     shown = cells.where(F.col("passed") > 0)
     rows = shown.withColumns({"weight": F.col("passed"), "target": F.col("sy") / F.col("passed"), "loglik": F.lit(0.0)})
     blocks = materialize(_blocks(_moments(rows), ridge))
-    return _effects(blocks, materialize(_solve(blocks)), ridge)
+    return _effects(blocks, _solve(blocks), ridge)
 
 
 def _parameters(effects: DataFrame, fixed=0) -> DataFrame:
