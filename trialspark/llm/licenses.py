@@ -244,7 +244,12 @@ def scan(docs: DataFrame, keep=("doc_id",), base=BASE, rules=None) -> DataFrame:
     searched. A null text is an empty one: no words, null first_word and last_word, no labels, score 0.
     """
     rules = signature_rules() if rules is None else rules
-    table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(gate_mark(word)).alias("word"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern")) for label, priority, word, pattern in rules])
+    # One entry per keyword, so that a text is searched once for each, whatever the number of its rules.
+    by_word = {}
+    for label, priority, word, pattern in rules:
+        rule = F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern"))
+        by_word.setdefault(gate_mark(word), []).append(rule)
+    table = F.array(*[F.struct(F.lit(word).alias("word"), F.array(*own).alias("rules")) for word, own in by_word.items()])
     words = docs.select(*keep, normal(F.col("text")).alias("_text"))
     gate = _any_word(F.col("_text"), [r[2] for r in rules] + [phrase.split()[-1] for phrase, _ in base])
     words = words.withColumn("n_words", F.when(F.col("_text") == "  ", 0).otherwise(_spaces(F.col("_text")) - 1).cast("long"))
@@ -257,7 +262,8 @@ def scan(docs: DataFrame, keep=("doc_id",), base=BASE, rules=None) -> DataFrame:
         before, after = ((_spaces(F.substring_index("_wide", " " + phrase.replace(" ", "  ") + " ", side)) - 1) / 2 for side in (1, -1))
         words = words.withColumn(f"_first{k}", F.when(F.col(f"_n{k}") > 0, before.cast("long")))
         words = words.withColumn(f"_last{k}", F.when(F.col(f"_n{k}") > 0, F.col("n_words") - after.cast("long") - len(phrase.split())))
-    hits = F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("_text"), r["word"])), lambda r: _rule_hits(F.col("_text"), r)))
+    tried = F.flatten(F.transform(F.filter(table, lambda w: F.contains(F.col("_text"), w["word"])), lambda w: w["rules"]))
+    hits = F.flatten(F.transform(tried, lambda r: _rule_hits(F.col("_text"), r)))
     none = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
     words = words.withColumn("_hits", F.when(F.length("_text") > 2, hits).otherwise(none))
     words = words.withColumn("detections", F.when(F.size("_hits") > 0, _kept(F.col("_hits"))).otherwise(none))
