@@ -2,7 +2,8 @@
 
 A text is its words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, joined by single spaces, and an end. The tree predicts its
 bytes: a context is kept where the text after it diverges enough from what the shorter context predicts, each
-distribution is smoothed with the shorter context's, and each byte is scored by the longest kept context.
+distribution is smoothed with the shorter context's, and each byte is scored by the longest kept context. The tree is a
+table that grows with the corpus (`suffix_tree.py`); texts are read once per shard of it.
 """
 
 from dataclasses import dataclass
@@ -13,20 +14,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .context_tree import MASK, Alphabet, Automaton, Model, by_depth, frequent_contexts, grams, prior_blend, stream
+from .context_tree import stream
 from .storage import columns, store
+from .suffix_tree import DEPTH, build, runs, shard, shard_count
 from .text import LOWER, KeyCounter, Words, batches, buffer, canonical, slices
 
-WORD, GRAM = 0, 1
+WORD, RUN = 0, 1
 END_WORD = 0  # the key of a text's end among the word keys
 
 
 @dataclass
 class SuffixModel:
     """A fitted model. `words` (key, n) holds every training word; `common` those seen in at least one of `common_words`
-    tokens, which bounds their number by `common_words`."""
+    tokens, which bounds their number by `common_words`. `tree` and `symbols` are those of `suffix_tree.build`."""
 
-    automaton: Automaton
+    tree: DataFrame
+    symbols: int
+    depth: int
     words: DataFrame
     common: tuple[np.ndarray, np.ndarray]
     least_common: int
@@ -48,16 +52,16 @@ def count_corpus(texts: DataFrame, depth: int) -> DataFrame:
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def task(parts):
-        words_seen, grams_seen, ends_seen = KeyCounter(), KeyCounter(), 0
+        words_seen, runs_seen, ends_seen = KeyCounter(), KeyCounter(), 0
         for part in parts:
             data, offsets = buffer(part.column("text"))
             for i, j in slices(offsets):
                 words, text, at = _normal(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 words_seen.add(words.hashes())
                 ends_seen += j - i
-                grams_seen.add(grams(stream(text, at)[0], depth))
+                runs_seen.add(runs(stream(text, at)[0], depth))
         yield from batches(schema, [np.array([WORD]), np.array([END_WORD]), np.array([ends_seen])] if ends_seen else [np.zeros(0, np.int64)] * 3)
-        for kind, counter in ((WORD, words_seen), (GRAM, grams_seen)):
+        for kind, counter in ((WORD, words_seen), (RUN, runs_seen)):
             keys, counts = counter.result()
             yield from batches(schema, [np.full(len(keys), kind), keys.view(np.int64), counts])
 
@@ -65,12 +69,12 @@ def count_corpus(texts: DataFrame, depth: int) -> DataFrame:
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def fit(texts: DataFrame, depth=5, least_share=3e-6, min_gain=16.0, prior=16.0, common_words=500_000) -> SuffixModel:
+def fit(texts: DataFrame, depth=DEPTH, least=24, min_gain=16.0, prior=16.0, common_words=500_000) -> SuffixModel:
     """Fit on every row of `texts` (column text; null is empty).
 
-    A context is a candidate if at least `least_share` of all bytes follow it, so there are at most 1 / least_share
-    candidates of each length, whatever the corpus; it is kept if its text is `min_gain` nats more likely than under the
-    shorter context. `prior`: weight of the shorter context in the smoothing.
+    A context of up to `depth` bytes is a candidate if it was seen `least` times, however large the corpus, so the tree
+    grows with it; it is kept if its text is `min_gain` nats more likely than under the shorter context. `prior`: weight of
+    the shorter context in the smoothing.
     """
     counted = store(count_corpus(texts, depth), "corpus-counts")
     words = counted.where(F.col("kind") == WORD).select("key", "n")
@@ -81,15 +85,44 @@ def fit(texts: DataFrame, depth=5, least_share=3e-6, min_gain=16.0, prior=16.0,
     order = np.argsort(common["key"].view(np.uint64), kind="stable")
     common = common["key"][order], common["n"][order]
 
-    runs = counted.where(F.col("kind") == GRAM)
-    symbols = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(2, int(np.ceil(symbols * least_share)))
-    counts = by_depth(frequent_contexts(runs, depth, least), depth)
-    totals = np.zeros(MASK + 1)
-    np.add.at(totals, *counts[0])
-    alphabet = Alphabet(totals, least)
-    automaton = Automaton([Model(counts, alphabet, prior_blend(prior), least, min_gain)], alphabet)
-    return SuffixModel(automaton, words, common, least_common, tokens, kinds, ends)
+    tree, symbols = build(counted.where(F.col("kind") == RUN).select("key", "n"), depth, least, min_gain, prior)
+    return SuffixModel(tree, symbols, depth, words, common, least_common, tokens, kinds, ends)
+
+
+def _text_bytes(column):
+    """(bytes, offsets) of an Arrow binary array."""
+    large = pa.types.is_large_binary(column.type)
+    return buffer(column.view(pa.large_string() if large else pa.string()))
+
+
+def _add_scores(rows: DataFrame, model: SuffixModel) -> DataFrame:
+    """Column `score` in place of `_canonical`: log10 probability of these bytes and the end.
+
+    One pass per shard of the tree. Each adds the symbols whose contexts are in its shard; between passes the rows are
+    stored, so that a task never holds more than one shard.
+    """
+    shards = shard_count(model.tree)
+    rows = rows.withColumn("score", F.lit(0.0))
+    for number in range(shards):
+        shared = rows.sparkSession.sparkContext.broadcast(shard(model.tree, model.depth, model.symbols, number, shards))
+        out = [f for f in rows.schema if number < shards - 1 or f.name != "_canonical"]
+
+        def task(parts, shared=shared, names=[f.name for f in out]):
+            here = shared.value
+            for part in parts:
+                data, offsets = _text_bytes(part.column("_canonical"))
+                total = np.zeros(part.num_rows)
+                for i, j in slices(offsets):
+                    symbols, ends = stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    total[i:j] = np.add.reduceat(here.score(symbols), np.r_[0, ends[:-1] + 1])
+                total += part.column("score").to_numpy()
+                part = part.set_column(part.schema.get_field_index("score"), "score", pa.array(total))
+                yield part.select(names)
+
+        rows = rows.mapInArrow(task, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out))
+        if number < shards - 1:
+            rows = store(rows, "scored-part")
+    return rows
 
 
 def score(docs: DataFrame, model: SuffixModel, keep=("doc_id",)) -> DataFrame:
@@ -99,13 +132,13 @@ def score(docs: DataFrame, model: SuffixModel, keep=("doc_id",)) -> DataFrame:
     text has one token, its end. Repeated rows are scored alike, each on its own.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.automaton, model.common, model.ends))
+    shared = spark.sparkContext.broadcast((model.common, model.ends))
     kept = docs.select(*keep).schema
     names = [f"_{k}" for k in range(len(kept))]
-    spec = ", ".join([*[f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept, strict=True)], "row long, word long, n_tokens long, n_known long, base double, score double"])
+    spec = ", ".join([*[f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept, strict=True)], "row long, word long, n_tokens long, n_known long, base double, _canonical binary"])
 
     def task(parts):
-        automaton, (keys, counts), ends = shared.value
+        (keys, counts), ends = shared.value
         keys = keys.view(np.uint64)
         gain = np.log10(counts + 1.0)
         row = TaskContext.get().partitionId() << 40
@@ -122,13 +155,13 @@ def score(docs: DataFrame, model: SuffixModel, keep=("doc_id",)) -> DataFrame:
                     known, base = known + 1, base + np.log10(ends + 1.0)
                 rows = row + np.arange(j - i)
                 out = [part.column(n).slice(i, j - i) for n in names]
-                out += [pa.array(rows), pa.nulls(j - i, pa.int64()), pa.array(np.diff(words.first) + 1), pa.array(known), pa.array(base), pa.array(automaton.score(text, at)[:, 0])]
-                yield pa.RecordBatch.from_arrays(out, names=[*names, "row", "word", "n_tokens", "n_known", "base", "score"])
+                out += [pa.array(rows), pa.nulls(j - i, pa.int64()), pa.array(np.diff(words.first) + 1), pa.array(known), pa.array(base), pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(text)])]
+                yield pa.RecordBatch.from_arrays(out, names=[*names, "row", "word", "n_tokens", "n_known", "base", "_canonical"])
                 rare = hashes[~found].view(np.int64)
                 if len(rare):
                     out = [pa.nulls(len(rare), part.column(n).type) for n in names]
-                    out += [pa.array(rows[owners[~found]]), pa.array(rare), *[pa.nulls(len(rare), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]]
-                    yield pa.RecordBatch.from_arrays(out, names=[*names, "row", "word", "n_tokens", "n_known", "base", "score"])
+                    out += [pa.array(rows[owners[~found]]), pa.array(rare), *[pa.nulls(len(rare), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.binary())]]
+                    yield pa.RecordBatch.from_arrays(out, names=[*names, "row", "word", "n_tokens", "n_known", "base", "_canonical"])
                 row += j - i
 
     source = docs.select(*[F.col(f.name).alias(n) for f, n in zip(kept, names, strict=True)], F.col("text").alias("_text"))
@@ -143,7 +176,7 @@ def score(docs: DataFrame, model: SuffixModel, keep=("doc_id",)) -> DataFrame:
     unit = F.lit(float(np.log10(model.tokens + model.kinds + 1)))
     more = F.coalesce(F.col("more"), F.lit(0.0))
     return (
-        scored.where(F.col("word").isNull())
+        _add_scores(scored.where(F.col("word").isNull()).drop("word"), model)
         .join(rare, "row", "left")
         .select(
             *[F.col(n).alias(f.name) for f, n in zip(kept, names, strict=True)],
