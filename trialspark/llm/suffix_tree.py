@@ -6,11 +6,13 @@ table in order. A text starts after END and ends with it; before an END there is
 """
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .context_tree import BITS, END
 from .storage import columns, store
+from .text import batches, count_keys
 
 DEPTH = 6  # with the symbol itself 63 bits
 ESCAPE = (1 << BITS) - 1  # stands for every symbol that never followed the context
@@ -33,6 +35,40 @@ def runs(symbols, depth):
     return keys
 
 
+def candidates(counted: DataFrame, depth: int, least: int) -> DataFrame:
+    """(d, context, symbol, n, total) of the contexts seen at least `least` times, and of the empty one.
+
+    One shuffle brings together the runs whose contexts end in the same ROUTE symbols; a task then adds up its runs level
+    by level. Shorter contexts meet in several tasks, as sums.
+    """
+    short = min(ROUTE, depth)
+    names = ["d", "context", "symbol", "n", "total"]
+    schema = pa.schema([(c, pa.int32() if c == "d" else pa.int64()) for c in names])
+
+    def task(parts):
+        got = [(p.column("key").to_numpy(), p.column("n").to_numpy()) for p in parts]
+        if not got:
+            return
+        run, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        for d in range(depth, -1, -1):
+            if d < depth:
+                run = run >> (2 * BITS) << BITS | run & ((1 << BITS) - 1)
+            run, n = count_keys(run, n)
+            context = run >> BITS
+            first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(run) else np.zeros(0, np.int64)
+            total = np.repeat(np.add.reduceat(n, first), np.diff(np.r_[first, len(run)])) if len(run) else n
+            keep = total >= (least if d >= short else 0)
+            yield from batches(schema, [np.full(keep.sum(), d), context[keep], run[keep] & ((1 << BITS) - 1), n[keep], total[keep]])
+
+    dealt = counted.repartition(F.shiftright("key", BITS * (depth - short + 1)))
+    seen = store(dealt.mapInArrow(task, "d int, context long, symbol long, n long, total long"), "tree-candidates")
+    low = seen.where(F.col("d") < short).groupBy("d", "context", "symbol").agg(F.sum("n").alias("n"))
+    low = low.withColumn("total", F.sum("n").over(Window.partitionBy("d", "context")))  # at most 257 rows each
+    low = store(low.where((F.col("total") >= least) | (F.col("d") == 0)), "tree-short")
+    return seen.where(F.col("d") >= short).unionByName(low)
+
+
 def build(counted: DataFrame, depth: int, least: int, min_gain: float, prior: float) -> tuple[DataFrame, int]:
     """(tree, symbols): the tree as a stored table (d, key, value), and the number of symbols learned from.
 
@@ -41,21 +77,7 @@ def build(counted: DataFrame, depth: int, least: int, min_gain: float, prior: fl
     symbol, log10 of what is left for the shorter context. Every level is one join with the level before.
     """
     symbols = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    low = F.lit((1 << BITS) - 1).cast("long")
-    levels = F.array(*[
-        F.struct(F.lit(d).alias("d"), F.shiftright("key", BITS * (depth - d + 1)).alias("context")) for d in range(depth + 1)
-    ])
-    seen = store(
-        counted.select(F.explode(levels).alias("at"), F.col("key").bitwiseAND(low).alias("symbol"), "n")
-        .groupBy("at.d", "at.context", "symbol")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("d", "context")
-        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("after"))
-        .where((F.col("total") >= least) | (F.col("d") == 0))
-        .select("d", "context", "total", F.explode("after").alias("after"))
-        .select("d", "context", "total", "after.symbol", "after.n"),
-        "tree-candidates",
-    )
+    seen = candidates(counted, depth, least)
     size = float(symbols + 257)
     level = seen.where(F.col("d") == 0).withColumns({"shorter": F.lit(1.0 / size), "p": (F.col("n") + 1) / size})
     parts = [level]
