@@ -1,11 +1,14 @@
-"""Penalised-likelihood fits of the four hurdle models, all experiments and sources at once.
+"""Mixed fits of the four hurdle models, all experiments and sources at once.
 
 The likelihood factors into a logistic part (is the response 0?) and a normal part (the non-zero responses), each with or
 without a condition effect; four part fits give all four models. Participants have an own intercept and, where the part
-has a condition effect, an own condition effect, both shrunk by a ridge. These stay rows of a table: each participant's
-block is eliminated in place, only the sums of a fit meet, and one 4 x 4 system per fit is solved in a Python task.
+has a condition effect, an own condition effect. The two are correlated: their 2 x 2 covariance is estimated per part by
+expectation-maximisation, held back a little towards a multiple of the identity, or is fixed to that multiple. In the
+normal part it is relative to the residual variance. Participants stay rows of a table: each participant's block is
+eliminated in place, only the sums of a fit meet, and one 4 x 4 system per fit is solved in a Python task.
 
-Evidence is the BIC approximation with the effective number of parameters, not a marginal likelihood.
+Evidence is either the BIC approximation with the effective number of parameters or a Laplace approximation over the
+participant effects, with a prior for the common coefficients that is worth one trial.
 """
 
 import math
@@ -14,50 +17,63 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import inv_logit
 from ..schema import PARTICIPANT
-from ..session import materialize
+from ..session import scratch_path
 from .joins import null_safe_join
 
 GROUP = ["experiment", "bias_source"]
-PART = [*GROUP, "with_cond"]
-PERSON = [*PARTICIPANT, "with_cond"]
+PART = [*GROUP, "kind", "with_cond"]
+PERSON = [*PARTICIPANT, "kind", "with_cond"]
 BETA = ["b_intercept", "b_stim", "b_cond", "b_stim_cond"]
+COVARIANCE = ["t11", "t12", "t22"]
 
+# Expressions are SQL text: one call to Spark each, where columns would take one call per operator and iteration.
+PREDICTOR = "b_intercept + u_intercept + b_stim * stim + (b_cond + u_cond + b_stim_cond * stim) * c"
+ZERO_LOGLIK = """zeros * (least(eta, 0) - log1p(exp(-abs(eta)))) + (n - zeros) * (-greatest(eta, 0) - log1p(exp(-abs(eta))))"""
+RESIDUAL = "syy - 2 * eta * sy + passed * eta * eta"
 
-def hurdle_cells(frame: DataFrame) -> DataFrame:
-    """Sufficient counts and sums per participant, condition and stimulus, once for each kind of part."""
-    response = F.col("response")
-    passed = F.when(response != 0, response)
-    cells = frame.where(response.isNotNull()).groupBy(*PARTICIPANT, "cond", "stim").agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.count_if(response == 0).cast("double").alias("zeros"),
-        F.count(passed).cast("double").alias("passed"),
-        F.coalesce(F.sum(passed), F.lit(0.0)).alias("sy"),
-        F.coalesce(F.sum(passed * passed), F.lit(0.0)).alias("syy"),
-    )
-    both = cells.withColumn("with_cond", F.explode(F.array(F.lit(0), F.lit(1))))
-    return both.withColumn("c", ((F.col("cond") == "present") & (F.col("with_cond") == 1)).cast("double")).drop("cond")
 
-
-def _moments(rows: DataFrame) -> DataFrame:
-    """Weighted moments per participant, over all rows and over those with the condition effect."""
-    base = {"w": F.lit(1.0), "s": F.col("stim"), "q": F.col("stim") * F.col("stim")}
-    base |= {"z": F.col("target"), "zs": F.col("target") * F.col("stim")}
-    sums = [F.sum(F.col("weight") * x).alias(k) for k, x in base.items()]
-    sums += [F.sum(F.col("weight") * F.col("c") * x).alias(f"{k}1") for k, x in base.items()]
-    return rows.groupBy(*PERSON).agg(*sums, F.sum("loglik").alias("loglik"))
+def _stored(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder. Unlike a checkpoint it has the size of its files: the estimate that a checkpoint
+    inherits is multiplied by every join and grows beyond all bounds over the iterations."""
+    path = scratch_path(df.sparkSession, "fit")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _blocks(moments: DataFrame, ridge: float) -> DataFrame:
-    """Adds the inverse of each participant's own 2 x 2 block."""
-    a, b, d = F.col("w") + ridge, F.col("w1"), F.col("w1") + ridge
-    blocks = moments.withColumn("_det", a * d - b * b)
-    return blocks.withColumns({"v11": d / F.col("_det"), "v12": -b / F.col("_det"), "v22": a / F.col("_det")}).drop("_det")
+def hurdle_cells(frame: DataFrame) -> DataFrame:
+    """Sufficient counts and sums per participant, condition and stimulus, once for each part: `kind` hu or mu, `with_cond`."""
+    cells = frame.where("response IS NOT NULL").groupBy(*PARTICIPANT, "cond", "stim").agg(
+        F.expr("CAST(count(1) AS DOUBLE) AS n"),
+        F.expr("CAST(count_if(response = 0) AS DOUBLE) AS zeros"),
+        F.expr("CAST(count_if(response != 0) AS DOUBLE) AS passed"),
+        F.expr("coalesce(sum(CASE WHEN response != 0 THEN response END), 0D) AS sy"),
+        F.expr("coalesce(sum(CASE WHEN response != 0 THEN response * response END), 0D) AS syy"),
+    )
+    parts = cells.withColumn("with_cond", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("kind", F.explode(F.array(F.lit("hu"), F.lit("mu"))))
+    shown = parts.where("kind = 'hu' OR passed > 0")
+    return shown.withColumn("c", F.expr("CAST(cond = 'present' AND with_cond = 1 AS DOUBLE)")).drop("cond")
 
 
-def _cols(*names):
-    return [F.col(n) for n in names]
+def _moments(rows: DataFrame) -> DataFrame:
+    """Weighted moments per participant around the predictor `eta`, over all rows and over those with the condition effect,
+    and the log likelihood (hu) or the residual sum of squares (mu) at `eta`."""
+    rows = rows.withColumn("p", F.expr("1 / (1 + exp(-eta))"))
+    rows = rows.withColumn("weight", F.expr("CASE kind WHEN 'hu' THEN n * greatest(p * (1 - p), 1e-10D) ELSE passed END"))
+    rows = rows.withColumn("target", F.expr("CASE kind WHEN 'hu' THEN eta + (zeros - n * p) / weight ELSE sy / passed END"))
+    terms = {"w": "weight", "s": "weight * stim", "q": "weight * stim * stim", "z": "weight * target", "zs": "weight * target * stim"}
+    sums = [F.expr(f"sum({x} * {on}) AS {k}{mark}") for mark, on in (("", "1"), ("1", "c")) for k, x in terms.items()]
+    fit = f"sum(CASE kind WHEN 'hu' THEN {ZERO_LOGLIK} ELSE {RESIDUAL} END) AS fit"
+    return rows.groupBy(*PERSON).agg(*sums, F.expr(fit), F.expr("sum(CASE kind WHEN 'hu' THEN n ELSE passed END) AS size"))
+
+
+def _blocks(moments: DataFrame, state: DataFrame) -> DataFrame:
+    """Adds the inverse of each participant's own 2 x 2 block, the logarithm of the block's determinant, and the precision."""
+    blocks = null_safe_join(moments, state.drop("old", "s2", "used"), PART).withColumn("_t", F.expr("t11 * t22 - t12 * t12"))
+    blocks = blocks.withColumns({"p11": F.expr("t22 / _t"), "p12": F.expr("-t12 / _t"), "p22": F.expr("t11 / _t")})
+    blocks = blocks.withColumn("_det", F.expr("(w + p11) * (w1 + p22) - (w1 + p12) * (w1 + p12)"))
+    found = {"v11": "(w1 + p22) / _det", "v12": "-(w1 + p12) / _det", "v22": "(w + p11) / _det", "block_logdet": "ln(_det)", "cov_logdet": "ln(_t)"}
+    return blocks.withColumns({k: F.expr(x) for k, x in found.items()}).drop("_det", "_t")
 
 
 # Products of the regressors (1, stim, cond, stim * cond) with each other, with the participant's (1, cond), and with the target.
@@ -69,168 +85,152 @@ _XZ, _WZ = ["z", "zs", "z1", "zs1"], ["z", "z1"]
 def _through_block(left, right):
     """left' V right for two pairs of columns."""
     (l1, l2), (r1, r2) = left, right
-    v11, v12, v22 = _cols("v11", "v12", "v22")
-    return v11 * l1 * r1 + v12 * (l1 * r2 + l2 * r1) + v22 * l2 * r2
+    return f"(v11 * {l1} * {r1} + v12 * ({l1} * {r2} + {l2} * {r1}) + v22 * {l2} * {r2})"
 
 
 def _solve(blocks: DataFrame) -> DataFrame:
     """The common coefficients of each fit, participants eliminated; unused condition terms are 0.
 
-    `loglik` is the log likelihood the moments were taken at.
+    `fit` and `size` are summed; `schur_logdet` is the logarithm of the determinant of what is left of the system.
     """
-    wx = [_cols(_WX[0][i], _WX[1][i]) for i in range(4)]
-    entries = [
-        F.sum(F.col(_XX[i][j]) - _through_block(wx[i], wx[j])).alias(f"g{i}{j}") for i in range(4) for j in range(i, 4)
-    ]
-    entries += [F.sum(F.col(_XZ[i]) - _through_block(wx[i], _cols(*_WZ))).alias(f"h{i}") for i in range(4)]
-    systems = blocks.groupBy(*PART).agg(*entries, F.sum("loglik").alias("loglik"))
-    keys, beta = [*PART, "loglik"], list(BETA)
+    wx = [(_WX[0][i], _WX[1][i]) for i in range(4)]
+    sums = [f"sum({_XX[i][j]} - {_through_block(wx[i], wx[j])}) AS g{i}{j}" for i in range(4) for j in range(i, 4)]
+    sums += [f"sum({_XZ[i]} - {_through_block(wx[i], _WZ)}) AS h{i}" for i in range(4)]
+    systems = blocks.groupBy(*PART).agg(*[F.expr(x) for x in [*sums, "sum(fit) AS fit", "sum(size) AS size"]])
+    keys, beta = [*PART, "fit", "size"], list(BETA)
 
     def solve(batches):
         for batch in batches:
-            found = np.zeros((len(batch), 4))
+            found = np.zeros((len(batch), 5))
             for row, line in enumerate(batch.to_dict("records")):
                 size = 4 if line["with_cond"] else 2
                 g = np.array([[line[f"g{min(i, j)}{max(i, j)}"] for j in range(size)] for i in range(size)])
                 h = np.array([line[f"h{i}"] for i in range(size)])
                 found[row, :size] = np.linalg.lstsq(g, h, rcond=None)[0]
+                found[row, 4] = np.linalg.slogdet(g)[1]
             out = batch[keys].copy()
-            out[beta] = found
+            out[[*beta, "schur_logdet"]] = found
             yield out
 
-    schema = "experiment string, bias_source string, with_cond int, loglik double, " + ", ".join(f"{b} double" for b in BETA)
-    return systems.mapInPandas(solve, schema)
-
-
-def _effects(blocks: DataFrame, beta: DataFrame, ridge: float) -> DataFrame:
-    """Participant effects given the common coefficients, and the parameters they effectively use."""
-    joined = null_safe_join(blocks, beta, PART)
-    rest = [
-        F.col(z) - sum((F.col(x) * F.col(b) for x, b in zip(row, BETA)), F.lit(0.0)) for z, row in zip(_WZ, _WX)
-    ]
-    joined = joined.withColumns({"_r0": rest[0], "_r1": rest[1]})
-    return joined.select(
-        *PERSON,
-        *BETA,
-        *[c for c in ("total", "change") if c in beta.columns],
-        (F.col("v11") * F.col("_r0") + F.col("v12") * F.col("_r1")).alias("u_intercept"),
-        (F.col("v12") * F.col("_r0") + F.col("v22") * F.col("_r1")).alias("u_cond"),
-        (2 - ridge * (F.col("v11") + F.col("v22"))).alias("u_df"),
-    )
-
-
-def _predictor():
-    b0, b1, b2, b3, u0, u1 = _cols(*BETA, "u_intercept", "u_cond")
-    return b0 + u0 + b1 * F.col("stim") + (b2 + u1 + b3 * F.col("stim")) * F.col("c")
-
-
-def _zero_loglik(eta):
-    """Log likelihood of the zero counts of a cell on the logit scale."""
-    chance = -F.log1p(F.exp(-F.abs(eta)))
-    passed = F.col("n") - F.col("zeros")
-    return F.col("zeros") * (chance + F.least(eta, F.lit(0.0))) + passed * (chance - F.greatest(eta, F.lit(0.0)))
+    schema = "experiment string, bias_source string, kind string, with_cond int, fit double, size double, "
+    return systems.mapInPandas(solve, schema + ", ".join(f"{b} double" for b in [*BETA, "schur_logdet"]))
 
 
-def _with_change(beta: DataFrame, before: DataFrame | None) -> DataFrame:
-    """The fit's log likelihood as `total` and the relative change of its deviance; unlike a coefficient, that settles when an
-    outcome is separable. A change that cannot be told counts as infinite."""
-    beta = beta.withColumnRenamed("loglik", "total")
-    if before is None:
-        return beta.withColumn("change", F.lit(float("inf")))
-    old = before.groupBy(*PART).agg(F.max("total").alias("_old"))
-    change = 2 * F.abs(F.col("total") - F.col("_old")) / (2 * F.abs("total") + 0.1)
-    return null_safe_join(beta, old, PART, "left").withColumn("change", F.coalesce(change, F.lit(float("inf")))).drop("_old")
+def _effects(blocks: DataFrame, beta: DataFrame, state: DataFrame) -> DataFrame:
+    """Participant effects given the common coefficients, the parameters they effectively use, and how the fit moved.
 
-
-def fit_logistic(cells: DataFrame, ridge=1.0, max_iter=30, tol=1e-9) -> tuple[DataFrame, DataFrame]:
-    """Coefficients and participant effects of the zero part, by iteratively reweighted least squares; and per fit whether
-    it has `converged` and after how many `iterations` the loop ended.
-
-    An iteration is one stored table, the effects of the participants with the state of their fit, so that the lineage does
-    not grow with the iterations.
+    `total` is the log likelihood the moments were taken at and `change` the relative change of the deviance; unlike a
+    coefficient, that settles when an outcome is separable. A change that cannot be told counts as infinite. `s2` is the
+    residual variance, 1 in the logistic part.
+    """
+    beta = null_safe_join(beta, state.select(*PART, "old", F.expr("s2 AS _s2"), "used"), PART)
+    beta = beta.withColumn("total", F.expr(f"CASE kind WHEN 'hu' THEN fit ELSE -size / 2 * (ln(2 * {math.pi}D * fit / size) + 1) END"))
+    beta = beta.withColumns(
+        {
+            "change": F.expr("coalesce(2 * abs(total - old) / (2 * abs(total) + 0.1), double('Infinity'))"),
+            "s2": F.expr("CASE kind WHEN 'hu' THEN 1D ELSE (fit + _s2 * used) / size END"),
+        }
+    )
+    joined = null_safe_join(blocks.drop("fit", "size"), beta.drop("fit", "old", "_s2", "used"), PART)
+    rest = [f"{z} - ({' + '.join(f'{x} * {b}' for x, b in zip(row, BETA))})" for z, row in zip(_WZ, _WX)]
+    joined = joined.withColumns({"_r0": F.expr(rest[0]), "_r1": F.expr(rest[1])})
+    return joined.select(
+        *PERSON, *BETA, *COVARIANCE, "v11", "v12", "v22", "p11", "p12", "p22", "block_logdet", "cov_logdet", "schur_logdet", "s2", "total", "change",
+        F.expr("v11 * _r0 + v12 * _r1 AS u_intercept"),
+        F.expr("v12 * _r0 + v22 * _r1 AS u_cond"),
+        F.expr("2 - (p11 * v11 + 2 * p12 * v12 + p22 * v22) AS u_df"),
+    )
+
+
+def _state(effects: DataFrame, ridge: float, prior_people: float | None) -> DataFrame:
+    """Per fit: the covariance of the next iteration, the log likelihood, residual variance and parameters of this one."""
+    fixed = {"t11": f"{1 / ridge}D", "t12": "0D", "t22": f"{1 / ridge}D"}
+    if prior_people is None:
+        moved = {k: f"max({x})" for k, x in fixed.items()}
+    else:
+        pairs = {"t11": "u_intercept * u_intercept / s2 + v11", "t12": "u_intercept * u_cond / s2 + v12", "t22": "u_cond * u_cond / s2 + v22"}
+        moved = {k: f"(sum({pairs[k]}) + {prior_people}D * {fixed[k]}) / (count(1) + {prior_people}D)" for k in COVARIANCE}
+    sums = {**moved, "old": "max(total)", "s2": "max(s2)", "used": "sum(u_df)"}
+    return effects.groupBy(*PART).agg(*[F.expr(f"{x} AS {k}") for k, x in sums.items()])
+
+
+def fit_parts(cells: DataFrame, ridge=1.0, prior_people: float | None = 2.0, max_iter=40, tol=1e-5) -> tuple[DataFrame, int]:
+    """The participants' rows of all part fits, with the coefficients of their fit, and the number of iterations.
+
+    Reweighted least squares with one step of expectation-maximisation for the covariance in each iteration. The covariance
+    is held back as if `prior_people` more participants had the covariance 1 / `ridge` times the identity; with None it is
+    fixed to that. An iteration is one stored table, so that the lineage does not grow, and reads the cells once. It
+    ends when all fits have settled.
     """
     effects, done = None, 0
     while done < max_iter:
-        rows = cells.withColumn("eta", F.lit(0.0)) if effects is None else null_safe_join(
-            cells, effects.drop("total", "change"), PERSON
-        ).withColumn("eta", _predictor())
-        rows = rows.withColumns({"p": inv_logit("eta"), "loglik": _zero_loglik(F.col("eta"))})
-        rows = rows.withColumn("weight", F.col("n") * F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-10)))
-        rows = rows.withColumn("target", F.col("eta") + (F.col("zeros") - F.col("n") * F.col("p")) / F.col("weight"))
-        blocks = _blocks(_moments(rows), ridge)
-        effects = materialize(_effects(blocks, _with_change(_solve(blocks), effects), ridge))
+        if effects is None:
+            rows = cells.withColumn("eta", F.lit(0.0))
+            start = [f"{1 / ridge}D AS t11", "0D AS t12", f"{1 / ridge}D AS t22", "CAST(NULL AS DOUBLE) AS old", "1D AS s2", "0D AS used"]
+            state = cells.select(*PART).distinct().select(*PART, *[F.expr(x) for x in start])
+        else:
+            rows = null_safe_join(cells, effects.select(*PERSON, *BETA, "u_intercept", "u_cond"), PERSON).withColumn("eta", F.expr(PREDICTOR))
+            state = _state(effects, ridge, prior_people)
+        blocks = _blocks(_moments(rows), state)
+        effects = _stored(_effects(blocks, _solve(blocks), state))
         done += 1
         if effects.where(F.col("change") >= tol).isEmpty():
             break
-    settled = effects.groupBy(*PART).agg((F.max("change") < tol).alias("converged")).withColumn("iterations", F.lit(done))
-    return effects.drop("total", "change"), settled
-
-
-def fit_normal(cells: DataFrame, ridge=1.0) -> DataFrame:
-    """Coefficients and participant effects of the non-zero part, exactly in one pass."""
-    shown = cells.where(F.col("passed") > 0)
-    rows = shown.withColumns({"weight": F.col("passed"), "target": F.col("sy") / F.col("passed"), "loglik": F.lit(0.0)})
-    blocks = materialize(_blocks(_moments(rows), ridge))
-    return _effects(blocks, _solve(blocks), ridge)
+    return effects, done
 
 
-def _parameters(effects: DataFrame, fixed=0) -> DataFrame:
-    """Effective number of parameters per part fit."""
-    terms = F.when(F.col("with_cond") == 1, 4).otherwise(2) + fixed
-    return effects.groupBy(*PART).agg((F.sum("u_df") + F.max(terms)).alias("df"), *[F.max(b).alias(b) for b in BETA])
+def fit_hurdle(
+    frame: DataFrame, ridge=1.0, max_iter=40, tol=1e-5, prior_people: float | None = 2.0, evidence="laplace"
+) -> DataFrame:
+    """Per experiment, source and model: coefficients of both parts, sigma, the participants' standard deviations and
+    correlation, log likelihood, parameters, BIC, log evidence, and whether and after how many iterations the parts converged.
+    Unsettled fits are returned, marked as such.
 
-
-def fit_hurdle(frame: DataFrame, ridge=1.0, max_iter=30, tol=1e-9) -> DataFrame:
-    """Per experiment, source and model: coefficients of both parts, sigma, log likelihood, parameters, BIC, log evidence,
-    and whether and after how many iterations the zero part converged. Unsettled fits are returned, marked as such."""
-    cells = materialize(hurdle_cells(frame))
-    (zero, settled), size = fit_logistic(cells, ridge, max_iter, tol), fit_normal(cells, ridge)
-
-    logistic = null_safe_join(cells, zero, PERSON).withColumn("eta", _predictor()).groupBy(*PART).agg(
-        F.sum(_zero_loglik(F.col("eta"))).alias("loglik"), F.sum("n").alias("n")
-    )
-    logistic = null_safe_join(logistic, settled, PART)
-    fitted = F.col("fitted")
-    normal = null_safe_join(cells, size, PERSON).withColumn("fitted", _predictor()).groupBy(*PART).agg(
-        F.sum(F.col("syy") - 2 * fitted * F.col("sy") + F.col("passed") * fitted * fitted).alias("rss"),
-        F.sum("passed").alias("n"),
-    )
-    variance = F.col("rss") / F.col("n")
-    normal = normal.withColumns(
-        {"sigma": F.sqrt(variance), "loglik": -F.col("n") / 2 * (F.ln(2 * math.pi * variance) + 1)}
+    `evidence`: `laplace` or `bic`, the way to `logml`. `logdet` is the log determinant of the negative Hessian of the
+    penalised log likelihood in all coefficients and participant effects of both parts.
+    """
+    if evidence not in ("laplace", "bic"):
+        raise ValueError("evidence is laplace or bic")
+    cells = _stored(hurdle_cells(frame))
+    effects, done = fit_parts(cells, ridge, prior_people, max_iter, tol)
+    scored = null_safe_join(cells, effects.select(*PERSON, *BETA, "u_intercept", "u_cond"), PERSON).withColumn("eta", F.expr(PREDICTOR))
+    scores = scored.groupBy(*PART).agg(F.expr(f"sum({ZERO_LOGLIK}) AS zero"), F.expr(f"sum({RESIDUAL}) AS rss"), F.expr("sum(n) AS trials"), F.expr("sum(passed) AS m"))
+    shared = [*BETA, *COVARIANCE, "s2", "schur_logdet"]
+    # A participant without a condition effect has one effect; the second row of its block is that of the prior alone.
+    block = "block_logdet - CASE WHEN with_cond = 0 THEN ln(p22) ELSE 0 END"
+    sums = ["sum(u_df) AS used", "count(1) AS people", "max(change) AS change", f"sum({block}) AS blocks", "sum(block_logdet + cov_logdet) AS spread",
+            "sum((p11 * u_intercept * u_intercept + 2 * p12 * u_intercept * u_cond + p22 * u_cond * u_cond) / s2) AS pull"]
+    people = effects.groupBy(*PART).agg(*[F.expr(x) for x in sums], *[F.max(x).alias(x) for x in shared])
+    whole = null_safe_join(scores, people, PART)
+    # Inlined step by step: each names a quantity of one part.
+    steps = {
+        "n": "CASE kind WHEN 'hu' THEN trials ELSE m END",
+        "sigma": "CASE kind WHEN 'mu' THEN sqrt(rss / m) END",
+        "loglik": f"CASE kind WHEN 'hu' THEN zero ELSE -m / 2 * (ln(2 * {math.pi}D * rss / m) + 1) END",
+        "at_s2": f"CASE kind WHEN 'hu' THEN zero ELSE -m / 2 * ln(2 * {math.pi}D * s2) - rss / (2 * s2) END",
+        "terms": "2 + 2 * with_cond",
+        "df": "used + terms + CASE kind WHEN 'mu' THEN 1 ELSE 0 END",
+        "logdet": "schur_logdet + blocks - (terms + people * (1 + with_cond)) * ln(s2)",
+        "laplace": "at_s2 - pull / 2 - spread / 2 - terms / 2D * ln(n)",
+        "sd_intercept": "sqrt(t11 * s2)",
+        "sd_cond": "CASE with_cond WHEN 1 THEN sqrt(t22 * s2) ELSE 0D END",
+        "cor": "CASE with_cond WHEN 1 THEN t12 / sqrt(t11 * t22) END",
+        "converged": f"change < {tol}D",
+    }
+    for name, x in steps.items():
+        whole = whole.withColumn(name, F.expr(x))
+    fields = [*BETA, "n", "sigma", "loglik", "df", "logdet", "laplace", "sd_intercept", "sd_cond", "cor", "converged"]
+    held = f"struct({', '.join(fields)})"
+    wide = whole.groupBy(*GROUP).agg(
+        *[F.expr(f"max(CASE WHEN kind = '{kind}' AND with_cond = {k} THEN {held} END) AS {kind}{k}") for kind in ("hu", "mu") for k in (0, 1)]
     )
-    parts = []
-    for prefix, scores, effects, fixed in (("hu", logistic, zero, 0), ("mu", normal, size, 1)):
-        whole = null_safe_join(scores, _parameters(effects, fixed), PART)
-        fields = [c for c in whole.columns if c not in PART]
-        held = F.struct(*fields)
-        parts.append(
-            whole.groupBy(*GROUP).agg(
-                *[F.max(F.when(F.col("with_cond") == k, held)).alias(f"_{prefix}{k}") for k in (0, 1)]
-            )
-        )
-    wide = null_safe_join(parts[0], parts[1], GROUP)
     options = {"simple": (0, 0), "contrast": (1, 0), "hurdle": (0, 1), "full": (1, 1)}
-    models = F.array(
-        *[
-            F.struct(F.lit(m).alias("model_name"), F.col(f"_mu{i}").alias("mu"), F.col(f"_hu{j}").alias("hu"))
-            for m, (i, j) in options.items()
-        ]
-    )
-    fits = wide.select(*GROUP, F.inline(models))
-    loglik, df = F.col("mu.loglik") + F.col("hu.loglik"), F.col("mu.df") + F.col("hu.df")
-    bic = -2 * loglik + df * F.ln("hu.n")
-    return fits.select(
-        *GROUP,
-        "model_name",
-        F.col("hu.n").alias("n"),
-        *[F.col(f"mu.{b}").alias(b) for b in BETA],
-        F.col("mu.sigma").alias("sigma"),
-        *[F.col(f"hu.{b}").alias(b.replace("b_", "hu_")) for b in BETA],
-        loglik.alias("loglik"),
-        df.alias("df"),
-        bic.alias("bic"),
-        (-bic / 2).alias("logml"),
-        F.col("hu.converged").alias("converged"),
-        F.col("hu.iterations").alias("iterations"),
-    )
+    models = ", ".join(f"struct('{m}' AS model_name, mu{i} AS mu, hu{j} AS hu)" for m, (i, j) in options.items())
+    fits = wide.select(*GROUP, F.expr(f"inline(array({models}))"))
+    bic = "(-2 * (mu.loglik + hu.loglik) + (mu.df + hu.df) * ln(hu.n))"
+    logml = "mu.laplace + hu.laplace" if evidence == "laplace" else f"-{bic} / 2"
+    out = ["hu.n AS n", *[f"mu.{b} AS {b}" for b in BETA], "mu.sigma AS sigma", *[f"hu.{b} AS {b.replace('b_', 'hu_')}" for b in BETA]]
+    out += [f"{part}.{x} AS {prefix}{x}" for part, prefix in (("mu", ""), ("hu", "hu_")) for x in ("sd_intercept", "sd_cond", "cor")]
+    out += ["mu.loglik + hu.loglik AS loglik", "mu.df + hu.df AS df", "mu.logdet + hu.logdet AS logdet", f"{bic} AS bic", f"{logml} AS logml"]
+    out += ["mu.converged AND hu.converged AS converged", f"{done} AS iterations"]
+    return fits.select(*GROUP, "model_name", *[F.expr(x) for x in out])

@@ -305,7 +305,7 @@ def statement(body, extra=""):
             if name not in wanted and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
                 wanted.add(name)
                 queue.append(sql)
-    recursive = "RECURSIVE " if "zerofit" in wanted else ""
+    recursive = "RECURSIVE " if "fitrounds" in wanted else ""
     ctes = [f"{name} AS ({sql})" for name, sql in PARTS.items() if name in wanted]
     if extra:
         ctes.append(extra)
@@ -569,15 +569,16 @@ def _build():
         model, CAST(list_position(['contrast', 'hurdle', 'full'], model) AS INT) AS model_ord, denominator, {shown}
         FROM bf WHERE denominator = 'simple' AND model <> 'simple'"""
     )
-    numbers = "n b_intercept b_stim b_cond b_stim_cond sigma hu_intercept hu_stim hu_cond hu_stim_cond loglik df bic"
+    numbers = """n b_intercept b_stim b_cond b_stim_cond sigma hu_intercept hu_stim hu_cond hu_stim_cond sd_intercept sd_cond cor
+        hu_sd_intercept hu_sd_cond hu_cor loglik df logdet bic logml"""
     o["hurdle_fit"] = statement(
-        f"SELECT experiment, bias_source, model_name, {_rounded(numbers, 4)}, round(-bic / 2, 4) AS logml, converged, CAST(iterations AS INT) AS iterations FROM fits"
+        f"SELECT experiment, bias_source, model_name, {_rounded(numbers, 4)}, converged, CAST(iterations AS INT) AS iterations FROM fits"
     )
     o["hurdle_fit_evidence"] = statement(
         """SELECT experiment, condition, CAST(list_position(['payoff', 'baserate', 'cue'], condition) AS INT) AS condition_ord,
         'hurdle' AS model, 'contrast' AS denominator, CASE WHEN bf < 0 THEN 'contrast' WHEN bf > 0 THEN 'hurdle' END AS evidence,
         round(bf, 4) AS bf_log, round(asinh(bf / 2), 4) AS bf_pseudo_log
-        FROM (SELECT a.experiment, a.bias_source AS condition, (b.bic - a.bic) / 2 AS bf FROM fits a JOIN fits b
+        FROM (SELECT a.experiment, a.bias_source AS condition, a.logml - b.logml AS bf FROM fits a JOIN fits b
           USING (experiment, bias_source) WHERE a.model_name = 'hurdle' AND b.model_name = 'contrast')"""
     )
     o["model_evidence"] = statement(

@@ -535,7 +535,7 @@ def hurdle_fit(spark, sf):
 
 @query
 def hurdle_fit_evidence(spark, sf):
-    """Bayes factors between the fitted models, by the BIC approximation."""
+    """Bayes factors between the fitted models, by the Laplace approximation."""
     fits = fitting.fit_hurdle(frame.model_frame(fx.trials(spark, sf)))
     logml = fits.select("experiment", F.col("bias_source").alias("condition"), F.col("model_name").alias("model"), "logml")
     return rounded(models.evidence(models.model_bf(logml)), 4)
