@@ -1,6 +1,8 @@
 """Statistics against direct computation."""
 
 import math
+from itertools import product
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -66,8 +68,6 @@ def numpy_rhat(chains):
 
 
 def test_rhat(spark):
-    from statistics import NormalDist
-
     rng = np.random.default_rng(5)
     draws = rng.normal(size=(4, 41)) + np.arange(4)[:, None] * 0.3
     draws[2, 5] = draws[1, 7]
@@ -184,12 +184,35 @@ def test_signed_rank(spark):
     for source, zero, dropped in (("payoff", 9, 0), ("baserate", 0, 9)):
         r = by_source[source]
         assert (r["n_pairs"], r["n_zero"], r["n_dropped"], r["w_plus"], r["z"]) == (0, zero, dropped, 0, None)
+        assert (r["p_less"], r["p_greater"], r["exact"]) == (1, 1, True)
     r = by_source["cue"]
     assert (r["n_zero"], r["n_dropped"]) == (1, 0)
     ranks = pd.Series([abs(x) for x in diffs if x]).rank()
     plus = sum(k for k, x in zip(ranks, [x for x in diffs if x]) if x > 0)
     assert (r["n_pairs"], r["w_plus"], r["w_minus"]) == (8, plus, 36 - plus)
     assert r["z"] == pytest.approx((plus - 18) / math.sqrt(8 * 9 * 17 / 24 - (2**3 - 2) / 48))
+    # All ways to sign eight differences.
+    all_sums = [sum(k for k, s in zip(ranks, signs) if s) for signs in product((0, 1), repeat=8)]
+    assert r["exact"] and r["p_less"] == pytest.approx(sum(x <= plus for x in all_sums) / 256)
+    assert r["p_greater"] == pytest.approx(sum(x >= plus for x in all_sums) / 256)
+    beyond = {r["bias_source"]: r for r in compare.signed_rank(df, exact_pairs=7).collect()}["cue"]
+    assert not beyond["exact"] and beyond["p_less"] == pytest.approx(NormalDist().cdf(r["z"]), abs=1e-7)
+
+
+def test_signed_rank_tails_of_many_pairs(spark):
+    """Fifty ranks without ties against the counts of subsets by their sum."""
+    ways = {0: 1}
+    for k in range(1, 51):
+        after = dict(ways)
+        for total, number in ways.items():
+            after[total + k] = after.get(total + k, 0) + number
+        ways = after
+    less, greater = compare.signed_rank_tails("transform(sequence(1, 50), k -> 2 * k)", "2 * w")
+    sums = (0, 300, 637, 638, 1275)
+    got = {r["w"]: r for r in spark.createDataFrame([(w,) for w in sums], "w int").select("w", less.alias("p"), greater.alias("q")).collect()}
+    for w in sums:
+        assert got[w]["p"] == pytest.approx(sum(x for t, x in ways.items() if t <= w) / 2**50)
+        assert got[w]["q"] == pytest.approx(sum(x for t, x in ways.items() if t >= w) / 2**50)
 
 
 def test_effect_table_pairs_within_the_unit(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numeric import normal_cdf
 from ..functions.text import bf_plot_labels
 from ..schema import CONDITION, PAIR
 from .joins import null_safe_join
@@ -90,11 +91,26 @@ def bf_labels(scored: DataFrame) -> DataFrame:
     return scored.select("*", *bf_plot_labels("bf", "d"))
 
 
-def signed_rank(df: DataFrame, keys=CONDITION, value="value", conditions=DIRECTIONS, unit=PAIR) -> DataFrame:
+def signed_rank_tails(ranks, twice_plus):
+    """(p_less, p_greater): exact chances that the positive ranks add up to at most, and at least, half of `twice_plus`.
+
+    `ranks`: SQL of an array of doubled ranks, whole numbers, so that ties count as they are. The signs are fair coins:
+    the distribution of the sum is that of one rank more after each, in an array with a place per possible sum.
+    """
+    start = f"transform(sequence(0, aggregate({ranks}, 0, (a, r) -> a + r)), i -> IF(i = 0, 1D, 0D))"
+    added = "transform(dist, (x, i) -> (x + IF(i >= r, dist[IF(i >= r, i - r, 0)], 0D)) / 2)"
+    dist = f"aggregate({ranks}, {start}, (dist, r) -> {added})"
+    tails = [f"aggregate(filter({dist}, (x, i) -> i {side} {twice_plus}), 0D, (a, x) -> a + x)" for side in ("<=", ">=")]
+    return tuple(F.expr(x) for x in tails)
+
+
+def signed_rank(df: DataFrame, keys=CONDITION, value="value", conditions=DIRECTIONS, unit=PAIR, exact_pairs=50) -> DataFrame:
     """Signed-rank sums of the paired differences with tie-corrected normal z; zero differences are left out.
 
     Every group has a row: `n_zero` differences were zero, `n_dropped` pairs incomplete. Without a pair left the sums are 0
-    and z is NULL.
+    and z is NULL. `p_less` and `p_greater` are the one-sided p values, the chances of positive ranks that add up to at most
+    or at least what they do. Up to `exact_pairs` pairs they come from the exact distribution given the ties (`exact`), so
+    without a pair they are 1; beyond they are those of z.
     """
     differences = pairs(df, value, conditions, unit)
     groups = differences.groupBy(*keys).agg(
@@ -102,15 +118,24 @@ def signed_rank(df: DataFrame, keys=CONDITION, value="value", conditions=DIRECTI
     )
     sized = differences.where(F.col("diff") != 0).withColumn("size", F.abs("diff"))
     ranked = ordered_counts(sized, keys, "size", positive=F.count_if(F.col("diff") > 0)).withColumn("rank", avg_rank())
+    # The doubled ranks with their numbers, for small groups alone: `total` is the size of the group.
+    tied = F.when(F.col("total") <= exact_pairs, F.struct((2 * F.col("rank")).cast("int").alias("rank"), F.col("n").cast("int").alias("n")))
     sums = ranked.groupBy(*keys).agg(
         F.sum("n").alias("n_pairs"),
         F.sum(F.col("rank") * F.col("positive")).alias("w_plus"),
         F.sum(F.col("rank") * (F.col("n") - F.col("positive"))).alias("w_minus"),
         F.sum(F.pow(F.col("n").cast("double"), 3.0) - F.col("n")).alias("_ties"),
+        F.collect_list(tied).alias("_tied"),
     )
     found = null_safe_join(groups, sums, keys, "left")
     found = found.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_pairs", "w_plus", "w_minus", "_ties")})
     n = F.col("n_pairs").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(F.nullif(variance, F.lit(0.0)))
-    return found.withColumn("z", z).drop("_ties")
+    found = found.withColumns({"z": z, "exact": F.col("n_pairs") <= exact_pairs})
+    found = found.withColumn("_ranks", F.expr("flatten(transform(coalesce(_tied, array()), t -> array_repeat(t.rank, t.n)))"))
+    less, greater = signed_rank_tails("_ranks", "2 * w_plus")
+    found = found.withColumns(
+        {"p_less": F.when(F.col("exact"), less).otherwise(normal_cdf(F.col("z"))), "p_greater": F.when(F.col("exact"), greater).otherwise(normal_cdf(-F.col("z")))}
+    )
+    return found.drop("_ties", "_tied", "_ranks")

@@ -305,7 +305,7 @@ def statement(body, extra=""):
             if name not in wanted and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
                 wanted.add(name)
                 queue.append(sql)
-    recursive = "RECURSIVE " if "fitrounds" in wanted else ""
+    recursive = "RECURSIVE " if "fitrounds" in wanted or "ranksums AS" in extra else ""
     ctes = [f"{name} AS ({sql})" for name, sql in PARTS.items() if name in wanted]
     if extra:
         ctes.append(extra)
@@ -322,6 +322,31 @@ TRIAL_OUT = """experiment, participant, bias_source, bias_direction, contrast_le
     round(target_contrast, 9) AS target_contrast, round(try_cast(answer AS DOUBLE), 9) AS answer_num"""
 
 
+def _signed_rank(value):
+    """Sums of ranks per group, and in `ranksums` the chance of each doubled sum of positive ranks, rank after rank."""
+    return f"""cr AS (SELECT * REPLACE ({value} AS value) FROM nz), pr AS ({_pairs('cr')}),
+    rk AS (SELECT *, rank() OVER w + (ties - 1) / 2.0e0 AS r, count(*) FILTER (diff <> 0) OVER (PARTITION BY {COND3}) AS n,
+        row_number() OVER (PARTITION BY {COND3}, coalesce(diff, 0) <> 0 ORDER BY abs(diff), participant) AS place
+        FROM (SELECT *, count(*) OVER (PARTITION BY {COND3}, abs(diff)) AS ties FROM pr)
+        WINDOW w AS (PARTITION BY {COND3}, coalesce(diff, 0) <> 0 ORDER BY abs(diff))),
+    ranksums AS (SELECT DISTINCT {COND3}, 0::BIGINT AS place, 0 AS w, 1e0 AS mass FROM rk WHERE n <= 50
+        UNION ALL SELECT a.experiment, a.bias_source, a.contrast_level, b.place, a.w + s * CAST(2 * b.r AS INT) AS w, sum(a.mass) / 2 FROM ranksums a
+        JOIN rk b ON (a.experiment, a.bias_source, a.contrast_level, a.place + 1) = (b.experiment, b.bias_source, b.contrast_level, b.place)
+        JOIN (VALUES (0), (1)) AS c(s) ON b.diff <> 0 GROUP BY ALL),
+    sr AS (SELECT {COND3}, n, count(*) FILTER (diff = 0) AS n_zero, count(*) - count(diff) AS n_dropped,
+        coalesce(sum(r) FILTER (diff > 0), 0) AS w_plus, coalesce(sum(r) FILTER (diff < 0), 0) AS w_minus,
+        (coalesce(sum(r) FILTER (diff > 0), 0) - n * (n + 1) / 4.0e0) /
+          sqrt(nullif(n * (n + 1) * (2 * n + 1) / 24.0e0 - coalesce(sum(ties * ties - 1) FILTER (diff <> 0), 0) / 48.0e0, 0)) AS z
+        FROM rk GROUP BY {COND3}, n),
+    tails AS (SELECT {COND3}, sum(mass) FILTER (w <= 2 * w_plus) AS less, sum(mass) FILTER (w >= 2 * w_plus) AS greater
+        FROM ranksums JOIN sr USING ({COND3}) WHERE place = n GROUP BY ALL)"""
+
+
+SIGNED_RANK = f"""SELECT {COND3}, n_zero, n_dropped, n AS n_pairs, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, round(z, 6) AS z, n <= 50 AS exact,
+    round(CASE WHEN n <= 50 THEN less ELSE {ncdf('z')} END, 6) AS p_less, round(CASE WHEN n <= 50 THEN greater ELSE {ncdf('(-z)')} END, 6) AS p_greater
+    FROM sr LEFT JOIN tails USING ({COND3})"""
+
+
 def _rounded(columns, digits=6):
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns.split())
 
@@ -449,17 +474,9 @@ def _build():
         FROM (SELECT *, exp(log_bf) AS bf FROM paired_bf))""",
         _paired_bf("mean_answer"),
     )
-    o["signed_rank"] = statement(
-        f"""SELECT {COND3}, count(*) FILTER (diff = 0) AS n_zero, count(*) - count(diff) AS n_dropped,
-        count(*) FILTER (diff <> 0) AS n_pairs, round(coalesce(sum(r) FILTER (diff > 0), 0), 6) AS w_plus,
-        round(coalesce(sum(r) FILTER (diff < 0), 0), 6) AS w_minus,
-        round((coalesce(sum(r) FILTER (diff > 0), 0) - n * (n + 1) / 4.0e0) /
-          sqrt(nullif(n * (n + 1) * (2 * n + 1) / 24.0e0 - coalesce(sum(ties * ties - 1) FILTER (diff <> 0), 0) / 48.0e0, 0)), 6) AS z
-        FROM (SELECT *, rank() OVER w + (ties - 1) / 2.0e0 AS r, count(*) FILTER (diff <> 0) OVER (PARTITION BY {COND3}) AS n FROM (
-          SELECT *, count(*) OVER (PARTITION BY {COND3}, abs(diff)) AS ties FROM pr)
-          WINDOW w AS (PARTITION BY {COND3}, coalesce(diff, 0) <> 0 ORDER BY abs(diff))) GROUP BY {COND3}, n""",
-        f"""cr AS (SELECT * REPLACE (CASE WHEN bias_source = 'cue' AND contrast_level = 'absent' THEN 0 ELSE round(value, 9) * 1e9 END AS value)
-          FROM nz), pr AS ({_pairs('cr')})""",
+    o["signed_rank"] = statement(SIGNED_RANK, _signed_rank("round(value, 9) * 1e9"))
+    o["signed_rank_flat"] = statement(
+        SIGNED_RANK, _signed_rank("CASE WHEN bias_source = 'cue' AND contrast_level = 'absent' THEN 0 ELSE round(value, 9) * 1e9 END")
     )
     o["observed_cells"] = statement(f"SELECT {DESIGN6.replace('stim', 'round(stim, 9) AS stim')}, {_rounded('response_non_zero prop_zero response', 9)} FROM obs")
     extra, body = _effect_ci("obs", f"{P3}, contrast_level, stim", COND3, "response")
