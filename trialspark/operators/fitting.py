@@ -34,8 +34,8 @@ RESIDUAL = "syy - 2 * eta * sy + passed * eta * eta"
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder. Unlike a checkpoint it has the size of its files: the estimate that a checkpoint
-    inherits is multiplied by every join and grows beyond all bounds over the iterations."""
+    """`df` as a table in the shared folder. Its size is that of its files, while a checkpoint keeps the estimate of its plan,
+    which the joins of each iteration multiply."""
     path = scratch_path(df.sparkSession, "fit")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
