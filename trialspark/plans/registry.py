@@ -173,7 +173,7 @@ def empty_cell_counts(spark, sf):
 
 def _complete(spark, sf):
     medians = materialize(summarise.median_nonzero(fx.trials(spark, sf)))
-    return joins.exclude_keys(medians, summarise.incomplete_pairs(medians), PAIR, stored=True)
+    return joins.exclude_keys(medians, summarise.incomplete_pairs(medians), PAIR)
 
 
 @query
