@@ -68,6 +68,37 @@ def test_conditional_draws(tables):
         draws.checked_size(got, 101).collect()
 
 
+def test_conditional_draws_stay_where_they_are_scored(tables):
+    """Draws and cells are shuffled, scored rows and picks are not: no window, and no exchange above the Python task."""
+    plan = draws.conditional_draws(*tables, n=100, seed=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("RepartitionByExpression") == 2
+    assert plan.index("FlatMapCoGroupsInArrow") < plan.index("Join")
+
+
+def test_conditional_draws_in_parts(spark, tables):
+    """However the draws are dealt over parts and buckets, the same draws are picked; `again` tells repeated ones."""
+    design, fixed, random = tables
+    design = design.unionByName(spark.createDataFrame([("e", "002", "cue", None, "low", 0.1), ("e", "003", "cue", "control", "low", 0.1)], design.schema))
+    whole = draws.conditional_draws(design, fixed, random, n=200, seed=3)
+    rows = sorted(map(tuple, whole.drop("again").collect()))
+    assert len(rows) == 3 * 200
+    for options in ({"part_draws": 700}, {"bucket_draws": 500}, {"part_draws": 100, "bucket_picks": 50}):
+        assert sorted(map(tuple, draws.conditional_draws(design, fixed, random, n=200, seed=3, **options).drop("again").collect())) == rows
+    told = whole.groupBy(*draws.MODEL_CELL).agg(F.countDistinct("draw_id").alias("want"), F.count_if(~F.col("again")).alias("got"))
+    assert told.where("want = got").count() == 3
+
+
+def test_conditional_draws_without_chance(spark, tables):
+    """Draws without a value, or which never pass, are not picked; a missing sigma makes the response missing."""
+    design, fixed, random = tables
+    odd = F.col("draw_id") % 3
+    fixed = fixed.withColumn("hu_intercept", F.when(odd == 0, None).when(odd == 1, 900.0).otherwise(F.col("hu_intercept")))
+    sample = draws.conditional_draws(design, fixed.withColumn("sigma", F.lit(None).cast("double")), random, n=50)
+    assert sample.count() == 3 * 50 and sample.where("draw_id % 3 != 2 or pred is not null or mu is null").isEmpty()
+    assert draws.conditional_draws(design, fixed.where(odd < 2), random, n=50).count() == 0
+    assert draws.conditional_draws(design, fixed, random.where("false"), n=50).count() == 0
+
+
 def test_loglik(spark):
     df = spark.createDataFrame([("k", 0.0, 0.1, 0.2, 0.3), ("k", 0.25, 0.1, 0.2, 0.3), ("k", None, 0.1, 0.2, 0.3)], "k string, response double, mu double, sigma double, hu double")
     r = draws.hurdle_loglik(df, ["k"]).first()

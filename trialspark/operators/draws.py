@@ -4,13 +4,17 @@
 Scored rows are aggregated or filtered right away, never stored.
 """
 
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import MODULUS, column, digest, inv_logit, key_number, normal, normal_cdf, normal_lpdf, normal_pdf, uniform, with_numbers
 from ..schema import DESIGN, FIT, MODELS, PARTICIPANT
 from ..session import materialize
-from .joins import lookup_join, salted_join
+from .joins import lookup_join, null_safe_join, salted_join
 
 MODEL_CELL = [*DESIGN, "model_name"]
 
@@ -46,7 +50,7 @@ def score_draws(design: DataFrame, fixed: DataFrame, random: DataFrame, salt=Non
     which the sub-key is kept; all rows of a cell and sub-key are in one task.
     """
     on = [*PARTICIPANT, "model_name"] if "model_name" in design.columns else PARTICIPANT
-    draws = random.join(fixed, [*FIT, "draw_id"])
+    draws = random.join(fixed, ["draw_id", *FIT])
     # `fixed` has one row per draw, so `random` alone tells how many rows each participant brings.
     scored = salted_join(draws, design, on, spread=["draw_id"], sizes_of=random, salt=salt)
     kept = [*MODEL_CELL, "draw_id", "mu", "sigma", "eta_hu", "hu"]
@@ -152,53 +156,184 @@ def sample_per_group(df: DataFrame, keys, n, identity, seed=0) -> DataFrame:
 
 #: Bits of the whole-number weight of a draw that surely passes.
 WEIGHT_BITS = 40
-#: Draws of a cell up to which sums of weights stay below 2 ** 63; beyond, the sums are decimals.
-WEIGHT_DRAWS = 1 << 22
-
-
-def _picks(sums: DataFrame, n) -> DataFrame:
-    """`n` random places per cell and model in the sum of its weights, each in the part it falls into.
-
-    sums: (cell, model_name, part, cell_seed, total). A place is made from the cell's number and the pick's, so it does not
-    depend on how the draws were dealt over parts.
+#: Draws of a participant that stay together. Sums of weights of that many are far below 2 ** 63.
+PART_DRAWS = 250_000
+#: Draws, and picks, that a task holds at a time, more or less; a cell and a part are held whole.
+BUCKET_DRAWS, BUCKET_PICKS = 25_000, 250_000
+
+# The predictors of a draw, intercept and slopes of its participant: what `linear_predictor` adds up.
+_COEFFICIENTS = {
+    "m0": "b_intercept + r_intercept",
+    "m1": "b_stim",
+    "m2": "b_cond + r_cond",
+    "m3": "b_stim_cond",
+    "h0": "hu_intercept + r_hu_intercept",
+    "h1": "hu_stim",
+    "h2": "hu_cond + r_hu_cond",
+    "h3": "hu_stim_cond",
+}
+
+
+def _conditional(n=None):
+    """(function of the draws and the cells of some participants, both Arrow tables, and the schema of what it returns).
+
+    It returns `n` picks per cell and model, those of them that fall into the cell's part of the draws; without `n` the sum of
+    the part's weights. A cell comes with its model, the number its random numbers are made from, and where its part begins in
+    the whole sum of its weights (NULL: the part is the whole). All is local to this function, so it ships to workers by value.
     """
-    cell = Window.partitionBy("cell", "model_name")
-    before = F.sum("total").over(cell.orderBy("part")) - F.col("total")
-    placed = sums.withColumns({"_before": before, "_whole": F.sum("total").over(cell)})
-    each = placed.withColumn("pick", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    numbered = with_numbers(each, _coarse=("cell_seed", "pick", 0), _fine=("cell_seed", "pick", 1))
-    share = (F.col("_coarse") + uniform("_fine")) / float(MODULUS)
-    kind = sums.schema["total"].dataType
-    at = F.least(F.floor(share * F.col("_whole")).cast(kind), F.col("_whole") - 1) - F.col("_before")
-    return numbered.withColumn("at", at).where((F.col("at") >= 0) & (F.col("at") < F.col("total"))).select("cell", "model_name", "part", "cell_seed", "pick", "at")
-
-
-def conditional_draws(design: DataFrame, fixed: DataFrame, random: DataFrame, n=100, seed=0, draws_at_most=WEIGHT_DRAWS) -> DataFrame:
+    keys, shared, coefficients = list(MODEL_CELL), [*PARTICIPANT, "model_name", "part"], list(_COEFFICIENTS)
+    one, block, prime = float(1 << WEIGHT_BITS), BUCKET_PICKS, MODULUS
+    kinds = {k: pa.float64() if k == "stim" else pa.string() for k in keys}
+    if n is None:
+        kinds |= {"part": pa.int32(), "total": pa.int64()}
+    else:
+        kinds |= {"draw_id": pa.int64(), "hu": pa.float64(), "mu": pa.float64(), "pick": pa.int32(), "pred": pa.float64(), "again": pa.bool_()}
+    schema = pa.schema(list(kinds.items()))
+
+    def scrambled(number, pick, stream):
+        """As `with_numbers` makes them in three rounds."""
+        for k, step in enumerate((pick, stream, 0)):
+            number = (number + np.uint64(step) * np.uint64(48_271 + 16_807 * k) + np.uint64(12_345 if k == 2 else 0)) % np.uint64(prime)
+            square = number * number % np.uint64(prime)
+            number = square * square % np.uint64(prime) * number % np.uint64(prime)
+        return number.astype(float)
+
+    def uniform_of(number):
+        return (number + 0.5) / float(prime)
+
+    def codes(draws, cells):
+        """The same number for rows of the same participant, model and part."""
+        code, size = np.zeros(draws.num_rows + cells.num_rows, dtype=np.int64), 1
+        for k in shared:
+            known = pa.chunked_array([*draws[k].chunks, *cells[k].chunks]).combine_chunks().dictionary_encode()
+            if size * len(known.dictionary) >= 1 << 62:
+                code = np.unique(code, return_inverse=True)[1]
+                size = len(code)
+            code, size = code * len(known.dictionary) + known.indices.to_numpy(), size * len(known.dictionary)
+        return code[: draws.num_rows], code[draws.num_rows :]
+
+    def places(share, sums, whole, before, total):
+        """Where the picks of each cell fall inside its part, -1 outside. `sums`: of the weights of the part."""
+        at = np.minimum(np.floor(share * sums[:, None].astype(float)).astype(np.int64), sums[:, None] - 1)
+        for i in (i for i, w in enumerate(whole) if w is not None):
+            # Whole sums may not fit 64 bits. Another machine may have added up the last bit of this part otherwise.
+            inside = (min(int(p), int(whole[i]) - 1) - int(before[i]) for p in np.floor(share[i] * float(whole[i])))
+            at[i] = [min(p, int(sums[i]) - 1) if 0 <= p < int(total[i]) else -1 for p in inside]
+        return at
+
+    def run(draws, cells):
+        own, wanted = codes(draws, cells)
+        ids, seeds, stim, shown = draws["draw_id"].to_numpy(), cells["cell_seed"].to_numpy().astype(np.uint64), cells["stim"].to_numpy(), cells["shown"].to_numpy()
+        order = np.lexsort((ids, own))
+        own, ids = own[order], ids[order]
+        values = {c: draws[c].to_numpy()[order] for c in [*coefficients, "sigma"]}
+        first = np.searchsorted(own, wanted, side="left")
+        lengths = np.searchsorted(own, wanted, side="right") - first
+        known = np.flatnonzero(lengths)
+        borders = np.cumsum(np.maximum(lengths[known], n or 0)) // block
+        out = [[] for _ in range(1 + len(schema) - len(keys))]
+        for these in np.split(known, np.flatnonzero(np.diff(borders)) + 1):
+            # A row for each draw of each cell, cell after cell.
+            ends = np.cumsum(lengths[these])
+            cell = np.repeat(these, lengths[these])
+            draw = np.arange(len(cell)) + np.repeat(first[these] - (ends - lengths[these]), lengths[these])
+
+            def predictor(kind, cell, draw):
+                b, x = [values[f"{kind}{k}"][draw] for k in range(4)], stim[cell]
+                return b[0] + b[1] * x + (b[2] + b[3] * x) * shown[cell]
+
+            hu = 1 / (1 + np.exp(-predictor("h", cell, draw)))
+            weight = np.where(hu <= 1, np.floor((1 - hu) * one), 0).astype(np.int64)
+            # The sums of all cells end to end, so that one search does; a draw without weight is never found.
+            upto = np.cumsum(weight)
+            stops = upto[ends - 1] if len(these) else ends
+            starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
+            some = stops > starts
+            these, starts, sums = these[some], starts[some], (stops - starts[: len(stops)])[some]
+            if n is None:
+                columns = these, cells["part"].to_numpy()[these], sums
+            else:
+                coarse, fine, one_, two = (scrambled(seeds[these][:, None], np.arange(1, n + 1), k) for k in range(4))
+                share = (coarse + uniform_of(fine)) / float(prime)
+                at = places(share, sums, *(cells[c].take(pa.array(these)).to_pylist() for c in ("whole", "before", "total")))
+                here = np.flatnonzero(at.ravel() >= 0)
+                found = np.searchsorted(upto, (at + starts[:, None]).ravel()[here], side="right")
+                again = np.ones(len(found), dtype=bool)
+                again[np.unique(found, return_index=True)[1]] = False
+                noise = (np.sqrt(-2 * np.log(uniform_of(one_))) * np.cos(2 * np.pi * uniform_of(two))).ravel()[here]
+                cell, draw = cell[found], draw[found]
+                mu = predictor("m", cell, draw)
+                columns = cell, ids[draw], hu[found], mu, here % n + 1, mu + values["sigma"][draw] * noise, again
+            for held, column_ in zip(out, columns):
+                held.append(column_)
+        cell, *columns = (np.concatenate(x) for x in out)
+        found = [cells[k].take(pa.array(cell)) for k in keys] + [pa.array(x, from_pandas=True) for x in columns]
+        return pa.table(found, names=schema.names).cast(schema)
+
+    def apply(draws, cells):
+        if not draws.num_rows or not cells.num_rows:
+            return schema.empty_table()
+        with np.errstate(all="ignore"):
+            return run(draws, cells)
+
+    names = {pa.string(): "string", pa.float64(): "double", pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean"}
+    return apply, ", ".join(f"{field.name} {names[field.type]}" for field in schema)
+
+
+def conditional_draws(
+    design: DataFrame, fixed: DataFrame, random: DataFrame, n=100, seed=0, part_draws=PART_DRAWS, bucket_draws=BUCKET_DRAWS, bucket_picks=BUCKET_PICKS
+) -> DataFrame:
     """`n` sampled responses per cell given that the hurdle was passed; negative ones are kept.
 
     Draws are picked with replacement, with weight 1 - hu, as whole numbers of 2 ** -40: the draws of a cell lie end to end in
-    a sum of weights, and n random places in it are located by one ordered merge of draws and places. It costs the same
-    however rarely the hurdle is passed; only a cell whose draws all have 1 - hu below 2 ** -40 gets no rows, which
-    `checked_size` tells. The draws of a very large cell are dealt over parts, each with a sum of its own.
+    a sum of weights, and n random places in it are located. It costs the same however rarely the hurdle is passed; only a cell
+    whose draws all have 1 - hu below 2 ** -40 gets no rows, which `checked_size` tells. `again`: an earlier row of the cell has
+    the same draw.
+
+    The draws are shuffled once, to buckets of participants, and scored there for a few cells at a time: a scored row never
+    leaves its task. A participant with more than `part_draws` draws is cut into parts at approximate quantiles of the draws,
+    each a stretch of the sum of weights; those participants alone are scored once more beforehand, to tell how long the
+    stretches are. The picks are the same however the draws are cut.
     """
-    cells = materialize(design.select(*DESIGN).distinct().withColumn("cell", F.monotonically_increasing_id()))
-    many = random.groupBy(*PARTICIPANT, "model_name").count().where(F.col("count") > draws_at_most).isEmpty()
-    weight = F.floor((1.0 - F.col("hu")) * float(1 << WEIGHT_BITS)).cast("long" if many else "decimal(38,0)")
-    scored = score_draws(cells, fixed, random, salt="part").withColumn("weight", weight).where(F.col("weight") > 0)
-    keys = ["cell", "model_name", "part"]
-    sums = scored.groupBy(*MODEL_CELL, *[k for k in keys if k not in MODEL_CELL]).agg(F.sum("weight").alias("total"))
-    sums = materialize(with_seed(sums, seed, "conditional").select(*keys, "cell_seed", "total"))
-    upto = F.sum("weight").over(Window.partitionBy(*keys).orderBy("draw_id"))
-    held = F.struct("draw_id", "mu", "sigma", "hu")
-    kinds = {f.name: f.dataType for f in sums.schema.fields}
-    rows = scored.withColumn("at", (upto - F.col("weight")).cast(kinds["total"])).select(*keys, "at", F.lit(None).cast("int").alias("pick"), F.lit(None).cast("long").alias("cell_seed"), held.alias("draw"))
-    places = _picks(sums, n).select(*keys, F.col("at").cast(kinds["total"]), "pick", "cell_seed", F.lit(None).cast(rows.schema["draw"].dataType).alias("draw"))
-    merged = Window.partitionBy(*keys).orderBy("at", F.col("pick").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = rows.unionByName(places).withColumn("draw", F.last("draw", ignorenulls=True).over(merged)).where(F.col("pick").isNotNull())
-    numbered = with_numbers(found.select(*keys, "pick", "cell_seed", "draw.*"), _first=("cell_seed", "pick", 2), _second=("cell_seed", "pick", 3))
-    sampled = numbered.withColumn("pred", F.col("mu") + F.col("sigma") * normal("_first", "_second"))
-    named = lookup_join(sampled, cells, ["cell"], "inner", stored=True)
-    return named.select(*MODEL_CELL, "draw_id", "hu", "mu", "pick", "pred")
+    sizes = materialize(random.groupBy(*PARTICIPANT, "model_name").agg(F.count(F.lit(1)).alias("_rows")))
+    heavy = sizes.groupBy(*PARTICIPANT).agg(F.sum("_rows").alias("_rows")).where(F.col("_rows") > part_draws)
+    largest = heavy.agg(F.max("_rows")).first()[0] or 0
+    cells = design.select(*DESIGN).distinct().join(sizes.drop("_rows"), PARTICIPANT).withColumn("shown", (F.col("cond") == "present").cast("double"))
+    cells = cells.where(F.col("stim").isNotNull() & F.col("shown").isNotNull())
+    buckets = max(1, (sizes.agg(F.sum("_rows")).first()[0] or 0) // bucket_draws, cells.count() * n // bucket_picks)
+    coefficients = [F.expr(x).alias(c) for c, x in _COEFFICIENTS.items()]
+    own = random.join(fixed, ["draw_id", *FIT]).select(*PARTICIPANT, "model_name", "draw_id", "sigma", *coefficients)
+    if largest:
+        cuts = ceil(largest / part_draws)
+        bounds = F.percentile_approx("draw_id", [i / cuts for i in range(1, cuts)], 10 * max(cuts, 1000)).alias("_bounds")
+        parts = materialize(lookup_join(random, heavy, PARTICIPANT, "inner").groupBy(*PARTICIPANT).agg(bounds))
+        part = F.size(F.filter("_bounds", lambda bound: bound < F.col("draw_id")))
+        own = lookup_join(own, parts, PARTICIPANT, stored=True).withColumn("part", F.when(F.col("_bounds").isNull(), 0).otherwise(part))
+        each = F.sequence(F.lit(0), F.coalesce(F.array_size("_bounds"), F.lit(0)))
+        cells = lookup_join(cells, parts, PARTICIPANT, stored=True).withColumn("part", F.explode(each))
+    else:
+        own, cells = own.withColumn("part", F.lit(0)), cells.withColumn("part", F.lit(0))
+    cells = with_seed(cells, seed, "conditional")
+    alone = {c: F.lit(None).cast("decimal(38,0)") for c in ("total", "before", "whole")}
+    if not largest:
+        return _by_bucket(own, cells.withColumns(alone), buckets, n)
+    large = F.col("_bounds").isNotNull()
+    sums = _by_bucket(own.where(large).drop("_bounds"), cells.where(large).drop("_bounds").withColumns(alone), buckets)
+    sums = sums.withColumn("total", F.col("total").cast("decimal(28,0)"))
+    whole = Window.partitionBy(*MODEL_CELL)
+    stretches = {"before": F.sum("total").over(whole.orderBy("part")) - F.col("total"), "whole": F.sum("total").over(whole)}
+    located = null_safe_join(cells, materialize(sums.withColumns(stretches)), [*MODEL_CELL, "part"], "left")
+    return _by_bucket(own.drop("_bounds"), located.drop("_bounds"), buckets, n)
+
+
+def _by_bucket(own, cells, buckets, n=None):
+    """Draws and cells of the same participants and parts together, in a fixed number of partitions: adaptive execution would
+    merge the small inputs, whose output is large."""
+    bucket = F.pmod(F.xxhash64(*PARTICIPANT, "part"), F.lit(buckets)).alias("bucket")
+    partitions = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # `toDF` gives the columns of both sides, which partly come from the same table, identities of their own.
+    left, right = (df.toDF(*df.columns).select("*", bucket).repartition(partitions, "bucket").groupBy("bucket") for df in (own, cells))
+    return left.cogroup(right).applyInArrow(*_conditional(n))
 
 
 def checked_size(counted: DataFrame, n, name="n") -> DataFrame:

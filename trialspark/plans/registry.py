@@ -439,7 +439,7 @@ def _conditional(spark, sf):
 def conditional_draws(spark, sf):
     """Conditional samples of every cell, summarised."""
     cells = _conditional(spark, sf).groupBy(*draws.MODEL_CELL).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("draw_id").alias("n_draws"), F.avg("pred").alias("pred"), F.avg("hu").alias("hu")
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("again")).alias("n_draws"), F.avg("pred").alias("pred"), F.avg("hu").alias("hu")
     )
     return rounded(draws.checked_size(cells, 100))
 
