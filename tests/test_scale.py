@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialspark.operators import draws, exclude, joins, ranking, summarise
-from trialspark.plans import fixtures
+from trialspark.plans import fixtures, registry
 from trialspark.plans.registry import QUERIES
 
 
@@ -134,3 +134,10 @@ def test_a_large_top_n_is_cut_per_salted_key(spark):
     assert got == {0: 1500, 1: 1500, 2: 1500}
     want = rows.withColumn("h", F.md5(F.concat_ws("|", F.lit("2"), F.lit("sample"), F.col("id").cast("string")).cast("binary"))).where("k = 0").orderBy("h", "id").limit(1500)
     assert picked.where("k = 0").join(want, "id", "left_anti").count() == 0
+
+
+def test_picks_of_one_model_alone(spark, small_dir):
+    """The draws of a model are picked the same with and without those of the other models."""
+    alone, all_models = (registry._conditional(spark, small_dir, model).where("model_name = 'full'") for model in ("full", None))
+    rows = sorted(map(str, alone.collect()))
+    assert rows and rows == sorted(map(str, all_models.collect()))

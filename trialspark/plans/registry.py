@@ -431,8 +431,11 @@ def predicted_effect(spark, sf):
     return rounded(effects.effect_table(shown, "response_pred", unit, [*CONDITION, "model_name"]))
 
 
-def _conditional(spark, sf):
-    return draws.conditional_draws(fx.design(spark, sf), fx.draws_fixed(spark, sf), fx.draws_random(spark, sf), 100, seed=5)
+def _conditional(spark, sf, model=None):
+    """The picks of every model, or of one, whose draws alone are then shuffled."""
+    random = fx.draws_random(spark, sf)
+    random = random if model is None else random.where(F.col("model_name") == model)
+    return draws.conditional_draws(fx.design(spark, sf), fx.draws_fixed(spark, sf), random, 100, seed=5)
 
 
 @query
@@ -454,7 +457,7 @@ def perceived_contrast_effect(spark, sf):
 @query
 def perceived_vs_observed_effect(spark, sf):
     """Predicted and observed effects on non-zero reproductions, stacked."""
-    return rounded(effects.perceived_vs_observed(frame.model_frame(fx.trials(spark, sf)), _conditional(spark, sf)))
+    return rounded(effects.perceived_vs_observed(frame.model_frame(fx.trials(spark, sf)), _conditional(spark, sf, "full")))
 
 
 @query
