@@ -246,3 +246,22 @@ def test_fit_in_sql_equals_dense_fit():
     for key, rows in groups[:3]:
         for model, with_cond in (("simple", False), ("full", True)):
             agrees_with_dense(fits.loc[(*key, model)], rows, with_cond, 0.02)
+
+
+def test_participants_of_a_fit_are_not_broadcast(spark, monkeypatch):
+    """However few they are: the broadcasts of all iterations would add up in the driver. Rows of fits may be."""
+    rows = [("exp1", f"{k % 4:03}" if k % 4 else None, "cue", ("control", "present")[k % 2], "low", 0.02 + k % 3 / 50, (k % 5) / 20.0) for k in range(240)]
+    table = spark.createDataFrame(rows, "experiment string, participant string, bias_source string, cond string, contrast_level string, stim double, response double")
+    plans, stored = [], fitting._stored
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(fitting, "_stored", recorded)
+    assert fitting.fit_hurdle(table, max_iter=3).count() == 4
+    later = plans[-2:]
+    assert all("u_intercept" in p and p.count("SortMergeJoin") >= 1 for p in later)
+    monkeypatch.undo()
+    effects, _ = fitting.fit_parts(stored(fitting._numbered(fitting.hurdle_cells(table))), max_iter=2)
+    assert effects.count() == 4 * 4 and effects.where("participant IS NULL").count() == 4

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..schema import PARTICIPANT
 from ..session import scratch_path
-from .joins import null_safe_join
+from .joins import BROADCAST_ROWS, null_safe_join
 
 GROUP = ["experiment", "bias_source"]
 PART = [*GROUP, "kind", "with_cond"]
@@ -41,6 +41,24 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _numbered(cells: DataFrame) -> DataFrame:
+    """The cells with a number for their participant and part, `person`. Joined and summed by this one key, which is never
+    missing, the cells move once in an iteration."""
+    people = _stored(cells.select(*PERSON).distinct().withColumn("person", F.monotonically_increasing_id()))
+    return null_safe_join(cells, people.hint("merge"), PERSON)
+
+
+def _by_person(cells: DataFrame, effects: DataFrame) -> DataFrame:
+    """The cells with what is known of their participant. Participants never pass through the driver, however few there are:
+    a broadcast in every iteration would add up."""
+    return cells.join(effects.select("person", *BETA, "u_intercept", "u_cond").hint("merge"), "person")
+
+
+def _by_fit(people: DataFrame, fits: DataFrame, small: bool) -> DataFrame:
+    """Rows of participants with those of their fits, of which there are few; Spark is told so, lest it broadcasts the participants."""
+    return null_safe_join(people, F.broadcast(fits) if small else fits.hint("merge"), PART)
+
+
 def hurdle_cells(frame: DataFrame) -> DataFrame:
     """Sufficient counts and sums per participant, condition and stimulus, once for each part: `kind` hu or mu, `with_cond`."""
     cells = frame.where("response IS NOT NULL").groupBy(*PARTICIPANT, "cond", "stim").agg(
@@ -64,12 +82,12 @@ def _moments(rows: DataFrame) -> DataFrame:
     terms = {"w": "weight", "s": "weight * stim", "q": "weight * stim * stim", "z": "weight * target", "zs": "weight * target * stim"}
     sums = [F.expr(f"sum({x} * {on}) AS {k}{mark}") for mark, on in (("", "1"), ("1", "c")) for k, x in terms.items()]
     fit = f"sum(CASE kind WHEN 'hu' THEN {ZERO_LOGLIK} ELSE {RESIDUAL} END) AS fit"
-    return rows.groupBy(*PERSON).agg(*sums, F.expr(fit), F.expr("sum(CASE kind WHEN 'hu' THEN n ELSE passed END) AS size"))
+    return rows.groupBy("person", *PERSON).agg(*sums, F.expr(fit), F.expr("sum(CASE kind WHEN 'hu' THEN n ELSE passed END) AS size"))
 
 
-def _blocks(moments: DataFrame, state: DataFrame) -> DataFrame:
+def _blocks(moments: DataFrame, state: DataFrame, small: bool) -> DataFrame:
     """Adds the inverse of each participant's own 2 x 2 block, the logarithm of the block's determinant, and the precision."""
-    blocks = null_safe_join(moments, state.drop("old", "s2", "used"), PART).withColumn("_t", F.expr("t11 * t22 - t12 * t12"))
+    blocks = _by_fit(moments, state.drop("old", "s2", "used"), small).withColumn("_t", F.expr("t11 * t22 - t12 * t12"))
     blocks = blocks.withColumns({"p11": F.expr("t22 / _t"), "p12": F.expr("-t12 / _t"), "p22": F.expr("t11 / _t")})
     blocks = blocks.withColumn("_det", F.expr("(w + p11) * (w1 + p22) - (w1 + p12) * (w1 + p12)"))
     found = {"v11": "(w1 + p22) / _det", "v12": "-(w1 + p12) / _det", "v22": "(w + p11) / _det", "block_logdet": "ln(_det)", "cov_logdet": "ln(_t)"}
@@ -116,7 +134,7 @@ def _solve(blocks: DataFrame) -> DataFrame:
     return systems.mapInPandas(solve, schema + ", ".join(f"{b} double" for b in [*BETA, "schur_logdet"]))
 
 
-def _effects(blocks: DataFrame, beta: DataFrame, state: DataFrame) -> DataFrame:
+def _effects(blocks: DataFrame, beta: DataFrame, state: DataFrame, small: bool) -> DataFrame:
     """Participant effects given the common coefficients, the parameters they effectively use, and how the fit moved.
 
     `total` is the log likelihood the moments were taken at and `change` the relative change of the deviance; unlike a
@@ -131,11 +149,11 @@ def _effects(blocks: DataFrame, beta: DataFrame, state: DataFrame) -> DataFrame:
             "s2": F.expr("CASE kind WHEN 'hu' THEN 1D ELSE (fit + _s2 * used) / size END"),
         }
     )
-    joined = null_safe_join(blocks.drop("fit", "size"), beta.drop("fit", "old", "_s2", "used"), PART)
+    joined = _by_fit(blocks.drop("fit", "size"), beta.drop("fit", "old", "_s2", "used"), small)
     rest = [f"{z} - ({' + '.join(f'{x} * {b}' for x, b in zip(row, BETA))})" for z, row in zip(_WZ, _WX)]
     joined = joined.withColumns({"_r0": F.expr(rest[0]), "_r1": F.expr(rest[1])})
     return joined.select(
-        *PERSON, *BETA, *COVARIANCE, "v11", "v12", "v22", "p11", "p12", "p22", "block_logdet", "cov_logdet", "schur_logdet", "s2", "total", "change",
+        "person", *PERSON, *BETA, *COVARIANCE, "v11", "v12", "v22", "p11", "p12", "p22", "block_logdet", "cov_logdet", "schur_logdet", "s2", "total", "change",
         F.expr("v11 * _r0 + v12 * _r1 AS u_intercept"),
         F.expr("v12 * _r0 + v22 * _r1 AS u_cond"),
         F.expr("2 - (p11 * v11 + 2 * p12 * v12 + p22 * v22) AS u_df"),
@@ -162,17 +180,17 @@ def fit_parts(cells: DataFrame, ridge=1.0, prior_people: float | None = 2.0, max
     fixed to that. An iteration is one stored table, so that the lineage does not grow, and reads the cells once. It
     ends when all fits have settled.
     """
-    effects, done = None, 0
+    effects, done, small = None, 0, cells.select(*PART).distinct().count() <= BROADCAST_ROWS
     while done < max_iter:
         if effects is None:
             rows = cells.withColumn("eta", F.lit(0.0))
             start = [f"{1 / ridge}D AS t11", "0D AS t12", f"{1 / ridge}D AS t22", "CAST(NULL AS DOUBLE) AS old", "1D AS s2", "0D AS used"]
             state = cells.select(*PART).distinct().select(*PART, *[F.expr(x) for x in start])
         else:
-            rows = null_safe_join(cells, effects.select(*PERSON, *BETA, "u_intercept", "u_cond"), PERSON).withColumn("eta", F.expr(PREDICTOR))
+            rows = _by_person(cells, effects).withColumn("eta", F.expr(PREDICTOR))
             state = _state(effects, ridge, prior_people)
-        blocks = _blocks(_moments(rows), state)
-        effects = _stored(_effects(blocks, _solve(blocks), state))
+        blocks = _blocks(_moments(rows), state, small)
+        effects = _stored(_effects(blocks, _solve(blocks), state, small))
         done += 1
         if effects.where(F.col("change") >= tol).isEmpty():
             break
@@ -191,9 +209,9 @@ def fit_hurdle(
     """
     if evidence not in ("laplace", "bic"):
         raise ValueError("evidence is laplace or bic")
-    cells = _stored(hurdle_cells(frame))
+    cells = _stored(_numbered(_stored(hurdle_cells(frame))))
     effects, done = fit_parts(cells, ridge, prior_people, max_iter, tol)
-    scored = null_safe_join(cells, effects.select(*PERSON, *BETA, "u_intercept", "u_cond"), PERSON).withColumn("eta", F.expr(PREDICTOR))
+    scored = _by_person(cells, effects).withColumn("eta", F.expr(PREDICTOR))
     scores = scored.groupBy(*PART).agg(F.expr(f"sum({ZERO_LOGLIK}) AS zero"), F.expr(f"sum({RESIDUAL}) AS rss"), F.expr("sum(n) AS trials"), F.expr("sum(passed) AS m"))
     shared = [*BETA, *COVARIANCE, "s2", "schur_logdet"]
     # A participant without a condition effect has one effect; the second row of its block is that of the prior alone.
