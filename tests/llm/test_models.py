@@ -1,5 +1,6 @@
 """Operators that learn: context trees, language ID, toxicity; and packing."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 from trialspark.llm import language, packing, toxicity
 from trialspark.llm.context_tree import END, Alphabet, Automaton, BITS, MASK, Model, escape_blend, grams, prior_blend, stream
 from trialspark.llm.queries import QUERIES
-from trialspark.llm.text import buffer
+from trialspark.llm.text import buffer, count_keys, slices
 
 from .conftest import folded
 
@@ -206,3 +207,21 @@ def test_encoder_equals_the_tokenizer():
     for text in ["a\x1cb", "  \n\n x", "it's I'll''d", "²³ 4½ µm", "é\x85  z", "日本 x", "\x00", "<|endoftext|> hi", "hello <|endoftext|> world", "<|endoftext |>", "ab" * 50_000, " " * 1_000_000 + "x", "👩‍👩‍👧 ١٢٣"]:
         assert encoder.encode(text).tolist() == slow.encode(text, add_special_tokens=False).ids
     assert 50256 in encoder.encode("hello <|endoftext|> world")
+
+
+def test_language_scores_in_small_slices():
+    """What a worker holds besides the automaton stays small however many texts a batch has."""
+    data = np.frombuffer(b"the cat sat on the mat. " * 170_000, np.uint8)
+    offsets = np.arange(0, len(data) + 1, 2400)
+    symbols, _ = stream(data[:24_000], offsets[:11])
+    keys, counts = count_keys(symbols)
+    totals = np.bincount(keys, counts, MASK + 1)
+    alphabet = Alphabet(totals, 2)
+    models = [Model([(keys, counts.astype(float))], alphabet, escape_blend, 24, 0.0) for _ in range(4)]
+    automaton = Automaton(models, alphabet)
+    tracemalloc.start()
+    parts = [automaton.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], False) for i, j in slices(offsets, language.SLICE_BYTES)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(parts) > 1 and peak < 60_000_000
+    assert np.allclose(np.concatenate(parts), automaton.score(data[: offsets[-1]], offsets, False))

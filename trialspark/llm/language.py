@@ -17,6 +17,8 @@ UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Bytes of evidence at which the score stops growing more certain.
 SCORE_BYTES = 64
+#: Bytes scored at once: with a number per byte and language, what a worker holds grows by some 60 bytes for each.
+SLICE_BYTES = 1 << 19
 
 
 def training_rows(docs: DataFrame, most_per_lang: int) -> DataFrame:
@@ -89,7 +91,7 @@ def identify(docs: DataFrame, langs: list[str], automaton: Automaton | None, kee
             lettered = np.fromiter((t.is_valid and LETTER.search(t.as_py()) is not None for t in texts), bool, len(texts))
             names, scores, rates = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts)), np.full(len(texts), np.nan)
             if automaton is not None:
-                for i, j in slices(offsets):
+                for i, j in slices(offsets, SLICE_BYTES):
                     bits = -automaton.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], False) / np.log10(2)
                     size = np.maximum(np.diff(offsets[i : j + 1]), 1)
                     best = bits.argmin(1)
