@@ -225,3 +225,27 @@ def test_language_scores_in_small_slices():
     tracemalloc.stop()
     assert len(parts) > 1 and peak < 60_000_000
     assert np.allclose(np.concatenate(parts), automaton.score(data[: offsets[-1]], offsets, False))
+
+
+def test_contexts_of_one_language_cost_no_rows_in_the_others():
+    """The automaton of unlike languages is little larger than its trees: a worker holds it beside what other stages left."""
+    alphabet, models = Alphabet(np.ones(MASK + 1), 1), []
+    for k in range(4):
+        data, offsets = buffer(pa.array(["".join(chr(97 + 6 * k + (i * i + j * i) % 6) for i in range(300)) for j in range(9)]))
+        keys, counts = np.unique(grams(stream(data, offsets)[0], 3), return_counts=True)
+        by_depth = []
+        for d in range(4):
+            short, where = np.unique(keys & ((1 << (BITS * (d + 1))) - 1), return_inverse=True)
+            by_depth.append((short, np.bincount(where, counts, len(short)).astype(float)))
+        models.append(Model(by_depth, alphabet, escape_blend, 1, 0.0))
+    together = Automaton(models, alphabet)
+    assert together.logs.size == sum(int(kept.sum()) for model in models for kept in model.kept) * together.size
+    data, offsets = buffer(pa.array([*TEXTS, "ghighi mno", "stuvw"]))
+    apart = [Automaton([model], alphabet).score(data, offsets)[:, 0] for model in models]
+    assert np.allclose(together.score(data, offsets), np.stack(apart, axis=1), rtol=1e-6)
+
+
+def test_packing_loads_the_tokenizer_only_where_it_is_needed():
+    encoder = packing.Encoder(packing.RANKS, packing.TOKENIZER)
+    encoder.encode("plain words")
+    assert encoder.tokenizer is None and encoder.encode("hello <|endoftext|> world").tolist() == tokenizer().encode("hello <|endoftext|> world").ids

@@ -144,7 +144,11 @@ class Alphabet:
 
 
 class Automaton:
-    """The trees of one or more models in one automaton: `step` and, per model, the log10 probability of each symbol."""
+    """The trees of one or more models in one automaton: `step` and, per model, the log10 probability of each symbol.
+
+    A state without a context of its own in a model shares the row of the longest one that ends it: `row` tells where in
+    `logs` the row of a state and model begins, so a context that only one model has costs no row in the others.
+    """
 
     def __init__(self, models, alphabet):
         depth = len(models[0].codes) - 1
@@ -154,19 +158,21 @@ class Automaton:
         first = np.r_[0, np.cumsum([len(s) for s in states])]
         a, n = alphabet.size, int(first[-1])
         step = np.zeros((n, a), dtype=np.int32)
-        logs = np.zeros((n, a, len(models)), dtype=np.float32)
+        row, logs, held = np.zeros((n, len(models)), dtype=np.int32), [], 0
         for d in range(depth + 1):
             rows = slice(first[d], first[d + 1])
             if d:
                 fail = first[d - 1] + np.searchsorted(states[d - 1], states[d] & ((1 << (BITS * (d - 1))) - 1))
-                step[rows], logs[rows] = step[fail], logs[fail]
+                step[rows], row[rows] = step[fail], row[fail]
             if d < depth:
                 parent = first[d] + np.searchsorted(states[d], states[d + 1] >> BITS)
                 step[parent, states[d + 1] & MASK] = first[d + 1] + np.arange(len(states[d + 1]))
             for k, m in enumerate(models):
                 at = m._find(d, states[d])
                 own = np.flatnonzero((at >= 0) & m.kept[d][np.maximum(at, 0)]) if len(m.codes[d]) else np.zeros(0, np.int64)
-                logs[first[d] + own, :, k] = np.log10(m.probs[d][at[own]])
+                row[first[d] + own, k] = held + np.arange(len(own))
+                logs.append(np.log10(m.probs[d][at[own]]).astype(np.float32))
+                held += len(own)
         start, code = 0, 0
         for d in range(1, depth + 1):
             code = code << BITS | alphabet.end
@@ -175,17 +181,18 @@ class Automaton:
                 break
             start = int(first[d] + at)
         step[:, alphabet.end] = start
+        logs = np.concatenate(logs)
         if alphabet.shared:
             logs[:, alphabet.rare] -= np.float32(np.log10(alphabet.shared))
         self.depth, self.size, self.start, self.n_states = depth, a, start, n
         self.of = alphabet.of.astype(np.int32)
         self.end = alphabet.end
-        self.step, self.logs = step.ravel(), logs.reshape(n * a, len(models))
+        self.step, self.row, self.logs = step.ravel(), np.ascontiguousarray(row.T) * np.int32(a), logs.ravel()
 
     def score(self, data, offsets, with_end=True):
         """log10 probability of each text under each model: (texts, models)."""
         symbols, ends = stream(data, offsets)
-        n, k = len(symbols), self.logs.shape[1]
+        n, k = len(symbols), len(self.row)
         if not n:
             return np.zeros((0, k))
         # Pieces of the stream advance side by side. A state follows from the last `depth` symbols alone, so each piece
@@ -196,16 +203,19 @@ class Automaton:
         padded[self.depth : self.depth + n] = self.of[symbols]
         side = np.lib.stride_tricks.as_strided(padded, (columns, rows + self.depth), (padded.itemsize * rows, padded.itemsize))
         side = np.ascontiguousarray(side.T)
-        out = np.empty((rows, columns, k), dtype=np.float32)
+        out = np.empty((k, rows, columns), dtype=np.float32)
         state = np.full(columns, self.start, dtype=np.int32)
         at = np.empty(columns, dtype=np.int32)
         for t in range(rows + self.depth):
+            if t >= self.depth:
+                for own, logs in zip(self.row, out, strict=True):
+                    np.take(own, state, out=at, mode="clip")
+                    at += side[t]
+                    np.take(self.logs, at, out=logs[t - self.depth], mode="clip")
             np.multiply(state, self.size, out=at)
             at += side[t]
             np.take(self.step, at, out=state, mode="clip")
-            if t >= self.depth:
-                np.take(self.logs, at, axis=0, out=out[t - self.depth], mode="clip")
-        flat = np.ascontiguousarray(out.transpose(1, 0, 2)).reshape(rows * columns, k)[:n]
+        flat = out.transpose(0, 2, 1).reshape(k, rows * columns)[:, :n]
         if not with_end:
-            flat[ends] = 0
-        return np.add.reduceat(flat, np.r_[0, ends[:-1] + 1], axis=0, dtype=np.float64)
+            flat[:, ends] = 0
+        return np.add.reduceat(flat, np.r_[0, ends[:-1] + 1], axis=1, dtype=np.float64).T

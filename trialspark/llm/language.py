@@ -18,7 +18,7 @@ LETTER = regex.compile(r"\p{L}")
 #: Bytes of evidence at which the score stops growing more certain.
 SCORE_BYTES = 64
 #: Bytes scored at once: with a number per byte and language, what a worker holds grows by some 60 bytes for each.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 
 
 def training_rows(docs: DataFrame, most_per_lang: int) -> DataFrame:

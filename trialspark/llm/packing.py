@@ -22,20 +22,26 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def added_tokens(tokenizer: str) -> list[str]:
+    """The strings of the tokenizer's added tokens."""
+    return [token.content for token in Tokenizer.from_file(tokenizer).get_added_tokens_decoder().values()]
+
+
 class Encoder:
     """Token ids of whole texts, those of the tokenizer as its file describes it.
 
     The rank file holds the vocabulary of the tokenizer file, and the ids are the same (the tests compare them); ranks take
     a third of the time. A text that holds the string of one of the tokenizer's added tokens, which the ranks lack, goes to
-    the tokenizer itself, and so does one on which the splitting rule gives up (very long blanks).
+    the tokenizer itself, and so does one on which the splitting rule gives up (very long blanks). The tokenizer takes more
+    memory than the ranks, so it is loaded for the first such text only. `added`: its added tokens, if known already.
     """
 
-    def __init__(self, ranks: str, tokenizer: str):
+    def __init__(self, ranks: str, tokenizer: str, added: list[str] | None = None):
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.tokenizer = tokenizer, None
+        self.added = added_tokens(tokenizer) if added is None else added
 
     def encode(self, text: str) -> np.ndarray:
         if not any(token in text for token in self.added):
@@ -43,6 +49,7 @@ class Encoder:
                 return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
             except ValueError:
                 pass
+        self.tokenizer = self.tokenizer or Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
@@ -64,10 +71,10 @@ def pack(docs: DataFrame, ranks=RANKS, tokenizer=TOKENIZER, size=SIZE, with_ids=
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     schema = pa.schema(fields + ([("ids", pa.binary())] if with_ids else []))
     spec = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else "")
-    end = np.array([END], dtype="<u4").tobytes()
+    end, added = np.array([END], dtype="<u4").tobytes(), added_tokens(tokenizer)
 
     def task(parts):
-        encoder = Encoder(ranks, tokenizer)
+        encoder = Encoder(ranks, tokenizer, added)
         number = TaskContext.get().partitionId() << 34
         for part in parts:
             for i in range(0, len(part), 256):
