@@ -1,5 +1,7 @@
 """Token files: exact round trips of the code, the files, and ids equal to the tokenizer's."""
 
+import cProfile
+import pstats
 import zlib
 
 import numpy as np
@@ -52,6 +54,25 @@ def test_encoder_equals_the_tokenizer():
     assert all(len(p) <= encoder.LONG for p in encoder.young)
 
 
+def test_encoder_makes_no_call_per_word():
+    """Words are split, told apart and remembered many at once, the words of later texts too."""
+    encoder, plain = tf.Encoder(tf.TOKENIZER), Tokenizer.from_file(tf.TOKENIZER)
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(30_000)]
+    texts = [" ".join(words), ", ".join(w.capitalize() for w in words[::-1])]
+    profile = cProfile.Profile()
+    found = profile.runcall(lambda: [encoder.encode([t])[0] for t in texts])
+    assert pstats.Stats(profile).total_calls < 10_000
+    assert found == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(set(encoder.young)) == len(encoder.young) == len(words)
+
+
+def test_encoder_on_every_small_character():
+    encoder, plain = tf.Encoder(tf.TOKENIZER), Tokenizer.from_file(tf.TOKENIZER)
+    texts = [f"{a}{chr(c)}{b}" for c in range(256) for a in ("", "x", "É", ".") for b in ("", "Q", ".", "',")]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want and encoder.encode(texts[::-1]) == want[::-1]
+
+
 def brute(rows):
     """rows: (doc_id, text); ordered as the files are."""
     plain, out, start = Tokenizer.from_file(tf.TOKENIZER), [], 0

@@ -15,19 +15,20 @@ All numbers are little-endian. Any block can be decoded alone from its offset, a
 """
 
 import os
+import re
 import zlib
-from array import array
-from itertools import compress
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from .storage import store
+from .text import slices
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 1
@@ -133,77 +134,120 @@ def decode(words, words_of, ids_of, escapes):
     return out
 
 
+def gather(values, ends, chosen):
+    """The runs `chosen` of `values`, which end at `ends`, one after another, and the length of each."""
+    lengths = np.diff(ends, prepend=0)[chosen]
+    upto = np.cumsum(lengths)
+    return values[np.repeat(ends[chosen] - upto, lengths) + np.arange(upto[-1] if len(upto) else 0)], lengths
+
+
+def joined(runs):
+    """(values, ends) of several (values, ends) one behind another."""
+    before = np.cumsum([0, *(len(values) for values, _ in runs)])
+    return np.concatenate([values for values, _ in runs]), np.concatenate([ends + k for (_, ends), k in zip(runs, before, strict=False)])
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizer, as bytes of little-endian unsigned 32-bit integers.
+    """Ids of whole texts by the tokenizer.
 
     This kind of tokenizer drops white space, never looks across a space, ignores case, and cuts between a letter and a
     punctuation mark. So the ids of a text are those of its pieces between spaces, and of a word with marks behind it those
-    of the word and of the marks. Pieces seen before are remembered, in two generations of `REMEMBERED` at most: what is
-    still in use moves on to the young one before the old one is dropped. New words of letters alone are lower-cased and
-    tokenized many at once, told apart by the tokens that end a word, without the tokenizer's own normalizing and splitting,
-    which change nothing on such words; all other pieces take the tokenizer as it is.
+    of the word and of the marks. Texts are split by Arrow and every distinct piece of a call is looked at once. Words of
+    letters are lower-cased; the last `REMEMBERED` of them are remembered between calls, those in use for longest. New ones
+    are tokenized many at once, told apart by the tokens that end a word, without the tokenizer's own normalizing and
+    splitting, which change nothing on such words; all other pieces take the tokenizer as it is.
     """
 
     REMEMBERED, LONG, AT_ONCE = 400_000, 64, 1024
     #: Left out: the apostrophe, which may belong to the word, and the marks of special tokens.
     MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+    #: Letters below U+0100, then marks.
+    WORD = "^(?P<word>[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<tail>[" + re.escape(MARKS) + "]*)$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks already use all cores
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {"": b""}, {}
-        self.of_words = Tokenizer.from_file(path)
+        self.tokenizer, self.of_words = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.of_words.normalizer = normalizers.Sequence([])
         self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known, self.known_ids = pa.array([], pa.large_string()), (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+    @property
+    def young(self) -> list[str]:
+        """The words remembered."""
+        return self.known.to_pylist()
+
+    def _new(self, words):
+        """(ids, where those of each word end) of lower-case words of letters below U+0100."""
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        starts = np.append(np.arange(0, len(words), self.AT_ONCE), len(words))
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words.cast(pa.string())), " ")
+        ids = np.concatenate([np.array(self.of_words.encode_batch_fast([line.as_py()], add_special_tokens=False)[0].ids, "<u4") for line in lines])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError(f"{len(words)} words have {len(ends)} ends")
+        return ids, ends
 
     def _words(self, words):
-        """Ids of lower-case words of letters below U+0100."""
-        out = []
-        for i in range(0, len(words), self.AT_ONCE):
-            ids = np.array(self.of_words.encode_batch_fast([" ".join(words[i : i + self.AT_ONCE])], add_special_tokens=False)[0].ids, "<u4")
-            raw, ends = ids.tobytes(), ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
-            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        return dict(zip(words, out, strict=True))
+        """The same of any lower-case words, which differ from each other; the new ones are remembered."""
+        at = pc.index_in(words, self.known)
+        new = pc.is_null(at)
+        fresh = words.filter(new)
+        old, place = len(self.known), at.fill_null(0).to_numpy().astype(np.int64)
+        place[new.to_numpy(zero_copy_only=False)] = old + np.arange(len(fresh))
+        known, found = pa.concat_arrays([self.known, fresh]), joined([self.known_ids, self._new(fresh)])
+        # Those used now go behind the others, and the first are forgotten.
+        used = np.zeros(len(known), dtype=bool)
+        used[place] = True
+        short = pc.less_equal(pc.utf8_length(known), self.LONG).to_numpy(zero_copy_only=False)
+        kept = np.concatenate([np.flatnonzero(~used & short), np.flatnonzero(used & short)])[-self.REMEMBERED :]
+        self.known = known.take(pa.array(kept))
+        ids, lengths = gather(*found, kept)
+        self.known_ids = ids, np.cumsum(lengths)
+        ids, lengths = gather(*found, place)
+        return ids, np.cumsum(lengths)
 
     def _whole(self, pieces):
-        """Ids of any pieces."""
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {piece: array("I", x.ids).tobytes() for piece, x in zip(pieces, found, strict=True)}
-
-    def _learn(self, pieces):
-        marks, pieces = self.MARKS, list(pieces)
-        words = [piece.rstrip(marks) for piece in pieces]
-        plain = [word.isalpha() and (word.isascii() or max(word) < "\u0100") for word in words]
-        whole = self._whole([piece for piece, ok in zip(pieces, plain, strict=True) if not ok])
-        pieces, words = list(compress(pieces, plain)), [word.lower() for word in compress(words, plain)]
-        ids = {}
-        for known in (self.old, self.young):
-            ids.update((word, known[word]) for word in known.keys() & set(words))
-        ids.update(self._words(list(set(words) - ids.keys())))
-        tails = [piece[len(word) :] for piece, word in zip(pieces, words, strict=True)]
-        of_tails = self._whole(list(set(tails)))
-        out = {piece: ids[word] + of_tails[tail] for piece, word, tail in zip(pieces, words, tails, strict=True)}
-        return ids | out | whole
+        """The same of any pieces."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces.to_pylist(), add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], "<u4"), np.cumsum([len(ids) for ids in found], dtype=np.int64)
+
+    def _pieces(self, pieces):
+        """The same of distinct pieces: a word and its marks, or the whole."""
+        parts = pc.extract_regex(pieces, self.WORD)
+        plain = parts.is_valid()
+        word, tail = (parts.filter(plain).field(k).dictionary_encode() for k in (0, 1))
+        lower = pc.utf8_lower(word.dictionary).dictionary_encode()
+        words, tails, rest = self._words(lower.dictionary), self._whole(tail.dictionary), self._whole(pieces.filter(pc.invert(plain)))
+        ok, first, n = plain.to_numpy(zero_copy_only=False), len(words[1]), len(words[1]) + len(tails[1])
+        # Two runs a piece; the second of a whole one is the empty run at the end.
+        both = np.full((len(pieces), 2), n + len(rest[1]), dtype=np.int64)
+        both[ok, 0], both[ok, 1] = lower.indices.to_numpy()[word.indices.to_numpy()], first + tail.indices.to_numpy()
+        both[~ok, 0] = n + np.arange(len(rest[1]))
+        values, ends = joined([words, tails, rest])
+        ids, lengths = gather(values, np.append(ends, len(values)), both.ravel())
+        return ids, np.cumsum(lengths)[1::2]
+
+    def encode_array(self, texts, closing=()) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow array of texts, a null one empty, each followed by the ids `closing`; and how many each has."""
+        texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " ")
+        split = pc.split_pattern(texts, " ")
+        pieces, sizes = split.flatten().dictionary_encode(), pc.list_value_length(split).to_numpy().astype(np.int64)
+        ids, ends = joined([self._pieces(pieces.dictionary), (np.array(closing, "<u4"), np.array([len(closing)]))])
+        last = np.cumsum(sizes)
+        chosen = np.insert(pieces.indices.to_numpy().astype(np.int64), last, len(ends) - 1)
+        ids, lengths = gather(ids, ends, chosen)
+        upto = np.append(0, np.cumsum(lengths))
+        return ids, np.diff(upto[np.append(0, last + np.arange(1, len(sizes) + 1))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [text.replace("\n", " ").split(" ") for text in texts]
-        used = set().union(*pieces).difference(self.young)
-        known = used.intersection(self.old)
-        learned = self._learn(used - known)
-        for piece in known:
-            learned[piece] = self.old[piece]
-        if len(self.young) + len(learned) > self.REMEMBERED:
-            self.young, self.old = {}, self.young
-            for piece in set().union(*pieces).difference(learned):
-                learned[piece] = self.old[piece]
-        self.young.update(learned)
-        out = [b"".join(map(self.young.__getitem__, ps)) for ps in pieces]
-        for piece in learned:
-            if len(piece) > self.LONG:
-                del self.young[piece]
-        return out
+        """The ids of each text as bytes of little-endian unsigned 32-bit integers."""
+        ids, sizes = self.encode_array(pa.array(texts, pa.large_string()))
+        raw, ends = memoryview(ids).cast("B"), np.cumsum(sizes) * 4
+        return [bytes(raw[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -219,38 +263,34 @@ def encoder(path: str) -> Encoder:
 _CODED = "file int, doc_id long, ids_crc32 long, place long, n_tokens long, shape binary, code binary"
 
 
-def coded(docs: DataFrame, bounds, tokenizer=TOKENIZER, end=END, slice_bytes=1 << 20) -> DataFrame:
+def coded(docs: DataFrame, bounds, tokenizer=TOKENIZER, end=END, slice_bytes=1 << 21) -> DataFrame:
     """Each row's ids, `end` behind them, as blocks. file: how many of the sorted `bounds` lie below its doc_id, 0 for a null
     one; rows of a doc_id that is several bounds are dealt over the files between. shape: ids, words and escapes of each
     block as uint32; code: the blocks; place: a number per row. A null text is an empty one."""
-    closing, bounds = np.array([end], dtype="<u4").tobytes(), np.array(bounds, dtype=np.int64)
+    bounds = np.array(bounds, dtype=np.int64)
 
     def task(parts):
         coder, place = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for part in parts:
-            ids, texts = part.column("doc_id").cast(pa.int64()), part.column("text").to_pylist()
-            i = 0
-            while i < len(texts):
-                j, held = i, 0
-                while j < len(texts) and held < slice_bytes:
-                    held, j = held + len(texts[j] or ""), j + 1
-                raw = [x + closing for x in coder.encode([t or "" for t in texts[i:j]])]
-                sizes = np.array([len(x) // 4 for x in raw])
+            doc_ids, texts = part.column("doc_id").cast(pa.int64()), part.column("text")
+            upto = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)))
+            for i, j in slices(upto, slice_bytes):
+                ids, sizes = coder.encode_array(texts.slice(i, j - i), [end])
                 ends, blocks = block_ends(sizes)
-                words, words_of, escapes, escapes_of = encode(np.frombuffer(b"".join(raw), "<u4"), ends)
+                words, words_of, escapes, escapes_of = encode(ids, ends)
                 shape = np.stack([np.diff(ends, prepend=0), words_of, escapes_of], axis=1).astype("<u4")
                 word_bytes, escape_bytes = words.astype("<u8").tobytes(), escapes.astype("<u4").tobytes()
                 w, e = np.r_[0, np.cumsum(words_of)] * 8, np.r_[0, np.cumsum(escapes_of)] * 4
                 code = [word_bytes[w[b] : w[b + 1]] + escape_bytes[e[b] : e[b + 1]] for b in range(len(ends))]
-                b = np.r_[0, np.cumsum(blocks)]
-                own, places = ids.slice(i, j - i), place + np.arange(j - i)
+                b, raw, stops = np.r_[0, np.cumsum(blocks)], memoryview(ids).cast("B"), np.r_[0, np.cumsum(sizes) * 4].tolist()
+                own, places = doc_ids.slice(i, j - i), place + np.arange(j - i)
                 number = own.fill_null(np.iinfo(np.int64).min).to_numpy()
                 first, last = np.searchsorted(bounds, number), np.searchsorted(bounds, number, "right")
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array((first + places * 40_503 // 7 % (last - first + 1)).astype(np.int32)),
                         own,
-                        pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+                        pa.array([zlib.crc32(raw[stops[k] : stops[k + 1]]) for k in range(j - i)], pa.int64()),
                         pa.array(places),
                         pa.array(sizes),
                         pa.array([shape[b[k] : b[k + 1]].tobytes() for k in range(j - i)], pa.binary()),
@@ -258,7 +298,7 @@ def coded(docs: DataFrame, bounds, tokenizer=TOKENIZER, end=END, slice_bytes=1 <
                     ],
                     names=["file", "doc_id", "ids_crc32", "place", "n_tokens", "shape", "code"],
                 )
-                place, i = place + j - i, j
+                place += j - i
 
     return docs.select("doc_id", "text").mapInArrow(task, _CODED)
 
