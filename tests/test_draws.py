@@ -99,6 +99,21 @@ def test_conditional_draws_without_chance(spark, tables):
     assert draws.conditional_draws(design, fixed, random.where("false"), n=50).count() == 0
 
 
+def test_conditional_sums_equal_the_picks(spark, tables):
+    """Whole and in parts; unknown responses are left out of the mean alone."""
+    design, fixed, random = tables
+    fixed = fixed.withColumn("sigma", F.when(F.col("draw_id") % 5 > 0, F.col("sigma")))
+    picks = draws.conditional_draws(design, fixed, random, n=60, seed=3).groupBy(*draws.MODEL_CELL)
+    want = picks.agg(F.count(F.lit(1)), F.count_if(~F.col("again")), F.count("pred"), F.sum("pred"), F.sum("hu")).toPandas()
+    for options in ({}, {"part_draws": 7, "bucket_draws": 10}):
+        sums = draws.conditional_sums(design, fixed, random, n=60, seed=3, **options).groupBy(*draws.MODEL_CELL).sum("n", "n_draws", "n_pred", "pred_sum", "hu_sum")
+        got = sums.toPandas().sort_values(draws.MODEL_CELL)
+        ordered = want.sort_values(draws.MODEL_CELL)
+        assert len(got) and got[draws.MODEL_CELL].to_numpy().tolist() == ordered[draws.MODEL_CELL].to_numpy().tolist()
+        assert (got.iloc[:, -5:-2].to_numpy() == ordered.iloc[:, -5:-2].to_numpy()).all()
+        assert np.allclose(got.iloc[:, -2:].to_numpy(float), ordered.iloc[:, -2:].to_numpy(float), rtol=1e-9)
+
+
 def test_loglik(spark):
     df = spark.createDataFrame([("k", 0.0, 0.1, 0.2, 0.3), ("k", 0.25, 0.1, 0.2, 0.3), ("k", None, 0.1, 0.2, 0.3)], "k string, response double, mu double, sigma double, hu double")
     r = draws.hurdle_loglik(df, ["k"]).first()

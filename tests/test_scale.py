@@ -141,3 +141,10 @@ def test_picks_of_one_model_alone(spark, small_dir):
     alone, all_models = (registry._conditional(spark, small_dir, model).where("model_name = 'full'") for model in ("full", None))
     rows = sorted(map(str, alone.collect()))
     assert rows and rows == sorted(map(str, all_models.collect()))
+
+
+@pytest.mark.parametrize("name", ["conditional_draws", "predicted_nonzero_means", "perceived_contrast_effect", "perceived_vs_observed_effect"])
+def test_no_pick_leaves_its_task(spark, small_dir, name):
+    """What comes out of the Python step is a row per cell, not one per pick."""
+    text = plan(QUERIES[name](spark, small_dir), "simple")
+    assert "pred_sum" in text and "pick#" not in text

@@ -174,11 +174,11 @@ _COEFFICIENTS = {
 }
 
 
-def _conditional(n=None):
+def _conditional(n=None, summed=False):
     """(function of the draws and the cells of some participants, both Arrow tables, and the schema of what it returns).
 
-    It returns `n` picks per cell and model, those of them that fall into the cell's part of the draws; without `n` the sum of
-    the part's weights. A cell comes with its model, the number its random numbers are made from, and where its part begins in
+    It returns `n` picks per cell and model, those of them that fall into the cell's part of the draws, or if `summed` one row
+    of their counts and sums; without `n` the sum of the part's weights. A cell comes with its model, the number its random numbers are made from, and where its part begins in
     the whole sum of its weights (NULL: the part is the whole). All is local to this function, so it ships to workers by value.
     """
     keys, shared, coefficients = list(MODEL_CELL), [*PARTICIPANT, "model_name", "part"], list(_COEFFICIENTS)
@@ -186,6 +186,8 @@ def _conditional(n=None):
     kinds = {k: pa.float64() if k == "stim" else pa.string() for k in keys}
     if n is None:
         kinds |= {"part": pa.int32(), "total": pa.int64()}
+    elif summed:
+        kinds |= {"n": pa.int64(), "n_draws": pa.int64(), "n_pred": pa.int64(), "pred_sum": pa.float64(), "hu_sum": pa.float64()}
     else:
         kinds |= {"draw_id": pa.int64(), "hu": pa.float64(), "mu": pa.float64(), "pick": pa.int32(), "pred": pa.float64(), "again": pa.bool_()}
     schema = pa.schema(list(kinds.items()))
@@ -258,16 +260,26 @@ def _conditional(n=None):
                 at = places(share, sums, *(cells[c].take(pa.array(these)).to_pylist() for c in ("whole", "before", "total")))
                 here = np.flatnonzero(at.ravel() >= 0)
                 found = np.searchsorted(upto, (at + starts[:, None]).ravel()[here], side="right")
-                again = np.ones(len(found), dtype=bool)
-                again[np.unique(found, return_index=True)[1]] = False
                 noise = (np.sqrt(-2 * np.log(uniform_of(one_))) * np.cos(2 * np.pi * uniform_of(two))).ravel()[here]
-                cell, draw = cell[found], draw[found]
-                mu = predictor("m", cell, draw)
-                columns = cell, ids[draw], hu[found], mu, here % n + 1, mu + values["sigma"][draw] * noise, again
+                own_cell, draw_ = cell[found], draw[found]
+                mu = predictor("m", own_cell, draw_)
+                pred = mu + values["sigma"][draw_] * noise
+                if summed:
+                    of, known_pred, seen = here // n, ~np.isnan(pred), np.zeros(len(cell), dtype=bool)
+                    seen[found] = True
+                    count = np.bincount(of, None, len(these))
+                    weights = known_pred, np.where(known_pred, pred, 0), hu[found]
+                    each = [np.bincount(cell[seen], None, cells.num_rows)[these], *(np.bincount(of, w, len(these)) for w in weights)]
+                    some = count > 0
+                    columns = these[some], count[some], *(x[some] for x in each)
+                else:
+                    again = np.ones(len(found), dtype=bool)
+                    again[np.unique(found, return_index=True)[1]] = False
+                    columns = own_cell, ids[draw_], hu[found], mu, here % n + 1, pred, again
             for held, column_ in zip(out, columns):
                 held.append(column_)
         cell, *columns = (np.concatenate(x) for x in out)
-        found = [cells[k].take(pa.array(cell)) for k in keys] + [pa.array(x, from_pandas=True) for x in columns]
+        found = [cells[k].take(pa.array(cell)) for k in keys] + [pa.array(x, from_pandas=not summed) for x in columns]
         return pa.table(found, names=schema.names).cast(schema)
 
     def apply(draws, cells):
@@ -280,8 +292,15 @@ def _conditional(n=None):
     return apply, ", ".join(f"{field.name} {names[field.type]}" for field in schema)
 
 
+def conditional_sums(design: DataFrame, fixed: DataFrame, random: DataFrame, n=100, seed=0, **sizes) -> DataFrame:
+    """The picks of `conditional_draws` counted and summed per cell where they are made, so that no pick leaves its task: `n`,
+    `n_draws` (different ones), `n_pred` (known responses), `pred_sum` and `hu_sum`. A participant in several parts has a row of each.
+    """
+    return conditional_draws(design, fixed, random, n, seed, summed=True, **sizes)
+
+
 def conditional_draws(
-    design: DataFrame, fixed: DataFrame, random: DataFrame, n=100, seed=0, part_draws=PART_DRAWS, bucket_draws=BUCKET_DRAWS, bucket_picks=BUCKET_PICKS
+    design: DataFrame, fixed: DataFrame, random: DataFrame, n=100, seed=0, part_draws=PART_DRAWS, bucket_draws=BUCKET_DRAWS, bucket_picks=BUCKET_PICKS, summed=False
 ) -> DataFrame:
     """`n` sampled responses per cell given that the hurdle was passed; negative ones are kept.
 
@@ -293,7 +312,7 @@ def conditional_draws(
     The draws are shuffled once, to buckets of participants, and scored there for a few cells at a time: a scored row never
     leaves its task. A participant with more than `part_draws` draws is cut into parts at approximate quantiles of the draws,
     each a stretch of the sum of weights; those participants alone are scored once more beforehand, to tell how long the
-    stretches are. The picks are the same however the draws are cut.
+    stretches are. The picks are the same however the draws are cut. `summed`: see `conditional_sums`.
     """
     sizes = materialize(random.groupBy(*PARTICIPANT, "model_name").agg(F.count(F.lit(1)).alias("_rows")))
     heavy = sizes.groupBy(*PARTICIPANT).agg(F.sum("_rows").alias("_rows")).where(F.col("_rows") > part_draws)
@@ -316,24 +335,24 @@ def conditional_draws(
     cells = with_seed(cells, seed, "conditional")
     alone = {c: F.lit(None).cast("decimal(38,0)") for c in ("total", "before", "whole")}
     if not largest:
-        return _by_bucket(own, cells.withColumns(alone), buckets, n)
+        return _by_bucket(own, cells.withColumns(alone), buckets, n, summed)
     large = F.col("_bounds").isNotNull()
     sums = _by_bucket(own.where(large).drop("_bounds"), cells.where(large).drop("_bounds").withColumns(alone), buckets)
     sums = sums.withColumn("total", F.col("total").cast("decimal(28,0)"))
     whole = Window.partitionBy(*MODEL_CELL)
     stretches = {"before": F.sum("total").over(whole.orderBy("part")) - F.col("total"), "whole": F.sum("total").over(whole)}
     located = null_safe_join(cells, materialize(sums.withColumns(stretches)), [*MODEL_CELL, "part"], "left")
-    return _by_bucket(own.drop("_bounds"), located.drop("_bounds"), buckets, n)
+    return _by_bucket(own.drop("_bounds"), located.drop("_bounds"), buckets, n, summed)
 
 
-def _by_bucket(own, cells, buckets, n=None):
+def _by_bucket(own, cells, buckets, n=None, summed=False):
     """Draws and cells of the same participants and parts together, in a fixed number of partitions: adaptive execution would
     merge the small inputs, whose output is large."""
     bucket = F.pmod(F.xxhash64(*PARTICIPANT, "part"), F.lit(buckets)).alias("bucket")
     partitions = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # `toDF` gives the columns of both sides, which partly come from the same table, identities of their own.
     left, right = (df.toDF(*df.columns).select("*", bucket).repartition(partitions, "bucket").groupBy("bucket") for df in (own, cells))
-    return left.cogroup(right).applyInArrow(*_conditional(n))
+    return left.cogroup(right).applyInArrow(*_conditional(n, summed))
 
 
 def checked_size(counted: DataFrame, n, name="n") -> DataFrame:

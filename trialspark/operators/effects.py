@@ -18,10 +18,14 @@ def predictive_check(frame: DataFrame, predicted: DataFrame, models=MODELS) -> D
     return merge_cells(predicted, key_grid(observed_cells(frame), model_name=models), [*DESIGN, "model_name"])
 
 
-def predicted_means(sample: DataFrame, value="pred") -> DataFrame:
+def sampled_means(sums: DataFrame) -> DataFrame:
+    """Mean sampled response per participant, condition, level and model, from the sums of `draws.conditional_sums`."""
+    return sums.groupBy(*MEAN_CELL, "model_name").agg(F.try_divide(F.sum("pred_sum"), F.sum("n_pred")).alias("value"))
+
+
+def predicted_means(sums: DataFrame) -> DataFrame:
     """Mean over participants of the mean sampled response, with one standard error."""
-    means = sample.groupBy(*MEAN_CELL, "model_name").agg(F.avg(value).alias("value"))
-    return mean_se(means, [*CONDITION_CELL, "model_name"], "value")
+    return mean_se(sampled_means(sums), [*CONDITION_CELL, "model_name"], "value")
 
 
 def nonzero_effect(frame: DataFrame) -> DataFrame:
@@ -30,9 +34,9 @@ def nonzero_effect(frame: DataFrame) -> DataFrame:
     return effect_table(means, "value", [*PARTICIPANT, "contrast_level"], CONDITION).withColumn("data_type", F.lit("empirical"))
 
 
-def perceived_vs_observed(frame: DataFrame, sample: DataFrame, model="full") -> DataFrame:
+def perceived_vs_observed(frame: DataFrame, sums: DataFrame, model="full") -> DataFrame:
     """Effects on sampled non-zero predictions of one model (`predicted`) stacked with the observed ones (`empirical`)."""
-    means = sample.where(F.col("model_name") == model).groupBy(*MEAN_CELL).agg(F.avg("pred").alias("value"))
+    means = sampled_means(sums.where(F.col("model_name") == model)).drop("model_name")
     predicted = effect_table(means, "value", [*PARTICIPANT, "contrast_level"], CONDITION).withColumn("data_type", F.lit("predicted"))
     return predicted.unionByName(nonzero_effect(frame))
 

@@ -431,38 +431,40 @@ def predicted_effect(spark, sf):
     return rounded(effects.effect_table(shown, "response_pred", unit, [*CONDITION, "model_name"]))
 
 
-def _conditional(spark, sf, model=None):
+def _conditional(spark, sf, model=None, pick=draws.conditional_draws):
     """The picks of every model, or of one, whose draws alone are then shuffled."""
     random = fx.draws_random(spark, sf)
     random = random if model is None else random.where(F.col("model_name") == model)
-    return draws.conditional_draws(fx.design(spark, sf), fx.draws_fixed(spark, sf), random, 100, seed=5)
+    return pick(fx.design(spark, sf), fx.draws_fixed(spark, sf), random, 100, seed=5)
+
+
+def _sums(spark, sf, model=None):
+    return _conditional(spark, sf, model, draws.conditional_sums)
 
 
 @query
 def conditional_draws(spark, sf):
     """Conditional samples of every cell, summarised."""
-    cells = _conditional(spark, sf).groupBy(*draws.MODEL_CELL).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("again")).alias("n_draws"), F.avg("pred").alias("pred"), F.avg("hu").alias("hu")
-    )
+    sums = _sums(spark, sf).groupBy(*draws.MODEL_CELL).agg(*[F.sum(c).alias(c) for c in ("n", "n_draws", "n_pred", "pred_sum", "hu_sum")])
+    cells = sums.select(*draws.MODEL_CELL, "n", "n_draws", F.try_divide("pred_sum", "n_pred").alias("pred"), F.try_divide("hu_sum", "n").alias("hu"))
     return rounded(draws.checked_size(cells, 100))
 
 
 @query
 def perceived_contrast_effect(spark, sf):
     """Condition effect on sampled non-zero predictions, averaged over stimuli first."""
-    means = _conditional(spark, sf).groupBy(*effects.MEAN_CELL, "model_name").agg(F.avg("pred").alias("value"))
-    return rounded(effects.effect_table(means, "value", [*PAIR, "model_name"], [*CONDITION, "model_name"]))
+    return rounded(effects.effect_table(effects.sampled_means(_sums(spark, sf)), "value", [*PAIR, "model_name"], [*CONDITION, "model_name"]))
 
 
 @query
 def perceived_vs_observed_effect(spark, sf):
     """Predicted and observed effects on non-zero reproductions, stacked."""
-    return rounded(effects.perceived_vs_observed(frame.model_frame(fx.trials(spark, sf)), _conditional(spark, sf, "full")))
+    return rounded(effects.perceived_vs_observed(frame.model_frame(fx.trials(spark, sf)), _sums(spark, sf, "full")))
 
 
 @query
 def predicted_nonzero_means(spark, sf):
-    return rounded(effects.predicted_means(_conditional(spark, sf)))
+    return rounded(effects.predicted_means(_sums(spark, sf)))
 
 
 @query
