@@ -1,6 +1,7 @@
 """Ways taken for large or uneven data give the same rows, and plans keep their shape."""
 
 import contextlib
+import functools
 import io
 
 import numpy as np
@@ -8,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trialspark.operators import draws, exclude, joins, ranking, summarise
+from trialspark.operators import draws, exclude, fitting, joins, ranking, summarise
 from trialspark.plans import fixtures, registry
 from trialspark.plans.registry import QUERIES
 
@@ -148,3 +149,33 @@ def test_no_pick_leaves_its_task(spark, small_dir, name):
     """What comes out of the Python step is a row per cell, not one per pick."""
     text = plan(QUERIES[name](spark, small_dir), "simple")
     assert "pred_sum" in text and "pick#" not in text
+
+
+def rows_broadcast(df):
+    """Rows of each broadcast in the plan by which `df` ran."""
+    df.collect()
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "BroadcastExchange":
+            found.append(node.longMetric("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("name", ["hurdle_fit", "hurdle_fit_evidence"])
+def test_only_rows_of_fits_pass_the_driver(spark, small_dir, monkeypatch, name):
+    """What a fit broadcasts, in whatever iteration, has a row per fit and none per participant."""
+    people = fixtures.trials(spark, small_dir).select(*fitting.PARTICIPANT).distinct()
+    fits = 4 * people.select(*fitting.GROUP).distinct().count()
+    assert 4 * people.count() > fits
+    sent, stored = [], fitting._stored
+    monkeypatch.setattr(fitting, "_stored", lambda df: (sent.append(rows_broadcast(df)), stored(df))[1])
+    monkeypatch.setattr(fitting, "fit_hurdle", functools.partial(fitting.fit_hurdle, max_iter=2))
+    sent.append(rows_broadcast(QUERIES[name](spark, small_dir)))
+    assert any(sent) and max(sum(sent, [])) <= fits
